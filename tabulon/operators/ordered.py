@@ -11,12 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulon.schema import ColumnError, fresh_name, ref, require, require_numeric
+from tabulon.session import scratch_dir
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
@@ -142,31 +142,26 @@ def interpolate(df: DataFrame, column: str, order_by: str, rows_per_bucket: int
 
 
 @dataclass
-class RankTable:
-    """Average-tie percentile rank of every distinct value of one expression.
+class RankTables:
+    """Average-tie percentile ranks of the distinct values of several expressions.
 
-    ``table`` has ``x``, ``n``, ``before`` and ``pct``, or is None without values;
-    ``small`` says that it may be broadcast.
+    ``table`` has ``name, x, n, before, pct``; ``rows`` counts the non-null rows
+    of each name; ``small`` holds the names whose part may be broadcast.
     """
 
     table: DataFrame | None
-    rows: int
-    small: bool
+    rows: dict[str, int]
+    small: set[str]
 
-
-def rank_medians(tables: dict[str, RankTable]) -> dict[str, float]:
-    """Median of the ranks over all non-null rows, one job for all tables."""
-    parts = []
-    for name, ranks in tables.items():
-        if ranks.table is None:
-            continue
-        low, high = (ranks.rows - 1) // 2, ranks.rows // 2
-        holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
-        weight = holds(low).cast("int") + holds(high).cast("int")
-        parts.append(ranks.table.agg(F.lit(name).alias("name"), (F.sum(F.col("pct") * weight) / 2).alias("median")))
-    if not parts:
-        return {}
-    return {row["name"]: row["median"] for row in reduce(DataFrame.unionAll, parts).collect()}
+    def medians(self) -> dict[str, float]:
+        """Median of the ranks over all non-null rows."""
+        if self.table is None:
+            return {}
+        middle = F.create_map(*[part for c, n in self.rows.items() if n for part in (F.lit(c), F.array(F.lit((n - 1) // 2), F.lit(n // 2)))])
+        at = middle[F.col("name")]
+        holds = lambda k: ((F.col("before") <= k) & (k < F.col("before") + F.col("n"))).cast("int")
+        picked = self.table.groupBy("name").agg((F.sum(F.col("pct") * (holds(at[0]) + holds(at[1]))) / 2).alias("median"))
+        return {row["name"]: row["median"] for row in picked.collect()}
 
 
 def rank_tables(
@@ -174,44 +169,65 @@ def rank_tables(
     values: dict[str, Column],
     rows_per_bucket: int = ROWS_PER_BUCKET,
     broadcast_values: int = BROADCAST_VALUES,
-) -> dict[str, RankTable]:
-    """Rank tables of several expressions; one counting pass for all of them."""
-    if not values:
-        return {}
+) -> RankTables:
+    """Rank the distinct values of several expressions in one pass over the rows.
+
+    Values are counted per (name, range bucket, value), so ties are combined
+    before the shuffle and no bucket depends on how often a value occurs. The
+    table is written once to the shared folder: every later join reads it back
+    by name instead of ranking again.
+    """
     names = list(values)
     measured = df.agg(
         *[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(names)],
         *[F.approx_count_distinct(values[c], 0.02).alias(f"d{i}") for i, c in enumerate(names)],
     ).first()
-    cuts = split_points(df, values, {c: measured[f"d{i}"] for i, c in enumerate(names)}, rows_per_bucket)
-    out = {}
-    for i, name in enumerate(names):
-        rows, distinct = measured[f"n{i}"], measured[f"d{i}"]
-        if rows == 0:
-            out[name] = RankTable(None, 0, True)
-            continue
-        counts = df.select(values[name].alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        cut = with_bucket(counts, F.col("x").cast("double"), cuts[name], "bucket")
-        inside = Window.partitionBy("bucket").orderBy("x")
-        earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = cut.groupBy("bucket").agg(F.sum("n").alias("size"))
-        offsets = sizes.select("bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
-        ranked = (
-            cut.withColumn("upto", F.sum("n").over(inside))
-            .join(F.broadcast(offsets), "bucket")
-            .withColumn("before", F.col("offset") + F.col("upto") - F.col("n"))
-            .select("x", "n", "before", ((F.col("before") + (F.col("n") + 1) / 2) / F.lit(rows)).alias("pct"))
+    rows = {c: measured[f"n{i}"] for i, c in enumerate(names)}
+    distinct = {c: measured[f"d{i}"] for i, c in enumerate(names)}
+    small = {c for c in names if distinct[c] <= broadcast_values}
+    filled = [c for c in names if rows[c]]
+    if not filled:
+        return RankTables(None, rows, small)
+    cuts = split_points(df, {c: values[c] for c in filled}, distinct, rows_per_bucket)
+    cells = df.select(*[values[c].alias(f"x{i}") for i, c in enumerate(filled)])
+    search = Bucketizer(
+        splitsArray=[[-math.inf, *(cuts[c] or [0.0]), math.inf] for c in filled],
+        inputCols=[f"x{i}" for i in range(len(filled))],
+        outputCols=[f"b{i}" for i in range(len(filled))],
+        handleInvalid="keep",
+    )
+    long = search.transform(cells).select(
+        F.inline(
+            F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"b{i}").alias("bucket"), F.col(f"x{i}").alias("x")) for i, c in enumerate(filled)])
         )
-        out[name] = RankTable(ranked, rows, distinct <= broadcast_values)
-    return out
+    )
+    counts = long.where("x IS NOT NULL").groupBy("name", "bucket", "x").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.groupBy("name", "bucket").agg(F.sum("n").alias("size"))
+    offsets = sizes.select("name", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
+    total = F.create_map(*[F.lit(part) for c in filled for part in (c, rows[c])])
+    before = F.col("offset") + F.col("upto") - F.col("n")
+    ranked = (
+        counts.withColumn("upto", F.sum("n").over(Window.partitionBy("name", "bucket").orderBy("x")))
+        .join(F.broadcast(offsets), ["name", "bucket"])
+        .select("name", "x", "n", before.alias("before"), ((before + (F.col("n") + 1) / 2) / total[F.col("name")]).alias("pct"))
+    )
+    path = scratch_dir(df.sparkSession, "ranks")
+    ranked.write.mode("overwrite").partitionBy("name").parquet(path)
+    schema = "x double, n bigint, before bigint, pct double, name string"
+    return RankTables(df.sparkSession.read.schema(schema).parquet(path), rows, small)
 
 
-def with_rank(df: DataFrame, value: Column, ranks: RankTable, out: str) -> DataFrame:
-    """Join the rank of ``value`` to each row; null where the value is null."""
-    if ranks.table is None:
+def with_rank(df: DataFrame, value: Column, ranks: RankTables, name: str, out: str) -> DataFrame:
+    """Join the rank of ``value`` to each row; null where the value is null.
+
+    A table too large to broadcast is joined by shuffle, where adaptive execution
+    splits the partition of a hot value.
+    """
+    if not ranks.rows[name]:
         return df.withColumn(out, F.lit(None).cast("double"))
-    lookup = ranks.table.select(F.col("x").alias(f"__x_{out}"), F.col("pct").alias(out))
-    if ranks.small:
+    lookup = ranks.table.where(F.col("name") == name).select(F.col("x").alias(f"__x_{out}"), F.col("pct").alias(out))
+    if name in ranks.small:
         lookup = F.broadcast(lookup)
     return df.join(lookup, value == F.col(f"__x_{out}"), "left").drop(f"__x_{out}")
 
@@ -220,5 +236,4 @@ def pct_rank(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """Average rank of ties divided by the number of non-null values, in (0, 1]."""
     require_numeric(df, column)
     value = ref(column).cast("double")
-    ranks = rank_tables(df, {column: value})[column]
-    return with_rank(df, value, ranks, out or f"{column}_pct")
+    return with_rank(df, value, rank_tables(df, {column: value}), column, out or f"{column}_pct")
