@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.operators.features import FeatureModel, clean_target, fit_features, select_features, split
 from tabulon.schema import ref, require
+from tabulon.session import spread
 
 SEED = 42
 
@@ -171,6 +172,7 @@ def prepare(
     """Clean the target, split by key, learn features on the training part."""
     require(df, key, *columns)
     rows = clean_target(df.select(ref(key).alias("__key"), ref(target).alias("__label"), *[ref(c) for c in columns if c != target]), "__label")
+    rows = spread(rows, "__key", rows.select("__label").count())
     train, test = split(rows, "__key", test_share, SEED)
     model = fit_features(train, columns, method, encode)
     vectors = lambda d: model.transform(d.select(ref("__key").alias("key"), ref("__label").alias("label"), *[ref(c) for c in columns]))

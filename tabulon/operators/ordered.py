@@ -99,9 +99,11 @@ def interpolate(df: DataFrame, column: str, order_by: str, rows_per_bucket: int
     require_numeric(df, column)
     cut, bucket = range_buckets(df, order_by, rows_per_bucket)
     x = ref(column).cast("double")
+    # Frames that grow from the start cost one step per row; a frame that ends at
+    # the last row is evaluated anew for each row, so later rows are read backward.
     by_order = Window.partitionBy(bucket).orderBy(ref(order_by))
     past = by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    future = by_order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    future = Window.partitionBy(bucket).orderBy(ref(order_by).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = cut.withColumn("__pos", F.row_number().over(by_order).cast("bigint"))
     point = F.when(x.isNotNull(), F.struct(F.col("__pos").alias("pos"), x.alias("value")))
 
@@ -109,7 +111,7 @@ def interpolate(df: DataFrame, column: str, order_by: str, rows_per_bucket: int
         F.count(F.lit(1)).alias("size"), F.min(point).alias("first"), F.max(point).alias("last")
     )
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy(bucket).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, -1)
     placed = edges.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
     shift = lambda p: F.when(p.isNotNull(), F.struct((p["pos"] + F.col("offset")).alias("pos"), p["value"].alias("value")))
     placed = placed.withColumns({"first": shift(F.col("first")), "last": shift(F.col("last"))})
@@ -117,12 +119,12 @@ def interpolate(df: DataFrame, column: str, order_by: str, rows_per_bucket: int
         bucket,
         F.col("offset").alias("__offset"),
         F.last("last", ignorenulls=True).over(before).alias("__earlier"),
-        F.first("first", ignorenulls=True).over(after).alias("__later"),
+        F.last("first", ignorenulls=True).over(after).alias("__later"),
     )
     local = numbered.withColumns(
         {
             "__prev": F.last(point, ignorenulls=True).over(past),
-            "__next": F.first(point, ignorenulls=True).over(future),
+            "__next": F.last(point, ignorenulls=True).over(future),
         }
     )
     joined = local.join(F.broadcast(carried), bucket, "left")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.operators.topk import top_per_group
 from tabulon.schema import present, ref, require
+from tabulon.session import spread
 
 MIN_DOCS = 50
 
@@ -34,7 +35,9 @@ def corpus(df: DataFrame, key: str, columns: Sequence[str], low: int = 5, high:
     require(df, key, *keep)
     if not columns:
         raise ValueError("no text column")
-    docs = df.select(ref(key), *[ref(c) for c in keep], normalized_text(columns).alias("text"))
+    # The one-element explode keeps the filter on the text from being moved below
+    # it, where the text would be normalised a second time.
+    docs = df.select(ref(key), *[ref(c) for c in keep], F.explode(F.array(normalized_text(columns))).alias("text"))
     return docs.withColumn("n_tokens", F.size(words(F.col("text")))).where(F.col("n_tokens").between(low, high))
 
 
@@ -46,8 +49,7 @@ def english_stop_words() -> list[str]:
 def with_terms(docs: DataFrame, stop_words: Sequence[str], text: str = "text") -> DataFrame:
     """Add ``terms``: words of two or more characters without stop words, and
     the pairs of neighbours among them."""
-    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
-    tokens = F.filter(words(F.col(text)), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    tokens = F.filter(words(F.col(text)), lambda w: (F.length(w) >= 2) & ~w.isin(list(stop_words)))
     left = F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0)))
     right = F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0)))
     pairs = F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b))
@@ -94,7 +96,7 @@ def tfidf(
     n_docs = docs.count()
     if n_docs < MIN_DOCS:
         raise ValueError(f"only {n_docs} documents, at least {MIN_DOCS} are needed")
-    with_t = with_terms(docs, stop_words)
+    with_t = with_terms(spread(docs, docs.columns[0], n_docs), stop_words)
     chosen = sorted((r["term"], r["idf"]) for r in tfidf_terms(with_t, n_docs, min_df, max_df, max_features).collect())
     if not chosen:
         raise ValueError("no term passes the frequency limits")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+SPREAD_ROWS = 5_000_000
 
 
 def build_session(app: str = "tabulon", master: str | None = None, **conf) -> SparkSession:
@@ -42,3 +44,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix=f"tabulon-{label}-")
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+
+
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Give a small table that many passes will read one partition per core.
+
+    A small table often is one file and thus one task. Beyond ``SPREAD_ROWS`` rows
+    the input comes in enough splits and is left where it is.
+    """
+    if rows > SPREAD_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "`" + key + "`")
