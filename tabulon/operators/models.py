@@ -55,7 +55,9 @@ def _linear(params: Mapping, train: DataFrame):
 
 
 def _ridge(params: Mapping, train: DataFrame):
-    strength = params.get("alpha", 2.0) / max(train.count(), 1)
+    # Spark penalises on the scale of the standardised label and per row.
+    row = train.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("std")).first()
+    strength = params.get("alpha", 2.0) * (row["std"] or 1.0) / max(row["n"], 1)
     return LinearRegression(labelCol="label", elasticNetParam=0.0, regParam=strength, standardization=False).fit(train)
 
 

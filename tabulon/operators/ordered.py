@@ -191,7 +191,8 @@ def rank_tables(
     if not filled:
         return RankTables(None, rows, small)
     cuts = split_points(df, {c: values[c] for c in filled}, distinct, rows_per_bucket)
-    cells = df.select(*[values[c].alias(f"x{i}") for i, c in enumerate(filled)])
+    # Adding 0.0 turns -0.0 into 0.0, which the bucket search would tell apart.
+    cells = df.select(*[(values[c] + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(filled)])
     search = Bucketizer(
         splitsArray=[[-math.inf, *(cuts[c] or [0.0]), math.inf] for c in filled],
         inputCols=[f"x{i}" for i in range(len(filled))],

@@ -27,7 +27,7 @@ def pivot_counts(df: DataFrame, rows: str, cols: str, col_values: Sequence, row_
     require(df, rows, cols)
     kept = df.where(ref(rows).isin(list(row_values)) if row_values is not None else ref(rows).isNotNull())
     wide = kept.groupBy(ref(rows).alias(rows)).pivot(cols, list(col_values)).count()
-    wide = wide.na.fill(0, subset=[str(v) for v in col_values])
+    wide = wide.select(ref(rows), *[F.coalesce(ref(c), F.lit(0)).alias(c) for c in wide.columns if c != rows])
     if row_values is None:
         return wide.orderBy(ref(rows))
     place = F.array_position(F.array(*[F.lit(v) for v in row_values]), ref(rows))
