@@ -18,6 +18,7 @@ from tabulon.operators.filters import filter_rows
 from tabulon.operators.quantiles import column_median, column_quantiles
 from tabulon.operators.topk import top_per_group, value_counts
 from tabulon.schema import categorical_columns, is_numeric, numeric_columns, present, ref, require, require_numeric
+from tabulon.session import checkpointed
 
 # What a missing category is called, by the first rule whose text
 # occurs in the column name.
@@ -320,6 +321,10 @@ OPERATIONS = {
     ]
 }
 ORDERED_OPERATIONS = ("fill_na_ffill", "fill_na_bfill", "interpolate")
+# Steps that read the data before they are planned.
+MEASURING_OPERATIONS = (
+    *ORDERED_OPERATIONS, "drop_na_cols", "fill_na_mean", "fill_na_median", "fill_na_mode", "remove_outliers_zscore", "remove_outliers_iqr",
+)
 
 
 def validate_steps(steps: Sequence[Mapping], order_by: str | None) -> None:
@@ -338,10 +343,11 @@ def apply_steps(df: DataFrame, steps: Sequence[Mapping], order_by: str | None =
     """Run steps ``{operation, column, value}`` in order.
 
     A step whose column is missing, or has the wrong class, changes nothing; an
-    unknown operation raises before anything runs.
+    unknown operation raises before anything runs. The shuffled result of an
+    ordered or deduplicating step is checkpointed when a later step measures it.
     """
     validate_steps(steps, order_by)
-    for step in steps:
+    for place, step in enumerate(steps):
         op, column = OPERATIONS[step["operation"]], step.get("column")
         if column is not None and column not in df.columns:
             continue
@@ -350,6 +356,9 @@ def apply_steps(df: DataFrame, steps: Sequence[Mapping], order_by: str | None =
         if op.numeric_only and not is_numeric(df, column):
             continue
         df = op.run(df, column, step.get("value"), order_by)
+        shuffled = op.id in ORDERED_OPERATIONS or op.id == "remove_duplicates"
+        if shuffled and any(later["operation"] in MEASURING_OPERATIONS for later in steps[place + 1 :]):
+            df = checkpointed(df)
     return df
 
 

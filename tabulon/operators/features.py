@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.coerce import blank_to_null, number_of, to_number
 from tabulon.operators.cleaning import fill_placeholder, placeholder
+from tabulon.operators.ordered import dense_codes
 from tabulon.operators.profiling import distinct_counts
 from tabulon.operators.quantiles import column_quantiles
 from tabulon.schema import present, ref, require, require_numeric, string_columns
@@ -101,11 +102,15 @@ def _indexer(columns: Sequence[str], outputs: Sequence[str]) -> StringIndexer:
 
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Alphabetical code of each category, as ``<column>_code``."""
+    """Ascending code of each category, as ``<column>_code``; null stays null.
+
+    Any number of categories: the code table is joined like any other table.
+    """
     require(df, *columns)
-    outputs = [f"{c}_code" for c in columns]
-    coded = _indexer(columns, outputs).fit(df).transform(df)
-    return coded.withColumns({o: ref(o).cast("int") for o in outputs})
+    for i, name in enumerate(columns):
+        codes = dense_codes(df, name).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"{name}_code"))
+        df = df.join(codes, ref(name) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+    return df
 
 
 def categories(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> dict[str, list[str]]:

@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.coerce import number_of, strip
+from tabulon.operators.ordered import range_buckets
 from tabulon.schema import float_columns, is_numeric, ref, require
 
 COMPARISONS = {
@@ -17,6 +18,7 @@ COMPARISONS = {
     "<=": lambda a, b: a <= b,
 }
 OPERATORS = ("==", "!=", *COMPARISONS, "contains")
+DEEP_OFFSET = 100_000
 
 
 def predicate(df: DataFrame, column: str, operator: str, value: str) -> Column:
@@ -86,8 +88,25 @@ def filter_rows(df: DataFrame, expression: str) -> DataFrame:
     return filtered
 
 
-def rows_page(df: DataFrame, order_by: str, offset: int = 0, limit: int = 100) -> DataFrame:
+def rows_page(df: DataFrame, order_by: str, offset: int = 0, limit: int = 100, deep: int = DEEP_OFFSET) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in ``order_by`` order.
+
+    A sort with an offset brings all skipped rows to one task. For a deep offset
+    the rows are counted per order range first, and the sort starts at the range
+    that holds the offset.
+    """
     require(df, order_by)
+    if offset > deep:
+        cut, bucket = range_buckets(df, order_by)
+        skipped = 0
+        for row in cut.groupBy(bucket).count().orderBy(bucket).collect():
+            if skipped + row["count"] > offset:
+                df = cut.where(F.col(bucket) >= row[bucket]).drop(bucket)
+                break
+            skipped += row["count"]
+        else:
+            return df.limit(0)
+        offset -= skipped
     return df.orderBy(ref(order_by)).offset(offset).limit(limit)
 
 

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tabulon.operators.topk import top_groups
 from tabulon.schema import ref, require
 
 
-def crosstab(df: DataFrame, a: str, b: str, min_share: float = 0.01) -> DataFrame:
-    """Counts of (a, b) and the share within a; small shares are left out after rounding."""
+def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``(a, b, count, share)`` with the share within a, 4 digits. Totals are a
+    grouped table of their own: no window has to hold all members of a hot a."""
     require(df, a, b)
     counts = df.where(ref(a).isNotNull() & ref(b).isNotNull()).groupBy(ref(a).alias(a), ref(b).alias(b)).count()
-    total = F.sum("count").over(Window.partitionBy(ref(a)))
-    return counts.withColumn("share", F.round(F.col("count") / total, 4)).where(F.col("share") > min_share)
+    totals = counts.groupBy(ref(a).alias("__a")).agg(F.sum("count").alias("__total"))
+    joined = counts.join(totals, ref(a) == F.col("__a"))
+    return joined.select(ref(a), ref(b), "count", F.round(F.col("count") / F.col("__total"), 4).alias("share"))
+
+
+def crosstab(df: DataFrame, a: str, b: str, min_share: float = 0.01) -> DataFrame:
+    """Counts of (a, b) and the share within a; small shares are left out after rounding."""
+    return pair_counts(df, a, b).where(F.col("share") > min_share)
 
 
 def pivot_counts(df: DataFrame, rows: str, cols: str, col_values: Sequence, row_values: Sequence | None = None) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.coerce import number_of, strip
-from tabulon.operators.pivots import pivot_counts
+from tabulon.operators.pivots import pair_counts, pivot_counts
 from tabulon.operators.quantiles import column_median
 from tabulon.operators.topk import top_groups
 from tabulon.schema import is_numeric, ref, require
@@ -20,15 +20,12 @@ OPEN_ACCESS = ["yes", "green oa", "gold oa"]
 
 def trend(df: DataFrame, time: str = "year", group: str = "ai_technique") -> DataFrame:
     """Rows per (time, group) and their share of the period."""
-    require(df, time, group)
-    counts = df.where(ref(time).isNotNull() & ref(group).isNotNull()).groupBy(ref(time).alias(time), ref(group).alias(group)).count()
-    total = F.sum("count").over(Window.partitionBy(ref(time)))
-    return counts.withColumn("share", F.round(F.col("count") / total, 4)).orderBy(ref(time), F.desc("count"), ref(group))
+    return pair_counts(df, time, group).orderBy(ref(time), F.desc("count"), ref(group))
 
 
 def trend_summary(df: DataFrame, time: str = "year", group: str = "ai_technique", k: int = 5) -> DataFrame:
     """One row: number of pairs, periods covered, distinct groups, top groups."""
-    pairs = trend(df, time, group).select(ref(time).alias("period"), ref(group).alias("member"), "count")
+    pairs = pair_counts(df, time, group).select(ref(time).alias("period"), ref(group).alias("member"), "count")
     top = (
         pairs.groupBy("member")
         .agg(F.sum("count").alias("total"))

@@ -12,6 +12,7 @@ from tabulon.operators.topk import top_values
 from tabulon.schema import categorical_columns, numeric_columns, ref
 
 CATEGORIES = 50
+ROWS_PER_TASK = 2_000_000
 
 
 def _numeric_stats(df: DataFrame) -> dict[str, tuple | None]:
@@ -98,5 +99,6 @@ def generate(df: DataFrame, n: int, noise: float = 0.05, seed: int = 42) -> Data
         place = F.size(F.filter(F.array(*map(F.lit, limits)).cast("array<double>"), lambda limit: limit <= _uniform(seed, name, 0)))
         return F.get(F.array(*[F.lit(v) for v, _ in values[name]]), place).cast(kind)
 
-    rows = df.sparkSession.range(n)
+    spark = df.sparkSession
+    rows = spark.range(0, n, 1, max(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_TASK)))
     return rows.select(*[(number(c) if c in stats else category(c)).alias(c) for c in df.columns])

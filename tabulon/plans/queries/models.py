@@ -92,11 +92,11 @@ def _(t: Tables):
 
 @query(
     "label_encode",
-    """SELECT row_id, region, sector, CAST(dense_rank() OVER (ORDER BY region) - 1 AS INT) AS region_code,
-       CAST(dense_rank() OVER (ORDER BY sector) - 1 AS INT) AS sector_code FROM entries""",
+    """SELECT row_id, region, dense_rank() OVER (ORDER BY region) - 1 AS region_code,
+       dense_rank() OVER (ORDER BY abstract_summary) - 1 AS abstract_summary_code FROM entries""",
 )
 def _(t: Tables):
-    return f.label_encode(t.entries.select("row_id", "region", "sector"), ["region", "sector"])
+    return f.label_encode(t.entries.select("row_id", "region", "abstract_summary"), ["region", "abstract_summary"]).drop("abstract_summary")
 
 
 KINDS = ["Patent", "Policy", "Project", "Publication"]

@@ -55,3 +55,12 @@ def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
     if rows > SPREAD_ROWS:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "`" + key + "`")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write the frame to the shared checkpoint folder and read on from there, so
+    that later passes do not repeat its shuffles."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoint"))
+    return df.checkpoint()

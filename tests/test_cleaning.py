@@ -147,3 +147,14 @@ def test_config_selectors(spark):
     assert values(out, "year") == [5, 4, 6] and values(out, "s") == ["a", "a", "a"]
     with pytest.raises(ValueError):
         c.apply_config(df, {"cleaning": [{"operation": "nope"}]})
+
+
+def test_ordered_steps_are_cut(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, None), (4, 8.0), (5, None), (5, None)], "id int, x double")
+    steps = [
+        {"operation": "remove_duplicates"},
+        {"operation": "interpolate", "column": "x"},
+        {"operation": "fill_na_mean", "column": "x"},
+        {"operation": "remove_outliers_iqr", "column": "x"},
+    ]
+    assert values(c.apply_steps(df, steps, "id"), "x") == [2.0, 4.0, 6.0, 8.0, 8.0]

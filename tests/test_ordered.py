@@ -102,3 +102,19 @@ def test_ranks(df, pdf, broadcast):
     medians = tables.medians()
     for c in "xy":
         assert medians[c] == pytest.approx(pdf[c].rank(pct=True).median(), abs=1e-15)
+
+
+def test_dense_codes(spark):
+    values = [f"v{(i * 7919) % 1000:04d}" for i in range(3000)] + ["é", "Z", "", "𝄞", "ﬀ", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(4)
+    got = {r["value"]: r["code"] for r in ordered.dense_codes(df, "v", 16).collect()}
+    want = sorted({v for v in values if v is not None}, key=lambda v: v.encode())
+    assert got == {v: i for i, v in enumerate(want)}
+
+
+def test_deep_page(df, pdf):
+    from tabulon.operators.filters import rows_page
+
+    for offset in (0, 5, 1234, 2990, 3000, 9999):
+        got = [r["id"] for r in rows_page(df, "id", offset, 20, deep=4).collect()]
+        assert got == pdf.id.tolist()[offset : offset + 20], offset
