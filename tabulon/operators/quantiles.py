@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.functions.coerce import finite
 from tabulon.schema import ref, require_numeric
@@ -97,28 +97,29 @@ def _interpolated(values: DataFrame, probs: Sequence[float], ranked_values: int
         row = []
         for p in probs:
             place = p * (n - 1)
-            low, high = found[key, math.floor(place)], found[key, math.ceil(place)]
-            row.append(low + (high - low) * (place - math.floor(place)))
+            under, over = math.floor(place), math.ceil(place)
+            low, high = found[key, under], found[key, over]
+            # The weights of Spark's own percentile, so that both paths agree.
+            row.append(low if under == over else (over - place) * low + (place - under) * high)
         out[key] = row
     return out
 
 
 def _select_ranks(values: DataFrame, sizes: dict, ranks: dict, ranked_values: int) -> dict:
-    """The value at each 0-based rank. State per target: an interval that holds it."""
-    spark = values.sparkSession
-    key_type = values.schema["key"].dataType.simpleString()
-    open_targets = {(key, r): (sizes[key][1], sizes[key][2]) for key, rs in ranks.items() for r in rs}
+    """The value at each 0-based rank of each key.
+
+    Every open target has an interval of values that holds it; targets with the
+    same interval share its counts and its sketch.
+    """
+    inside = (F.col("x") > F.col("lo")) & (F.col("x") < F.col("hi"))
+    open_targets = {(key, r): sizes[key][1:] for key, rs in ranks.items() for r in rs}
     found: dict = {}
     last: dict = {}
     while open_targets:
-        bounds = spark.createDataFrame(
-            [(key, r, lo, hi) for (key, r), (lo, hi) in open_targets.items()],
-            f"key {key_type}, r bigint, lo double, hi double",
-        )
-        inside = (F.col("x") > F.col("lo")) & (F.col("x") < F.col("hi"))
-        counted = (
-            values.join(F.broadcast(bounds), "key")
-            .groupBy("key", "r")
+        intervals = sorted({(key, *bounds) for (key, _), bounds in open_targets.items()}, key=repr)
+        rows = (
+            _with_intervals(values, intervals)
+            .groupBy("id")
             .agg(
                 F.count_if(F.col("x") < F.col("lo")).alias("below"),
                 F.count_if(F.col("x") == F.col("lo")).alias("at_lo"),
@@ -128,12 +129,13 @@ def _select_ranks(values: DataFrame, sizes: dict, ranks: dict, ranked_values: in
             )
             .collect()
         )
-        for row in counted:
-            key, rank = row["key"], row["r"]
-            lo, hi = open_targets.pop((key, rank))
+        counted = {intervals[row["id"]]: row for row in rows}
+        still_open = {}
+        for (key, rank), (lo, hi) in open_targets.items():
+            row = counted[key, lo, hi]
             start = row["below"] + row["at_lo"]
             if rank < row["below"]:
-                open_targets[key, rank] = (sizes[key][1], lo)
+                still_open[key, rank] = (sizes[key][1], lo)
             elif rank < start:
                 found[key, rank] = lo
             elif rank < start + row["inside"]:
@@ -142,29 +144,45 @@ def _select_ranks(values: DataFrame, sizes: dict, ranks: dict, ranked_values: in
                 else:
                     cuts = [lo, *row["cuts"], hi]
                     at = 1 + math.floor((rank - start) / row["inside"] * STEPS)
-                    open_targets[key, rank] = (cuts[max(at - 1, 0)], cuts[min(at + 2, len(cuts) - 1)])
+                    still_open[key, rank] = (cuts[max(at - 1, 0)], cuts[min(at + 2, len(cuts) - 1)])
             elif rank < start + row["inside"] + row["at_hi"]:
                 found[key, rank] = hi
             else:
-                open_targets[key, rank] = (hi, sizes[key][2])
+                still_open[key, rank] = (hi, sizes[key][2])
+        open_targets = still_open
     if last:
-        found.update(_rank_directly(values, last, key_type))
+        found.update(_rank_directly(values, last, inside))
     return found
 
 
-def _rank_directly(values: DataFrame, targets: dict, key_type: str) -> dict:
-    """Ranks among the few rows strictly inside each interval; sizes were counted."""
-    bounds = values.sparkSession.createDataFrame(
-        [(key, r, lo, hi, place) for (key, r), (lo, hi, place) in targets.items()],
-        f"key {key_type}, r bigint, lo double, hi double, place bigint",
-    )
-    ordered = Window.partitionBy("key", "r").orderBy("x")
+def _with_intervals(values: DataFrame, intervals: list[tuple]) -> DataFrame:
+    """Each value with every interval of its key; a few intervals per key."""
+    key_type = values.schema["key"].dataType.simpleString()
+    rows = [(i, *interval) for i, interval in enumerate(intervals)]
+    bounds = values.sparkSession.createDataFrame(rows, f"id int, key {key_type}, lo double, hi double")
+    return values.join(F.broadcast(bounds), "key")
+
+
+def _rank_directly(values: DataFrame, targets: dict, inside: Column) -> dict:
+    """Ranks among the few rows strictly inside each interval; these were counted."""
+    intervals = sorted({(key, lo, hi) for (key, _), (lo, hi, _) in targets.items()}, key=repr)
+    ids = {interval: i for i, interval in enumerate(intervals)}
+    places: dict = {}
+    for (key, rank), (lo, hi, place) in targets.items():
+        places.setdefault(ids[key, lo, hi], []).append((place, key, rank))
+    wanted = F.create_map(*[part for i, items in places.items() for part in (F.lit(i), F.array(*[F.lit(p) for p, _, _ in items]))])
     picked = (
-        values.join(F.broadcast(bounds), "key")
-        .where((F.col("x") > F.col("lo")) & (F.col("x") < F.col("hi")))
-        .groupBy("key", "r", "place", "x")
+        _with_intervals(values, intervals)
+        .where(inside)
+        .groupBy("id", "x")
         .count()
-        .withColumn("upto", F.sum("count").over(ordered))
-        .where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("count")))
+        .withColumn("upto", F.sum("count").over(Window.partitionBy("id").orderBy("x")))
+        .withColumn("from", F.col("upto") - F.col("count"))
+        .where(F.exists(wanted[F.col("id")], lambda p: (p >= F.col("from")) & (p < F.col("upto"))))
     )
-    return {(row["key"], row["r"]): row["x"] for row in picked.collect()}
+    found = {}
+    for row in picked.collect():
+        for place, key, rank in places[row["id"]]:
+            if row["from"] <= place < row["upto"]:
+                found[key, rank] = row["x"]
+    return found
