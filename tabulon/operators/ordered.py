@@ -21,6 +21,7 @@ from tabulon.session import scratch_dir
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
 BROADCAST_VALUES = 500_000
+PROBES = 256
 
 
 def order_value(df: DataFrame, name: str) -> Column:
@@ -180,9 +181,11 @@ def rank_tables(
     by name instead of ranking again.
     """
     names = list(values)
+    probes = [i / PROBES for i in range(1, PROBES)]
     measured = df.agg(
         *[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(names)],
-        *[F.approx_count_distinct(values[c], 0.02).alias(f"d{i}") for i, c in enumerate(names)],
+        *[F.approx_count_distinct(values[c], 0.05).alias(f"d{i}") for i, c in enumerate(names)],
+        *[F.percentile_approx(values[c], probes, 10_000).alias(f"c{i}") for i, c in enumerate(names)],
     ).first()
     rows = {c: measured[f"n{i}"] for i, c in enumerate(names)}
     distinct = {c: measured[f"d{i}"] for i, c in enumerate(names)}
@@ -190,11 +193,13 @@ def rank_tables(
     filled = [c for c in names if rows[c]]
     if not filled:
         return RankTables(None, rows, small)
-    cuts = split_points(df, {c: values[c] for c in filled}, distinct, rows_per_bucket)
+    cuts = {c: sorted(set(measured[f"c{i}"])) for i, c in enumerate(names) if rows[c]}
+    large = {c: values[c] for c in filled if distinct[c] > PROBES * rows_per_bucket}
+    cuts |= split_points(df, large, distinct, rows_per_bucket)
     # Adding 0.0 turns -0.0 into 0.0, which the bucket search would tell apart.
     cells = df.select(*[(values[c] + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(filled)])
     search = Bucketizer(
-        splitsArray=[[-math.inf, *(cuts[c] or [0.0]), math.inf] for c in filled],
+        splitsArray=[[-math.inf, *cuts[c], math.inf] for c in filled],
         inputCols=[f"x{i}" for i in range(len(filled))],
         outputCols=[f"b{i}" for i in range(len(filled))],
         handleInvalid="keep",
