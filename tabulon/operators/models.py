@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.operators.features import FeatureModel, clean_target, fit_features, select_features, split
 from tabulon.schema import ref, require
-from tabulon.session import spread
+from tabulon.session import spread, use_checkpoints
 
 SEED = 42
 
@@ -173,6 +173,7 @@ def prepare(
 ) -> Prepared:
     """Clean the target, split by key, learn features on the training part."""
     require(df, key, *columns)
+    use_checkpoints(df.sparkSession)  # boosting cuts its lineage there
     rows = clean_target(df.select(ref(key).alias("__key"), ref(target).alias("__label"), *[ref(c) for c in columns if c != target]), "__label")
     rows = spread(rows, "__key", rows.select("__label").count())
     train, test = split(rows, "__key", test_share, SEED)

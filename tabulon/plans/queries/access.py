@@ -21,7 +21,7 @@ ALL_COLUMNS = [c for c, _ in ENTRY_COLUMNS]
 NULL_SUM = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in ALL_COLUMNS)
 
 
-@query("csv_roundtrip")
+@query("csv_roundtrip", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def _(t: Tables):
     path = scratch_dir(t.spark, "csv")
     source = t.events.select("event_id", "user_id", "event_type", "value")
@@ -54,7 +54,11 @@ def _(t: Tables):
     return clean.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("finite"), F.round(F.sum("x"), 2).alias("total"))
 
 
-@query("variants")
+@query(
+    "variants",
+    """SELECT v AS variant, CASE WHEN v = 'cleaned' THEN count(funding_usd) ELSE count(*) END AS rows
+       FROM entries, (VALUES ('original'), ('cleaned'), ('extended')) t(v) GROUP BY v""",
+)
 def _(t: Tables):
     catalog = Catalog(t.entries.select("row_id", "funding_usd"))
     catalog.put("cleaned", drop_na_rows(catalog.get(), "funding_usd"))
@@ -119,7 +123,12 @@ def _(t: Tables):
     return store.list().select("variant", "label", "rows", "cols")
 
 
-@query("results_roundtrip")
+@query(
+    "results_roundtrip",
+    """SELECT 'RES-0000' || CAST(row_number() OVER (ORDER BY o_orderpriority) AS VARCHAR) AS id, o_orderpriority AS target_col, count(*) AS train_size,
+       round(avg(o_totalprice), 2) AS mean, '{"note": "x"}' AS payload FROM orders GROUP BY 2
+       QUALIFY row_number() OVER (ORDER BY o_orderpriority) > 1""",
+)
 def _(t: Tables):
     store = ResultStore(t.spark, scratch_dir(t.spark, "results"))
     rows = t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean")).orderBy("o_orderpriority").collect()

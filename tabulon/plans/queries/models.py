@@ -107,7 +107,7 @@ def _(t: Tables):
     return f.one_hot(t.entries.select("row_id", "entry_type"), ["entry_type"])
 
 
-@query("onehot")
+@query("onehot", "SELECT 2e0 AS ones, count(*) AS n FROM entries WHERE region IS NOT NULL AND sector IS NOT NULL")
 def _(t: Tables):
     from pyspark.ml.functions import vector_to_array
 
@@ -168,6 +168,21 @@ def _(t: Tables):
     return rounded(fitted, 4)
 
 
+@query(
+    "fit_ridge_single",
+    """SELECT round(regr_sxy(l_extendedprice, l_quantity) / (regr_sxx(l_extendedprice, l_quantity) + 5000), 4) AS slope,
+       round(avg(l_extendedprice) - regr_sxy(l_extendedprice, l_quantity) / (regr_sxx(l_extendedprice, l_quantity) + 5000) * avg(l_quantity), 4) AS intercept
+       FROM lineitem""",
+)
+def _(t: Tables):
+    rows = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(
+        t.lineitem.select("l_quantity", F.col("l_extendedprice").alias("label"))
+    )
+    model = models.MODELS["Ridge Regression"].fit({"alpha": 5000.0}, rows)
+    fitted = t.spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double")
+    return rounded(fitted, 4)
+
+
 FEATURES = ["year", "region", "sector", "status", "entry_type", "investment_roi", "population_served", "innovation_index", "numeric_text", "nexus_focus"]
 
 

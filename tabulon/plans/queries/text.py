@@ -31,31 +31,36 @@ def _(t: Tables):
 _stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-@query(
-    "tfidf_terms",
-    f"""WITH docs AS (SELECT doc_id, {TOKENS} AS ws FROM documents WHERE len({TOKENS}) BETWEEN 5 AND 500),
+TERMS = f"""docs AS (SELECT doc_id, {TOKENS} AS ws FROM documents WHERE len({TOKENS}) BETWEEN 5 AND 500),
       size AS (SELECT count(*) AS m FROM docs),
       toks AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM docs),
       kept AS (SELECT * FROM toks WHERE length(w) >= 2 AND w NOT IN ({_stop})),
       pairs AS (SELECT doc_id, w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY p) AS term FROM kept),
       terms AS (SELECT doc_id, w AS term FROM kept UNION ALL SELECT doc_id, term FROM pairs WHERE term IS NOT NULL),
-      counted AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM terms GROUP BY 1)
-      SELECT term, df, cf, round(ln((1e0 + m) / (1e0 + df)) + 1e0, 8) AS idf FROM counted, size WHERE df >= 5 AND df <= 0.85 * m
-      ORDER BY cf DESC, term LIMIT 2000""",
-)
+      counted AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM terms GROUP BY 1),
+      vocabulary AS (SELECT term, df, cf, ln((1e0 + m) / (1e0 + df)) + 1e0 AS idf FROM counted, size WHERE df >= 5 AND df <= 0.85 * m
+      ORDER BY cf DESC, term LIMIT 2000)"""
+
+
+@query("tfidf_terms", f"WITH {TERMS} SELECT term, df, cf, round(idf, 8) AS idf FROM vocabulary")
 def _(t: Tables):
     docs = _corpus(t)
     return rounded(text.tfidf_terms(text.with_terms(docs, STOP_WORDS), docs.count()), 8, "idf")
 
 
-@query("tfidf_model")
+@query(
+    "tfidf_model",
+    f"""WITH {TERMS}, weights AS (SELECT doc_id, term, count(*) * idf AS w FROM terms JOIN vocabulary USING (term) GROUP BY doc_id, term, idf),
+      summed AS (SELECT doc_id, count(*) AS n, sum(w) / sqrt(sum(w * w)) AS total, max(w) / sqrt(sum(w * w)) AS top FROM weights GROUP BY 1)
+      SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS terms, round(coalesce(total, 0), 8) AS total, round(top, 8) AS top FROM docs LEFT JOIN summed USING (doc_id)""",
+)
 def _(t: Tables):
     from pyspark.ml.functions import vector_to_array
 
-    features = text.tfidf(_corpus(t))
-    weights = F.filter(vector_to_array("features"), lambda w: w > 0)
-    square = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w * w)
-    return rounded(features.frame.select("doc_id", F.size(weights).alias("terms"), F.sqrt(square).alias("norm")), 6, "norm")
+    features = text.tfidf(_corpus(t), STOP_WORDS)
+    weights = features.frame.select("doc_id", F.filter(vector_to_array("features"), lambda w: w > 0).alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda a, w: a + w)
+    return rounded(weights.select("doc_id", F.size("w").alias("terms"), total.alias("total"), F.array_max("w").alias("top")), 8)
 
 
 def _topics(t: Tables):

@@ -57,10 +57,14 @@ def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "`" + key + "`")
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Make sure that a shared checkpoint folder is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoint"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write the frame to the shared checkpoint folder and read on from there, so
     that later passes do not repeat its shuffles."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoint"))
+    use_checkpoints(df.sparkSession)
     return df.checkpoint()
