@@ -83,16 +83,19 @@ def _fill_numbers(df: DataFrame, values: Mapping[str, float | None]) -> DataFram
     return df.withColumns(out) if out else df
 
 
-def _with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    row = df.agg(*[F.count_if(ref(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if row[f"n{i}"]]
+def _with_nulls(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], int]:
+    """Columns that have nulls, and the number of rows."""
+    nulls = [F.count_if(ref(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *nulls).first()
+    return [c for i, c in enumerate(columns) if row[f"n{i}"]], row["rows"]
 
 
 def fill_mean(df: DataFrame, column: str) -> DataFrame:
+    """Nulls to the mean; a column without nulls is left alone."""
     require_numeric(df, column)
-    if not _with_nulls(df, [column]):
-        return df
-    return _fill_numbers(df, {column: df.agg(F.avg(coerce.finite(ref(column).cast("double")))).first()[0]})
+    x = coerce.finite(ref(column).cast("double"))
+    row = df.agg(F.avg(x).alias("mean"), F.count_if(ref(column).isNull()).alias("nulls")).first()
+    return _fill_numbers(df, {column: row["mean"]}) if row["nulls"] else df
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -100,7 +103,8 @@ def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     columns = [c for c in present(df, columns) if is_numeric(df, c)]
     if not columns:
         return df
-    return _fill_numbers(df, column_median(df, _with_nulls(df, columns)))
+    gaps, rows = _with_nulls(df, columns)
+    return _fill_numbers(df, column_median(df, gaps, rows=rows))
 
 
 def fill_mode(df: DataFrame, column: str) -> DataFrame:

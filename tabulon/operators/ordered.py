@@ -250,8 +250,12 @@ def dense_codes(df: DataFrame, column: str, buckets: int | None = None) -> DataF
     buckets = buckets or df.sparkSession.sparkContext.defaultParallelism
     values = df.select(ref(column).alias("value")).where("value IS NOT NULL").distinct()
     sample = values.orderBy(F.xxhash64("value"), "value").limit(20 * buckets).collect()
-    borders = sorted(row["value"] for row in sample)[19::20]
     # Python orders text by code point, Spark by UTF-8 byte: the same order.
+    found = sorted(row["value"] for row in sample)
+    if len(found) < 20 * buckets:  # these are all values
+        schema = f"value {df.schema[column].dataType.simpleString()}, code bigint"
+        return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(found)], schema)
+    borders = found[19::20]
     below = [(F.col("value") >= F.lit(b)).cast("int") for b in borders]
     cut = values.withColumn("bucket", sum(below, F.lit(0)))
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -193,22 +193,28 @@ def radar(df: DataFrame, group: str, metrics: Sequence[str], k: int = 8) -> Data
     )
 
 
-def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the rows where both columns of a pair are present, for all pairs
-    at once as matrix products; one row per pair leaves the task."""
-    total = None
-    for batch in batches:
-        x = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
-        here = (~np.isnan(x)).astype(float)
-        x = np.where(here > 0, x, 0.0)
-        sums = np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x])
-        total = sums if total is None else total + sums
-    if total is not None:
-        n, s, ss, cross = total
-        i, j = np.triu_indices(len(n), 1)
-        parts = [n[i, j], s[i, j], s[j, i], ss[i, j], ss[j, i], cross[i, j]]
-        arrays = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, parts)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", *PAIR_SUMS])
+def _pair_sums() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task function. As an inner function it travels by value, so the workers
+    need numpy and pyarrow but not this package."""
+
+    def sums_of_pairs(batches):
+        # Sums over the rows where both columns of a pair are present, for all
+        # pairs at once; one row per pair leaves the task.
+        total = None
+        for batch in batches:
+            x = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+            here = (~np.isnan(x)).astype(float)
+            x = np.where(here > 0, x, 0.0)
+            sums = np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x])
+            total = sums if total is None else total + sums
+        if total is not None:
+            n, s, ss, cross = total
+            i, j = np.triu_indices(len(n), 1)
+            parts = [n[i, j], s[i, j], s[j, i], ss[i, j], ss[j, i], cross[i, j]]
+            arrays = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, parts)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", *PAIR_SUMS])
+
+    return sums_of_pairs
 
 
 PAIR_SUMS = ["n", "sa", "sb", "saa", "sbb", "sab"]
@@ -237,7 +243,7 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     if len(kept) < 2:
         return spark.createDataFrame([], schema)
     centred = cells.select(*[(F.col(f"c{i}") - F.lit(means[i])).alias(f"c{i}") for i in kept])
-    sums = centred.mapInArrow(_pair_sums, "i int, j int, " + ", ".join(f"{k} double" for k in PAIR_SUMS))
+    sums = centred.mapInArrow(_pair_sums(), "i int, j int, " + ", ".join(f"{k} double" for k in PAIR_SUMS))
     rows = sums.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in PAIR_SUMS]).collect()
     values: dict[tuple[int, int], float | None] = {}
     again = []

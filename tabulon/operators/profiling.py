@@ -91,26 +91,28 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
 
 
 def _numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, total, mean, median, min, max, std, nulls, null_pct)``."""
-    medians = column_median(df, columns)
+    """``(column, total, mean, median, min, max, std, nulls, null_pct)``.
+
+    One wide aggregate, whose row count then tells how to take the medians.
+    """
+    stats = {"total": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}
     aggregates = [F.count(F.lit(1)).alias("rows")]
-    structs = []
     for i, name in enumerate(columns):
         x = number_of(df, name)
-        stats = {"total": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}
         aggregates += [f(x).alias(f"{key}{i}") for key, f in stats.items()]
-        aggregates.append(F.count_if(x.isNull()).alias(f"nulls{i}"))
-        structs.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                *[F.col(f"{key}{i}").alias(key) for key in ("total", "mean")],
-                F.lit(medians[name]).cast("double").alias("median"),
-                *[F.col(f"{key}{i}").alias(key) for key in ("min", "max", "std", "nulls")],
-                percent(F.col(f"nulls{i}"), F.col("rows")).alias("null_pct"),
-                (F.col("rows") > F.col(f"nulls{i}")).alias("has_values"),
-            )
-        )
-    return _long(df.agg(*aggregates), structs)
+        aggregates.append(F.count(x).alias(f"n{i}"))
+    row = df.agg(*aggregates).first()
+    medians = column_median(df, columns, rows=row["rows"])
+    cells = [
+        (name, row[f"total{i}"], row[f"mean{i}"], medians[name], row[f"min{i}"], row[f"max{i}"], row[f"std{i}"], row["rows"], row["rows"] - row[f"n{i}"])
+        for i, name in enumerate(columns)
+    ]
+    schema = "column string, total double, mean double, median double, min double, max double, std double, rows bigint, nulls bigint"
+    return df.sparkSession.createDataFrame(cells, schema).select(
+        "column", "total", "mean", "median", "min", "max", "std", "nulls",
+        percent(F.col("nulls"), F.col("rows")).alias("null_pct"),
+        (F.col("rows") > F.col("nulls")).alias("has_values"),
+    )
 
 
 def numeric_overview(df: DataFrame, max_cols: int = 12) -> DataFrame:
@@ -197,9 +199,9 @@ def funding_by_period(df: DataFrame, time: str = "year", x: str = "funding_usd")
     cells = df.select(number_of(df, time).cast("bigint").alias(time), number_of(df, x).alias("x")).dropna()
     return (
         cells.groupBy(time)
-        .agg(F.sum("x").alias("total"), F.avg("x").alias("average"), F.count("x").alias("count"))
-        .withColumn("total_m", F.round(F.col("total") / 1e6, 2))
-        .withColumn("average_m", F.round(F.col("average") / 1e6, 2))
+        .agg(F.sum("x").alias("total_funding"), F.avg("x").alias("average_funding"), F.count("x").alias("count"))
+        .withColumn("total_funding_m", F.round(F.col("total_funding") / 1e6, 2))
+        .withColumn("average_funding_m", F.round(F.col("average_funding") / 1e6, 2))
         .orderBy(time)
     )
 

@@ -134,8 +134,8 @@ def _(t: Tables):
 
 @query(
     "funding_by_year",
-    """SELECT CAST(year AS BIGINT) AS year, round(sum(funding_usd), 2) AS total, round(avg(funding_usd), 2) AS average, count(*) AS count,
-       round(sum(funding_usd) / 1e6, 2) AS total_m, round(avg(funding_usd) / 1e6, 2) AS average_m
+    """SELECT CAST(year AS BIGINT) AS year, round(sum(funding_usd), 2) AS total_funding, round(avg(funding_usd), 2) AS average_funding, count(*) AS count,
+       round(sum(funding_usd) / 1e6, 2) AS total_funding_m, round(avg(funding_usd) / 1e6, 2) AS average_funding_m
        FROM entries WHERE funding_usd IS NOT NULL AND year IS NOT NULL GROUP BY 1""",
 )
 def _(t: Tables):
