@@ -5,39 +5,54 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tabulon.functions.coerce import nonfinite_to_null, strip
+from tabulon.functions.coerce import nonfinite_to_null, strip, to_number
 from tabulon.schema import ref, require, string_columns
 
+# CSV cells that mean "missing".
+MISSING = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
+
+WHOLE = r"^[+-]?[0-9]+$"
+
 
 def load_table(
     spark: SparkSession,
     candidates: str | Sequence[str],
     fmt: str = "csv",
-    schema: StructType | str | None = None,
+    schema: T.StructType | str | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read the first candidate path that exists, with names and cells trimmed.
 
-    Inference reads a CSV file a second time; give ``schema`` for large input.
+    CSV cells are read as text, marks of missing values become null, and types
+    are inferred over the whole file in one extra pass, unless ``schema`` names
+    them. ``multiline`` allows line breaks in quoted cells, but such a file can
+    not be split over tasks.
     """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     paths = [candidates] if isinstance(candidates, str) else list(candidates)
     for path in paths:
         reader = spark.read
-        if schema is not None:
-            reader = reader.schema(schema)
         if fmt == "csv":
-            reader = reader.option("header", True).option("escape", '"').option("multiLine", False)
-            if schema is None:
-                reader = reader.option("inferSchema", True)
+            reader = reader.options(header=True, inferSchema=False, escape='"', multiLine=multiline)
+        elif schema is not None:
+            reader = reader.schema(schema)
         try:
             df = reader.format(fmt).load(path)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
-        return nonfinite_to_null(trim_strings(trim_headers(df)))
+        df = trim_strings(trim_headers(df))
+        if fmt == "csv":
+            df = df.select(*[F.when(~ref(c).isin(MISSING), ref(c)).alias(c) for c in df.columns])
+            df = infer_types(df) if schema is None else apply_types(df, schema)
+        return nonfinite_to_null(df)
     raise FileNotFoundError(f"none of these exists: {paths}")
 
 
@@ -50,3 +65,38 @@ def trim_strings(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     names = string_columns(df) if columns is None else list(columns)
     require(df, *names)
     return df.withColumns({name: strip(ref(name)) for name in names})
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return ref(name)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return to_number(ref(name)).cast(kind)
+    return ref(name).try_cast(kind)
+
+
+def apply_types(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns to the types of ``schema``; cells that do not fit become null."""
+    require(df, *schema.fieldNames())
+    return df.select(*[_typed(f.name, f.dataType).alias(f.name) for f in schema.fields])
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns to bigint, double or boolean where every cell fits; a column
+    without values counts as numeric. Dates stay text."""
+    columns = string_columns(df)
+    tests = {
+        "bigint": lambda c: c.rlike(WHOLE) & c.try_cast("bigint").isNotNull(),
+        "double": lambda c: to_number(c).isNotNull(),
+        "boolean": lambda c: F.lower(c).isin("true", "false"),
+    }
+    row = df.agg(
+        *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.count_if(test(ref(c))).alias(f"{kind}{i}") for i, c in enumerate(columns) for kind, test in tests.items()],
+    ).first()
+    found = {}
+    for i, name in enumerate(columns):
+        fits = [kind for kind in tests if row[f"{kind}{i}"] == row[f"n{i}"]]
+        kind = "double" if row[f"n{i}"] == 0 else fits[0] if fits else "string"
+        found[name] = T.StructType.fromDDL(f"c {kind}")[0].dataType
+    return df.withColumns({name: _typed(name, kind) for name, kind in found.items()})

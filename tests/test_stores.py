@@ -21,10 +21,21 @@ def test_csv(spark, tmp_path):
     path.write_text(' id , name \n1,"  Ann, B. "\n2,\n3,x\n')
     df = load_table(spark, [str(tmp_path / "none.csv"), str(path)])
     assert df.columns == ["id", "name"] and [tuple(r) for r in df.orderBy("id").collect()] == [(1, "Ann, B."), (2, None), (3, "x")]
+    typed = load_table(spark, str(path), schema="name string, id double")
+    assert typed.dtypes == [("name", "string"), ("id", "double")]
     with pytest.raises(FileNotFoundError):
         load_table(spark, str(tmp_path / "none.csv"))
 
 
+def test_csv_inference(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("i,d,b,s,day,void,mixed\n1,1.5,True,x,2024-01-01,,5d\nNA,nan,false,N/A,2024-01-02,NA,5\n-3,1e3,,null,,nan,6\n")
+    df = load_table(spark, str(path))
+    assert [k for _, k in df.dtypes] == ["bigint", "double", "boolean", "string", "string", "double", "string"]
+    rows = [tuple(r) for r in df.collect()]
+    assert (None, None, False, None, "2024-01-02", None, "5") in rows and (-3, 1000.0, None, None, None, None, "6") in rows
+
+
 def test_other_formats(spark, base, tmp_path):
     for fmt in ("parquet", "json", "orc"):
         path = str(tmp_path / fmt)
