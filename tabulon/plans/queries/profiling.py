@@ -8,7 +8,6 @@ from tabulon.operators import profiling as p
 from tabulon.operators import topk
 from tabulon.plans.queries.access import NULL_SUM
 from tabulon.plans.queries.base import CATEGORICAL, ENTRY_COLUMNS, ENTRY_TYPES_BY_NAME, NUMERIC, Tables, query, rounded, union_all
-from tabulon.plans.queries.cleaning import quartiles  # noqa: F401
 
 ALL = list(ENTRY_TYPES_BY_NAME)
 
@@ -72,7 +71,7 @@ TOP = ["region", "ai_technique", "nexus_focus", "status", "organization"]
 
 def _top_sql(c: str, k) -> str:
     return f"""SELECT * FROM (SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS count,
-        row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank FROM entries WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= {k}"""
+        CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INT) AS rank FROM entries WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= {k}"""
 
 
 @query("top_values", union_all(_top_sql(c, 5) for c in TOP))
@@ -87,7 +86,7 @@ def _(t: Tables):
 
 @query(
     "top_per_group",
-    """SELECT region, ai_technique, n, row_number() OVER (PARTITION BY region ORDER BY n DESC, ai_technique) AS rank
+    """SELECT region, ai_technique, n, CAST(row_number() OVER (PARTITION BY region ORDER BY n DESC, ai_technique) AS INT) AS rank
        FROM (SELECT region, ai_technique, count(*) AS n FROM entries GROUP BY ALL) QUALIFY rank <= 3""",
 )
 def _(t: Tables):
