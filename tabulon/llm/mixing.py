@@ -59,7 +59,7 @@ def mixed(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     goals = targets([r["s"] for r in sums], [weights[k % len(weights)] for k in range(len(sums))], budget, float(epochs)) if sums else []
     plan = spark.createDataFrame([(k, r["source"], r["s"], t) for k, (r, t) in enumerate(zip(sums, goals))], "src int, name string, source_size long, target double")
     joined = units.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")))
-    bits = bits_for(sum(r["n"] for r in sums) * epochs // max(1, len(sums)) + 1)
+    bits = bits_for(max((r["n"] for r in sums), default=0))
     offered = joined.where("size > 0").withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)]))).withColumn("__key", shuffle_key(F.col("id"), F.col("epoch")))
     whole = F.col("size") * F.col("rows")
     queue = running(offered, ["src", "epoch"], F.shiftright("__key", 60 - bits), ["__key", "__row"], whole, "__total")
