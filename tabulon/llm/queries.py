@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import mixing, quality, sharding
+from tabulon.llm import embeddings, lm, mixing, overlap, packing, quality, sharding, tokens, toxicity, warc
 from tabulon.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,49 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.mixed(table(spark, folder, "documents"), mixing.word_count(F.col("text")))
     rows = plan.withColumn("__one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op2_embedding_near_dedup", embeddings.SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings, whatever their labels."""
+    return embeddings.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
+@query("op4_ngram_jaccard_join", overlap.SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of word shingles overlap."""
+    return overlap.similar_documents(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op5_warc", warc.SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to ZIP-packaged web archives and read back."""
+    return warc.round_trip(spark, table(spark, folder, "pages")).drop("url")
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every whole document."""
+    return tokens.count_tokens(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 2,048 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole document, learnt from labels that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    scored = docs.select("doc_id", (toxicity.remainder(F.col("doc_id")) == 0).alias("held_out"), toxicity.toxic_score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked pseudo-likelihood of every whole document under a network of all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lm.score_documents(docs, lm.fit(docs)).drop("text")
