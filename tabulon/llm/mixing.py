@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulon.llm.common import WORD, bits_for, row_hash, running
+from tabulon.llm.common import WORD, bits_for, row_hash, running, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -52,7 +52,7 @@ def mixed(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     """
     spark = df.sparkSession
     narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), row_hash(df).alias("__row"))
-    units = narrow.groupBy("id", "source", "size", "__row").agg(F.count("*").alias("rows"))
+    units = written(narrow.groupBy("id", "source", "size", "__row").agg(F.count("*").alias("rows")), "units")
     sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("s"), F.sum("rows").alias("n")).collect()
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     budget = share * sum(r["s"] for r in sums)
