@@ -81,7 +81,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 17) -> DataFrame
     empty. Input columns named ``shard`` or ``slot`` are replaced.
     """
     spark, rows = df.sparkSession, df.count()
-    hashed = df.drop("shard", "slot").withColumn("__hash", row_hash(df, seed))
+    hashed = df.withColumn("__hash", row_hash(df, seed)).drop("shard", "slot")
     bits = bits_for(rows, most=MAX_BLOCK_BITS)
     hashed = hashed.withColumn("__block", top_bits(F.col("__hash"), bits))
     counts = sorted((r["__block"], r["count"]) for r in hashed.groupBy("__block").count().collect())

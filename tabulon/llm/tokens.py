@@ -18,11 +18,34 @@ from tabulon.llm.common import Memo, words_of
 
 #: White space as the vocabulary's pattern understands it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+").findall
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^SLN]+"
+KNOWN = regex.compile(PATTERN.replace("L", r"\p{L}").replace("N", r"\p{N}").replace("S", SPACE)).findall
+#: From here on lie the scripts that Unicode added after version 16.
+FIRST_UNKNOWN = "\U000323b0"
 #: Longer chunks are not kept in the memo.
 KEPT_CHARS = 48
 
 
+@cache
+def newer() -> tuple:
+    """A search for letters and numbers that the regex library knows but the character
+    tables of the vocabulary's library do not yet; and the pattern without them."""
+    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF)
+    unknown = {k: "".join(c for c in regex.findall(rf"\p{{{k}}}", every) if c >= FIRST_UNKNOWN and unicodedata.category(c) == "Cn") for k in "LN"}
+    found = regex.compile(f"[{unknown['L']}{unknown['N']}]" if any(unknown.values()) else r"(?!)").search
+    letters, numbers = (rf"\p{{{k}}}--[{regex.escape(v)}]" if v else rf"\p{{{k}}}" for k, v in unknown.items())
+    careful = "(?V1)" + PATTERN.replace("^SLN", rf"^{SPACE}[{letters}][{numbers}]").replace("[L]", f"[{letters}]").replace("[N]", f"[{numbers}]")
+    return found, regex.compile(careful).findall
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a normalised text that are merged on their own."""
+    if text.isascii():
+        return KNOWN(text)
+    found, careful = newer()
+    return careful(text) if found(text) else KNOWN(text)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -57,35 +80,36 @@ class BytePairs:
         """Initial symbols minus merges of one piece.
 
         Symbols form a linked list. The heap holds adjacent pairs by rank, then by
-        place; a popped pair counts only if both its symbols are still as they were.
+        place; a popped pair counts only if what stands at its place still merges into
+        the same symbol.
         """
         symbols = [self.letters[b] for b in piece.encode()]
         symbols[-1] += self.suffix
         n = len(symbols)
         ranks, after, before = self.ranks, list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(ranks[p], i, *p) for i in range(n - 1) if (p := (symbols[i], symbols[i + 1])) in ranks]
+        heap = [(ranks[p], i, p[0] + p[1]) for i in range(n - 1) if (p := (symbols[i], symbols[i + 1])) in ranks]
         heapq.heapify(heap)
         left = n
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            _, i, merged = heapq.heappop(heap)
             j = after[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
+            if not symbols[i] or j >= n or symbols[i] + symbols[j] != merged or (symbols[i], symbols[j]) not in ranks:
                 continue
-            symbols[i], symbols[j] = a + b, ""
+            symbols[i], symbols[j] = merged, ""
             left -= 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 if (p := (symbols[i], symbols[k])) in ranks:
-                    heapq.heappush(heap, (ranks[p], i, *p))
+                    heapq.heappush(heap, (ranks[p], i, p[0] + p[1]))
             if (h := before[i]) >= 0 and (p := (symbols[h], symbols[i])) in ranks:
-                heapq.heappush(heap, (ranks[p], h, *p))
+                heapq.heappush(heap, (ranks[p], h, p[0] + p[1]))
         return left
 
     def count_plain(self, text: str) -> int:
         """Tokens of a text without special strings."""
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return sum(self.of_piece[p] if len(p) <= KEPT_CHARS else self.count_piece(p) for p in PIECES(text))
+        return sum(self.of_piece[p] if len(p) <= KEPT_CHARS else self.count_piece(p) for p in pieces_of(text))
 
     def count_chunk(self, chunk: str) -> int:
         if chunk.isascii() and chunk.isalpha():
@@ -160,7 +184,7 @@ class TokenIds:
         if len(self.of_piece) > most:
             self.of_piece.clear()
         missing = [c for c in chunks if c not in self.of_chunk]
-        cut = {c: [c.lower()] if c.isalpha() else PIECES(c.lower()) if "<|" not in c else [c] for c in missing if c.isascii()}
+        cut = {c: [c.lower()] if c.isalpha() else KNOWN(c.lower()) if "<|" not in c else [c] for c in missing if c.isascii()}
         pieces = {p for ps in cut.values() for p in ps if p not in self.of_piece}
         pieces.update(c for c in missing if c not in cut)
         order = list(pieces)

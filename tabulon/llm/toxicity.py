@@ -11,15 +11,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tabulon.llm.common import Memo, words_of
+from tabulon.llm.common import Memo, words_of, written
 
 #: Most labelled documents to learn from; beyond, a hash of the id chooses.
 MAX_TRAIN = 30_000
@@ -79,18 +80,20 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
 @dataclass
 class Model:
-    """Language model, fragment weights and calibration."""
+    """Language model, document counts of fragments (toxic, clean) and calibration."""
 
     lm: np.ndarray  # log probability of a letter after two others
-    weights: dict[str, float] = field(default_factory=dict)
+    counts: dict[str, tuple[int, int]] = field(default_factory=dict)
+    sizes: tuple[int, int] = (0, 0)
     bias: float = -10.0
-    slopes: tuple[float, float] = (0.0, 0.0)
+    slopes: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
     def __post_init__(self):
-        self.memo = Memo(self.word_weights)
+        # the weights of a word as such, and as seen by a clean or toxic document that is itself in the counts
+        self.memos = {own: Memo(partial(self.word_weight, own=own)) for own in (None, 0, 1)}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+        return {k: v for k, v in self.__dict__.items() if k != "memos"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -134,22 +137,41 @@ class Model:
             return RUNS.search(word) is not None
         return sum(c in INDEX for c in word) >= 2 and any(c in LOOKS for c in word)
 
-    def word_weights(self, word: str) -> float:
-        return max((self.weights.get(g, 0.0) for g in self.fragments(word)), default=0.0)
-
-    def fragments(self, word: str) -> set[str]:
-        """Fragments of a word as it is and as restored; signs around it are dropped."""
+    def weight(self, fragment: str, own: int | None) -> float:
+        """Log odds of a fragment, less for rare ones; without the document's own count if it has a label."""
+        if fragment not in self.counts:
+            return 0.0
+        toxic, clean = self.counts[fragment]
+        toxic, clean = toxic - (own == 1), clean - (own == 0)
+        odds = math.log((toxic + 0.5) / (self.sizes[0] + 1)) - math.log((clean + 0.5) / (self.sizes[1] + 1))
+        return max(0.0, odds) * toxic / (toxic + 1)
+
+    def word_weight(self, word: str, own: int | None = None) -> float:
+        """The largest weight of a fragment, by the square of the share of the word that
+        fragments of at least half that weight cover."""
+        best = 0.0
+        for form in self.forms(word):
+            found = [(w, at, n) for at, n, g in pieces(form) if (w := self.weight(g, own))]
+            if not found:
+                continue
+            top, covered = max(found)[0], set()
+            for w, at, n in found:
+                if 2 * w >= top:
+                    covered.update(range(at, at + n))
+            best = max(best, top * (len(covered) / (len(form) + 2)) ** 2)
+        return best
+
+    def forms(self, word: str) -> set[str]:
+        """A word as it is and as restored, without the signs around it."""
         low = word.lower()
         core = low.strip(EDGES)
-        forms = {core}
+        found = {core}
         if not core.isalpha() or RUNS.search(core):
-            forms.update(self.restore(x) for x in {core, low} if self.disguised(x))
-        out = set()
-        for form in forms:
-            marked = f"^{form}$"
-            out.update(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))
-            out.add(marked[:20])
-        return out
+            found.update(self.restore(x) for x in {core, low} if self.disguised(x))
+        return found
+
+    def fragments(self, word: str) -> set[str]:
+        return {g for form in self.forms(word) for _, _, g in pieces(form)}
 
     def words(self, text: str) -> set[str]:
         """Distinct words, and words whose letters are set apart put together."""
@@ -158,14 +180,22 @@ class Model:
             found.add(re.sub(r"[ ._*-]", "", run))
         return found
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """The largest word weight, and that of the second word."""
-        top = sorted(map(self.memo.__getitem__, self.words(text)), reverse=True)[:2] if text else []
-        return (top + [0.0, 0.0])[0], (top + [0.0, 0.0])[1]
+    def evidence(self, text: str | None, own: int | None = None) -> tuple[float, ...]:
+        """The largest word weight, the second, the sum of the next six, and the log of the number of words."""
+        words = self.words(text) if text else ()
+        top = [*sorted(map(self.memos[own].__getitem__, words), reverse=True)[:8], 0.0, 0.0]
+        return top[0], top[1], sum(top[2:]), math.log1p(len(words))
 
     def score(self, text: str | None) -> float:
-        a, b = self.evidence(text)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + self.slopes[0] * a + self.slopes[1] * b))))
+        total = self.bias + sum(a * b for a, b in zip(self.slopes, self.evidence(text)))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
+
+
+def pieces(form: str) -> list[tuple[int, int, str]]:
+    """Fragments of a word with both ends marked: start, length and text; the whole word comes last."""
+    marked = f"^{form}$"
+    found = [(i, n, marked[i : i + n]) for n in GRAMS for i in range(len(marked) - n + 1)]
+    return [*found, (0, len(marked), marked)] if form and len(marked) <= MAX_DECODED else found
 
 
 def language_model(counts: np.ndarray) -> np.ndarray:
@@ -199,61 +229,52 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Language model of all ``docs``; weights and calibration from labelled ones only.
 
     Rows whose id has remainder 0 are never read for their label. At most
-    ``MAX_TRAIN`` labelled documents are used: two thirds for the weights, the
-    rest to calibrate. Null labels and ids are ignored; of several labels of one
-    id the largest holds. Without labels of both kinds every score is the share
+    ``MAX_TRAIN`` labelled documents are used. They also calibrate the score, each
+    without its own part in the counts. Null labels and ids are ignored; of
+    several labels of one id the largest holds. Without labels of both kinds every score is the share
     of toxic labels (0 without any).
     """
     model = Model(language_model(trigram_counts(docs, text_col)))
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND __id IS NOT NULL")
-    known = known.where(remainder(F.col("__id")) != 0).groupBy("__id").agg(F.max("toxic").alias("toxic"))
+    known = known.where(remainder(F.col("__id")) != 0).groupBy("__id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = F.pmod(F.xxhash64(F.lit(9), F.col("__id").cast("string")), F.lit(1 << 30))
     n = known.count()
     if n > MAX_TRAIN:
         known = known.where(order < int((1 << 30) * MAX_TRAIN / n))
-    train = docs.select(F.col(f"`{id_col}`").alias("__key"), F.col(f"`{text_col}`").alias("text")).join(known, F.col("__key") == F.col("__id")).withColumn("part", order % 3).select("text", "toxic", "part")
+    train = docs.select(F.col(f"`{id_col}`").alias("__key"), F.col(f"`{text_col}`").alias("text")).join(known, F.col("__key") == F.col("__id")).select("text", "toxic")
+    train = written(train, "labelled")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = [Counter(), Counter()]
-        size = [0, 0]
-        of_word = Memo(model.fragments, 50_000)
+        seen, size, of_word = (Counter(), Counter()), [0, 0], Memo(model.fragments, 50_000)
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                size[toxic > 0] += 1
-                seen[toxic > 0].update(set().union(*map(of_word.__getitem__, model.words(text or ""))))
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"fragment": [*names, ""], "clean": [*(seen[0][x] for x in names), size[0]], "toxic": [*(seen[1][x] for x in names), size[1]]})
-
-    parts = train.where("part > 0").select("text", "toxic").mapInPandas(count, "fragment string, clean long, toxic long")
-    sums = parts.groupBy("fragment").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    clean_n, toxic_n = (sums.where("fragment = ''").select(F.sum("clean"), F.sum("toxic")).first() or (0, 0)) or (0, 0)
-    clean_n, toxic_n = clean_n or 0, toxic_n or 0
-    if clean_n and toxic_n:
-        ratio = F.log((F.col("toxic") + 0.5) / (toxic_n + 1.0)) - F.log((F.col("clean") + 0.5) / (clean_n + 1.0))
-        share = toxic_n / (toxic_n + clean_n)
-        expected = (F.col("toxic") + F.col("clean")) * share
-        # the surplus of toxic documents, in standard deviations, says whether a ratio can be trusted
-        sure = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share) + 0.25)
-        best = sums.where("fragment <> '' AND toxic >= 2").select("fragment", ratio.alias("w"), sure.alias("z")).where("w > 1 AND z > 3")
-        weight = F.col("w") * F.col("z") / (F.col("z") + 3)
-        model.weights = {r[0]: r[1] for r in best.select("fragment", weight.alias("w")).orderBy(F.desc("w"), "fragment").limit(MAX_FEATURES).collect()}
-    model.__post_init__()
-
-    @pandas_udf("a double, b double")
-    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([model.evidence(t) for t in texts], columns=["a", "b"])
-
-    held = train.where("part = 0").select("toxic", evidence("text").alias("e")).select("toxic", "e.a", "e.b").toPandas()
-    y = (held["toxic"].to_numpy() > 0).astype(float)
-    if model.weights and 0 < y.sum() < len(y):
-        w = logistic(held[["a", "b"]].to_numpy("float64"), y)
-        model.bias, model.slopes = float(w[0]), (float(w[1]), float(w[2]))
-    elif model.weights:
-        model.bias, model.slopes = -2.0, (1.0, 0.0)
-    else:
-        p = toxic_n / (toxic_n + clean_n) if toxic_n + clean_n else 0.0
-        model.bias = math.log(p / (1 - p)) if 0 < p < 1 else 500.0 if p else -500.0
+                size[toxic] += 1
+                seen[toxic].update(set().union(*map(of_word.__getitem__, model.words(text or ""))))
+        names = [*(seen[0].keys() | seen[1].keys()), ""]
+        yield pd.DataFrame({"fragment": names, "toxic": [*(seen[1][x] for x in names[:-1]), size[1]], "clean": [*(seen[0][x] for x in names[:-1]), size[0]]})
+
+    sums = train.mapInPandas(count, "fragment string, toxic long, clean long").groupBy("fragment").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sums = written(sums.where("fragment = '' OR toxic >= 2"), "fragments")
+    sizes = sums.where("fragment = ''").first()
+    toxic_n, clean_n = (sizes["toxic"], sizes["clean"]) if sizes else (0, 0)
+    p = toxic_n / (toxic_n + clean_n) if toxic_n + clean_n else 0.0
+    model.bias = math.log(p / (1 - p)) if 0 < p < 1 else 500.0 if p else -500.0
+    if not 0 < p < 1:
+        return model
+    # the surplus of toxic documents in standard deviations puts the surest fragments first
+    expected = (F.col("toxic") + F.col("clean")) * p
+    surplus = (F.col("toxic") - expected) / F.sqrt(expected * (1 - p) + 0.25)
+    best = sums.where("fragment <> ''").withColumn("z", surplus).where("z > 2").orderBy(F.desc("z"), "fragment").limit(MAX_FEATURES).collect()
+    model.counts, model.sizes = {r["fragment"]: (r["toxic"], r["clean"]) for r in best}, (toxic_n, clean_n)
+
+    @pandas_udf("array<double>")
+    def evidence(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, own in batches:
+            yield pd.Series([list(model.evidence(t, y)) for t, y in zip(texts, own)])
+
+    held = train.select("toxic", evidence("text", "toxic").alias("e")).toPandas()
+    w = logistic(np.array(held["e"].tolist(), "float64"), held["toxic"].to_numpy("float64"))
+    model.bias, model.slopes = float(w[0]), tuple(map(float, w[1:]))
     return model
 
 

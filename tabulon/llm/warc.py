@@ -12,6 +12,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow.fs
@@ -103,13 +104,8 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
 
         stream = rows()
         for first in stream:
-
-            def chained(first=first):
-                yield first
-                yield from stream
-
             path = f"{folder}/{uuid.uuid4().hex}.wacz"
-            yield pd.DataFrame({"path": [path], "records": [package(path, chained(), package_bytes)]})
+            yield pd.DataFrame({"path": [path], "records": [package(path, chain([first], stream), package_bytes)]})
 
     whole = told.select(F.col("page_id").cast("decimal(20,0)").cast("string").alias("page_id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
     return written(whole.mapInPandas(write, "path string, records long"), "packages")

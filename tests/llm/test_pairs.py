@@ -119,6 +119,7 @@ def near_copies(n=160, seed=3):
         if texts and rng.random() < 0.6:
             words = rng.choice(texts).split(" ")
             for _ in range(rng.choice([0, 1, 1, 2, 4, 8])):
+                words = words or ["w0"]
                 at = rng.randrange(len(words))
                 words[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [words[at].upper()]])
         else:

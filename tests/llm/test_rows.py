@@ -148,7 +148,7 @@ def test_counts_as_library(spark, library):
     assert tokens.count_tokens(docs.limit(0)).count() == 0
 
 
-ODD = st.text(st.sampled_from(list("aAbß'sStT 0٣\n\t\x1c\x85 　​́éÉİΣςǅ<|>endoftxr!#$😀漢ﬁẞΩÅ")) | st.characters(exclude_categories=["Cs"]), max_size=40)
+ODD = st.text(st.sampled_from(list("aAbß'sStT 0٣\n\t\x1c\x85 　​́éÉİΣςǅ<|>endoftxr!#$😀漢ﬁẞΩÅ")) | st.characters(exclude_categories=["Cs", "Cn"]), max_size=40)
 
 
 @settings(max_examples=300, deadline=None)
@@ -223,7 +223,7 @@ def test_best_fit(lengths):
 
 def test_pack_small_pieces(spark):
     rows = packing.pack(spark.range(3000).selectExpr("id", "id * id % 700 + 1 AS length"), "length", 1000).collect()
-    assert placed(rows, 1000) <= -(-sum(r["length"] for r in rows) // 1000) + 1
+    assert placed(rows, 1000) == one_by_one([r["length"] for r in rows], 1000)
 
 
 def test_pack_real(spark):

@@ -67,8 +67,8 @@ def test_awkward_texts(spark, model):
 def test_labels_missing(spark):
     docs = awkward(spark)
     none = spark.createDataFrame([], LABELS)
-    assert toxicity.fit(docs, none).score("any text") == 0
-    assert toxicity.fit(docs.limit(0), none).score(None) == 0
+    assert toxicity.fit(docs, none).score("any text") < 1e-9
+    assert toxicity.fit(docs.limit(0), none).score(None) < 1e-9
     one = spark.createDataFrame([(0, 1, 0), (7, 1, 0), (8, 1, 0)], LABELS)
     assert toxicity.fit(docs, one).score("any text") < 0.5
 
@@ -78,7 +78,7 @@ def test_held_out_labels_are_unread(spark):
     kept = spark.createDataFrame([(k, 1, k % 2) for k in range(200)], LABELS)
     flipped = spark.createDataFrame([(k, 1, (k % 2) ^ (zlib.crc32(str(k).encode()) % 5 == 0)) for k in range(200)], LABELS)
     a, b = toxicity.fit(docs, kept), toxicity.fit(docs, flipped)
-    assert a.weights == b.weights and a.slopes == b.slopes and a.bias == b.bias
+    assert a.counts == b.counts and a.slopes == b.slopes and a.bias == b.bias
 
 
 def test_language_model_counts(spark):
