@@ -122,20 +122,26 @@ def fill_mode(df: DataFrame, column: str) -> DataFrame:
 
 
 def fill_mode_or_placeholder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Blanks count as missing. Structural columns get their placeholder, the
-    others their mode, or the placeholder if they have none."""
+    """Blanks count as missing. Structural columns get their placeholder, and become
+    text if they are numbers; the others get their mode, or the placeholder if
+    they have none. Of equally frequent values the smallest is the mode, numbers
+    compared as numbers."""
     columns = present(df, columns)
     text = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
     df = df.withColumns({c: coerce.blank_to_null(ref(c)) for c in text})
     by_mode = [c for c in columns if c not in ALWAYS_PLACEHOLDER]
     modes = {}
     if by_mode:
-        best = top_per_group(value_counts(df, by_mode), ["column"], [F.desc("count"), F.col("value")], 1)
+        numbers = [c for c in by_mode if is_numeric(df, c)]
+        as_number = F.when(F.col("column").isin(numbers), F.col("value").try_cast("double"))
+        best = top_per_group(value_counts(df, by_mode).withColumn("number", as_number), ["column"], [F.desc("count"), F.col("number"), F.col("value")], 1)
         modes = {row["column"]: row["value"] for row in best.collect()}
     out = {}
     for name in columns:
         fill = modes.get(name, placeholder(name) if name in text else None)
-        if fill is not None:
+        if name in ALWAYS_PLACEHOLDER and name not in text:
+            out[name] = F.coalesce(ref(name).cast("string"), F.lit(placeholder(name)))
+        elif fill is not None:
             out[name] = F.coalesce(ref(name), F.lit(fill).cast(df.schema[name].dataType))
     return df.withColumns(out)
 
@@ -157,9 +163,10 @@ def fill_constant(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def remove_outliers_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
-    """Keep rows less than ``threshold`` sample deviations from the mean; nulls go."""
+    """Keep rows less than ``threshold`` sample deviations from the mean; nulls and
+    non-finite values go, and count for neither."""
     require_numeric(df, column)
-    x = ref(column).cast("double")
+    x = coerce.finite(ref(column).cast("double"))
     row = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).first()
     if not row["std"]:
         return df.where(F.lit(False))

@@ -92,20 +92,23 @@ def rows_page(df: DataFrame, order_by: str, offset: int = 0, limit: int = 100, d
     """Rows ``offset`` to ``offset + limit`` in ``order_by`` order.
 
     A sort with an offset brings all skipped rows to one task. For a deep offset
-    the rows are counted per order range first, and the sort starts at the range
-    that holds the offset.
+    the rows are counted per order range first, and only the ranges that cover
+    the page are sorted.
     """
     require(df, order_by)
     if offset > deep:
         cut, bucket = range_buckets(df, order_by)
-        skipped = 0
+        upto, first, last, skipped = 0, None, None, 0
         for row in cut.groupBy(bucket).count().orderBy(bucket).collect():
-            if skipped + row["count"] > offset:
-                df = cut.where(F.col(bucket) >= row[bucket]).drop(bucket)
+            if first is None and upto + row["count"] > offset:
+                first, skipped = row[bucket], upto
+            upto += row["count"]
+            last = row[bucket]
+            if upto >= offset + limit:
                 break
-            skipped += row["count"]
-        else:
+        if first is None:
             return df.limit(0)
+        df = cut.where(F.col(bucket).between(first, last)).drop(bucket)
         offset -= skipped
     return df.orderBy(ref(order_by)).offset(offset).limit(limit)
 

@@ -19,7 +19,6 @@ from tabulon.schema import ColumnError, fresh_name, ref, require, require_numeri
 from tabulon.session import scratch_dir
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
 BROADCAST_VALUES = 500_000
 PROBES = 256
 
@@ -38,7 +37,7 @@ def order_value(df: DataFrame, name: str) -> Column:
 def split_points(df: DataFrame, values: dict[str, Column], rows: dict[str, int], rows_per_bucket: int) -> dict[str, list[float]]:
     """Interior borders of about equally filled ranges; one pass for all values."""
     floor = df.sparkSession.sparkContext.defaultParallelism
-    buckets = {c: min(max(math.ceil(n / rows_per_bucket), floor), MAX_BUCKETS, max(n, 1)) for c, n in rows.items()}
+    buckets = {c: min(max(math.ceil(n / rows_per_bucket), floor), max(n, 1)) for c, n in rows.items()}
     cut = [c for c in values if buckets[c] > 1]
     if not cut:
         return {c: [] for c in values}
@@ -189,7 +188,12 @@ def rank_tables(
     ).first()
     rows = {c: measured[f"n{i}"] for i, c in enumerate(names)}
     distinct = {c: measured[f"d{i}"] for i, c in enumerate(names)}
-    small = {c for c in names if distinct[c] <= broadcast_values}
+    # the smallest parts may be broadcast, as long as all of them together stay within the bound
+    small, held = set(), 0
+    for c in sorted(names, key=lambda c: (distinct[c], c)):
+        held += distinct[c]
+        if held <= broadcast_values:
+            small.add(c)
     filled = [c for c in names if rows[c]]
     if not filled:
         return RankTables(None, rows, small)
@@ -240,27 +244,37 @@ def with_rank(df: DataFrame, value: Column, ranks: RankTables, name: str, out: s
     return df.join(lookup, value == F.col(f"__x_{out}"), "left").drop(f"__x_{out}")
 
 
+def with_ranks(df: DataFrame, values: dict[str, Column], ranks: RankTables, key: str, out: dict[str, str]) -> DataFrame:
+    """Join the ranks of several values at once by a unique key.
+
+    Only (key, name, value) of non-null values meets the rank table; the ranks of a
+    row then come back together, so that the wide table is shuffled once, however
+    many ranks there are.
+    """
+    require(df, key)
+    named = [F.struct(F.lit(name).alias("name"), (values[name] + F.lit(0.0)).alias("x")) for name in out]
+    long = df.select(ref(key).alias("__key"), F.inline(F.array(*named))).where("x IS NOT NULL")
+    found = long.join(ranks.table.select("name", "x", "pct"), ["name", "x"])
+    wide = found.groupBy("__key").agg(*[F.max(F.when(F.col("name") == name, F.col("pct"))).alias(column) for name, column in out.items()])
+    return df.join(wide, ref(key) == F.col("__key"), "left").drop("__key")
+
+
 def dense_codes(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """``(value, code)``: place of each distinct non-null value in ascending order, from 0.
 
-    Borders are picked from a small hashed sample of the values. They only
-    balance the buckets; the codes are exact for any borders.
+    The distinct values are dealt out by range and written with the number of
+    their range, so that places and offsets rest on the same ranges. They only
+    balance the tasks; the codes are exact for any ranges.
     """
     require(df, column)
-    buckets = buckets or df.sparkSession.sparkContext.defaultParallelism
     values = df.select(ref(column).alias("value")).where("value IS NOT NULL").distinct()
-    sample = values.orderBy(F.xxhash64("value"), "value").limit(20 * buckets).collect()
-    # Python orders text by code point, Spark by UTF-8 byte: the same order.
-    found = sorted(row["value"] for row in sample)
-    if len(found) < 20 * buckets:  # these are all values
-        schema = f"value {df.schema[column].dataType.simpleString()}, code bigint"
-        return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(found)], schema)
-    borders = found[19::20]
-    below = [(F.col("value") >= F.lit(b)).cast("int") for b in borders]
-    cut = values.withColumn("bucket", sum(below, F.lit(0)))
+    spark = df.sparkSession
+    path = scratch_dir(spark, "codes")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values.repartitionByRange(buckets, "value").withColumn("bucket", F.spark_partition_id()).write.parquet(path)
+    cut = spark.read.schema(f"value {df.schema[column].dataType.simpleString()}, bucket int").parquet(path)
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy("bucket").count()
-    offsets = sizes.select("bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset"))
+    offsets = cut.groupBy("bucket").count().select("bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("value"))
     coded = cut.withColumn("place", place).join(F.broadcast(offsets), "bucket")
     return coded.select("value", (F.col("offset") + F.col("place") - 1).alias("code"))

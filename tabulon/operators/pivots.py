@@ -47,7 +47,7 @@ def top_pivot(df: DataFrame, rows: str, cols: str, k: int) -> DataFrame:
     return pivot_counts(df, rows, cols, values)
 
 
-def peak_group(df: DataFrame, group: str) -> DataFrame:
-    """The group with the most rows; the smallest one on ties."""
-    require(df, group)
-    return top_groups(df, group, 1).select(ref(group), F.col("count").alias("total"))
+def peak_group(df: DataFrame, group: str, member: str) -> DataFrame:
+    """The group with the most rows that have a member; the smallest one on ties."""
+    require(df, group, member)
+    return top_groups(df.where(ref(member).isNotNull()), group, 1).select(ref(group), F.col("count").alias("total"))

@@ -125,19 +125,30 @@ def _(t: Tables):
 
 @query(
     "results_roundtrip",
-    """SELECT 'RES-0000' || CAST(row_number() OVER (ORDER BY o_orderpriority) AS VARCHAR) AS id, o_orderpriority AS target_col, count(*) AS train_size,
+    """SELECT CAST(row_number() OVER (ORDER BY o_orderpriority) AS BIGINT) AS place, o_orderpriority AS target_col, count(*) AS train_size,
        round(avg(o_totalprice), 2) AS mean, '{"note": "x"}' AS payload FROM orders GROUP BY 2
        QUALIFY row_number() OVER (ORDER BY o_orderpriority) > 1""",
 )
 def _(t: Tables):
     store = ResultStore(t.spark, scratch_dir(t.spark, "results"))
     rows = t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean")).orderBy("o_orderpriority").collect()
-    ids = [
-        store.append({"run_type": "ml_model", "model_name": "mean", "target_col": r[0], "train_size": r[1], "test_metrics": {"mean": r[2]}, "note": "x"})
-        for r in rows
-    ]
+    ids = store.append_all(
+        [{"run_type": "ml_model", "model_name": "mean", "target_col": r[0], "train_size": r[1], "test_metrics": {"mean": r[2]}, "note": "x"} for r in rows]
+    )
     store.delete(ids[0])
-    return store.read().select("id", "target_col", "train_size", F.round(F.try_element_at("test_metrics", F.lit("mean")), 2).alias("mean"), "payload")
+    place = (F.element_at(F.split("id", "-"), 3).cast("bigint") + 1).alias("place")
+    return store.read().select(place, "target_col", "train_size", F.round(F.try_element_at("test_metrics", F.lit("mean")), 2).alias("mean"), "payload")
+
+
+@query(
+    "results_payload",
+    "SELECT o_orderpriority AS target_col, CAST(count(*) AS BIGINT) AS orders, max(o_orderstatus) AS top FROM orders GROUP BY 1",
+)
+def _(t: Tables):
+    store = ResultStore(t.spark, scratch_dir(t.spark, "results"))
+    rows = t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderstatus").alias("top")).collect()
+    store.append_all([{"run_type": "counts", "target_col": r[0], "orders": r["n"], "top": r["top"]} for r in rows])
+    return store.payload("orders bigint, top string").select("target_col", "orders", "top")
 
 
 # ---- filters ----------------------------------------------------------------

@@ -198,15 +198,15 @@ def _fit_query(name: str, model: str, params: dict | None = None):
 
 _fit_query("fit_ridge", "Ridge Regression")
 _fit_query("fit_tree", "Decision Tree")
-_fit_query("fit_forest", "Random Forest", {"n_estimators": 20})
-_fit_query("fit_gbt", "Gradient Boosting", {"n_estimators": 10})
-_fit_query("fit_voting", "Ensemble (Voting)", {"n_estimators": 10})
+_fit_query("fit_forest", "Random Forest", models.MODEL_CONFIG["models"]["Random Forest"])
+_fit_query("fit_gbt", "Gradient Boosting", models.MODEL_CONFIG["models"]["Gradient Boosting"])
+_fit_query("fit_voting", "Ensemble (Voting)")
 
 
 @query("fit_cluster_mean")
 def _(t: Tables):
     prepared = _prepared(t)
-    trained = models.train_model(prepared, "K-Means Clustering", {"n_init": 3})
+    trained = models.train_model(prepared, "K-Means Clustering", models.MODEL_CONFIG["models"]["K-Means Clustering"])
     extra = {"inertia": F.lit(trained.model.inertia), "silhouette": F.lit(trained.model.silhouette(prepared.train))}
     return trained.metrics().withColumns(extra)
 
@@ -248,14 +248,7 @@ def _(t: Tables):
 @query("train_all_models")
 def _(t: Tables):
     df = t.entries.select("row_id", "impact_score", *FEATURES, "title", "organization")
-    small = {
-        "Linear Regression": {},
-        "Decision Tree": {"max_depth": 5},
-        "Random Forest": {"n_estimators": 5, "max_depth": 5},
-        "K-Means Clustering": {"n_clusters": 3, "n_init": 1},
-        "Not There": {},
-    }
-    rows = models.train_all_models(df, "impact_score", "row_id", small)
+    rows = models.train_all_models(df, "impact_score", "row_id", {**models.MODEL_CONFIG["models"], "Not There": {}})
     flat = [(r["model_name"], r["target_col"], (r.get("test_metrics") or {}).get("r2"), r.get("error")) for r in rows]
     return t.spark.createDataFrame(flat, "model_name string, target_col string, r2 double, error string")
 

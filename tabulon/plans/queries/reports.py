@@ -42,7 +42,7 @@ def score_ctes(name: str) -> tuple[str, str]:
 
 
 def _scored(t: Tables, *names: str) -> DataFrame:
-    return weighted_scores(t.entries, {n: DEFAULT_SCORES[n] for n in names}, digits=6)
+    return weighted_scores(t.entries, {n: DEFAULT_SCORES[n] for n in names}, digits=6, key="row_id")
 
 
 def _score_sql(*names: str) -> str:
@@ -137,9 +137,9 @@ def _(t: Tables):
     return reports.entry_types_by_year(t.entries)
 
 
-@query("peak_year", "SELECT year, count(*) AS total FROM entries GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+@query("peak_year", "SELECT year, count(nexus_focus) AS total FROM entries GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 def _(t: Tables):
-    return pivots.peak_group(t.entries, "year")
+    return pivots.peak_group(t.entries, "year", "nexus_focus")
 
 
 @query(

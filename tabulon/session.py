@@ -6,7 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_ROWS = 5_000_000
+#: Rows of one partition of a table that many passes read.
+SPREAD_ROWS, SPREAD_LEAST = 250_000, 8
 
 
 def build_session(app: str = "tabulon", master: str | None = None, **conf) -> SparkSession:
@@ -24,6 +25,9 @@ def build_session(app: str = "tabulon", master: str | None = None, **conf) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
     }
+    if master is None:
+        # a cluster: many small reduce tasks, merged where they turn out too small
+        settings |= {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m"}
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -33,10 +37,10 @@ def build_session(app: str = "tabulon", master: str | None = None, **conf) -> Sp
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder that every executor can reach.
 
-    It lies under ``spark.checkpoint.dir``. A machine-local folder is used only
+    It lies under ``spark.checkpoint.dir``, or the checkpoint folder set in the context. A machine-local folder is used only
     in local mode, where driver and executors are one process.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         run = spark.sparkContext.applicationId
         stamp = spark.sql("SELECT uuid()").first()[0]
@@ -47,14 +51,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Give a small table that many passes will read one partition per core.
+    """Partitions and row order for a table that iterative jobs read: by hash of the
+    key, as many as the number of rows asks for, sorted inside.
 
-    A small table often is one file and thus one task. Beyond ``SPREAD_ROWS`` rows
-    the input comes in enough splits and is left where it is.
+    Sampling inside such jobs follows partitions; these depend on the data alone,
+    never on the number of cores, and so do the models.
     """
-    if rows > SPREAD_ROWS:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "`" + key + "`")
+    parts = max(SPREAD_LEAST, -(-rows // SPREAD_ROWS))
+    return df.repartition(parts, "`" + key + "`").sortWithinPartitions("`" + key + "`")
 
 
 def use_checkpoints(spark: SparkSession) -> None:

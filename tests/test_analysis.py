@@ -161,7 +161,7 @@ def test_first_complete_points(df):
 def test_pivots(df):
     wide = pivots.pivot_counts(df, "g", "x", [7.0, 1.0], ["b", "zz", "a"]).collect()
     assert [tuple(r) for r in wide] == [("b", 3, 0), ("a", 0, 1)]
-    assert pivots.peak_group(df.where("g IN ('e', 'c', 'd') AND id <> 12"), "g").first()["g"] == "c"
+    assert pivots.peak_group(df.where("g IN ('e', 'c', 'd') AND id <> 12"), "g", "id").first()["g"] == "c"
     assert sum(r["count"] for r in pivots.crosstab(df, "g", "x", -1).collect()) == 10
 
 
