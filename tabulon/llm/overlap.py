@@ -195,6 +195,7 @@ def search(group: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
     cuts = np.concatenate([[0], np.cumsum(np.bincount(ranks, minlength=len(tokens)))])
     ends = np.cumsum([0, *map(len, sets)])
+    earliest = owners[cuts[:-1]]
     root = np.arange(len(sets))
 
     def top(x: int) -> int:
@@ -207,12 +208,12 @@ def search(group: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     for q in range(len(sets)):
         mine = ranks[ends[q] : ends[q + 1]]
         need = int(needed(sizes[q], percent))
-        # partners come earlier in the order of size; lists of the query alone count for nothing
-        lists = [owners[cuts[r] : cuts[r + 1]] for r in mine if cuts[r + 1] - cuts[r] > 1]
-        lists = [x[: np.searchsorted(x, q)] for x in lists]
-        lists = [x for x in lists if len(x)]
-        if len(lists) < need:
+        # partners come earlier in the order of size; lists without an earlier document count for nothing
+        mine = mine[earliest[mine] < q]
+        if len(mine) < need:
             continue
+        lists = [owners[cuts[r] : cuts[r + 1]] for r in mine]
+        lists = [x[: np.searchsorted(x, q)] for x in lists]
         ids, times = t_occurrence(lists, need, len(sets))
         linked = 100 * times >= percent * (sizes[q] + sizes[ids] - times)
         if left != right:
