@@ -75,9 +75,9 @@ def mixed(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
 
 def mix(df: DataFrame, size: Column, **options) -> DataFrame:
     """The mixed rows with their input columns, a row for every copy, range-sorted by virtual finish time."""
-    plan = mixed(df, size, **options).where("copies > 0").select(F.col("__row").alias("__unit"), "finishes")
+    plan = mixed(df, size, **options).where("copies > 0").select(F.col("__row").alias("__unit"), F.col("finishes").alias("__finishes"))
     tagged = df.withColumn("__row", row_hash(df))
-    copies = tagged.join(plan, F.col("__row") == F.col("__unit")).withColumn("__finish", F.explode("finishes"))
+    copies = tagged.join(plan, F.col("__row") == F.col("__unit")).withColumn("__finish", F.explode("__finishes"))
     return copies.orderBy("__finish", "__row").select(*[tagged[f"`{c}`"] for c in df.columns])
 
 
