@@ -23,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from tabulon.llm.common import Memo, words_of, written
 
 #: Most labelled documents to learn from; beyond, a hash of the id chooses.
-MAX_TRAIN = 30_000
+MAX_TRAIN = 15_000
 #: Most fragments that get a weight.
 MAX_FEATURES = 50_000
 #: Fragments of words, word ends included.
@@ -89,11 +89,13 @@ class Model:
     slopes: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
     def __post_init__(self):
-        # the weights of a word as such, and as seen by a clean or toxic document that is itself in the counts
-        self.memos = {own: Memo(partial(self.word_weight, own=own)) for own in (None, 0, 1)}
+        # the weights as such, and as seen by a clean or toxic document that is itself in the counts
+        self.weights = {own: {g: w for g in self.counts if (w := self.weight(g, own))} for own in (None, 0, 1)}
+        self.cores = {own: Memo(partial(self.core_weight, weights=self.weights[own])) for own in self.weights}
+        self.memos = {own: Memo(partial(self.word_weight, cores=self.cores[own])) for own in self.weights}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "memos"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "cores", "memos")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -139,27 +141,34 @@ class Model:
 
     def weight(self, fragment: str, own: int | None) -> float:
         """Log odds of a fragment, less for rare ones; without the document's own count if it has a label."""
-        if fragment not in self.counts:
-            return 0.0
         toxic, clean = self.counts[fragment]
-        toxic, clean = toxic - (own == 1), clean - (own == 0)
+        toxic, clean = max(0, toxic - (own == 1)), max(0, clean - (own == 0))
         odds = math.log((toxic + 0.5) / (self.sizes[0] + 1)) - math.log((clean + 0.5) / (self.sizes[1] + 1))
         return max(0.0, odds) * toxic / (toxic + 1)
 
-    def word_weight(self, word: str, own: int | None = None) -> float:
+    def word_weight(self, word: str, cores: Memo) -> float:
+        """The weight of a word without the signs around it, or of its restored form."""
+        low = word.lower()
+        core = low.strip(EDGES)
+        if core.isalpha() and not RUNS.search(core):
+            return cores[core]
+        return max(map(cores.__getitem__, self.forms(word)))
+
+    def core_weight(self, form: str, weights: dict[str, float]) -> float:
         """The largest weight of a fragment, by the square of the share of the word that
         fragments of at least half that weight cover."""
-        best = 0.0
-        for form in self.forms(word):
-            found = [(w, at, n) for at, n, g in pieces(form) if (w := self.weight(g, own))]
-            if not found:
-                continue
-            top, covered = max(found)[0], set()
-            for w, at, n in found:
-                if 2 * w >= top:
-                    covered.update(range(at, at + n))
-            best = max(best, top * (len(covered) / (len(form) + 2)) ** 2)
-        return best
+        marked = f"^{form}$"
+        size, get = len(marked), weights.get
+        found = [(w, i, n) for n in GRAMS for i in range(size - n + 1) if (w := get(marked[i : i + n]))]
+        if size <= MAX_DECODED and (w := get(marked)):
+            found.append((w, 0, size))
+        if not found:
+            return 0.0
+        top, covered = max(found)[0], set()
+        for w, at, n in found:
+            if 2 * w >= top:
+                covered.update(range(at, at + n))
+        return top * (len(covered) / size) ** 2
 
     def forms(self, word: str) -> set[str]:
         """A word as it is and as restored, without the signs around it."""
@@ -168,16 +177,23 @@ class Model:
         found = {core}
         if not core.isalpha() or RUNS.search(core):
             found.update(self.restore(x) for x in {core, low} if self.disguised(x))
+            found.update(re.sub(r"[._*-]", "", run) for run in SETS_APART(low))
         return found
 
     def fragments(self, word: str) -> set[str]:
-        return {g for form in self.forms(word) for _, _, g in pieces(form)}
+        out = set()
+        for form in self.forms(word):
+            marked = f"^{form}$"
+            out.update([marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)])
+            if form and len(marked) <= MAX_DECODED:
+                out.add(marked)
+        return out
 
     def words(self, text: str) -> set[str]:
         """Distinct words, and words whose letters are set apart put together."""
         found = set(words_of(text))
-        for run in SETS_APART(text):
-            found.add(re.sub(r"[ ._*-]", "", run))
+        if sum([len(w) == 1 for w in found]) >= 3:
+            found.update([re.sub(r"[ ._*-]", "", run) for run in SETS_APART(text)])
         return found
 
     def evidence(self, text: str | None, own: int | None = None) -> tuple[float, ...]:
@@ -191,13 +207,6 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
-def pieces(form: str) -> list[tuple[int, int, str]]:
-    """Fragments of a word with both ends marked: start, length and text; the whole word comes last."""
-    marked = f"^{form}$"
-    found = [(i, n, marked[i : i + n]) for n in GRAMS for i in range(len(marked) - n + 1)]
-    return [*found, (0, len(marked), marked)] if form and len(marked) <= MAX_DECODED else found
-
-
 def language_model(counts: np.ndarray) -> np.ndarray:
     """Log probabilities of the third letter, trigrams backed by bigrams and letters."""
     three = counts.reshape(SIZE, SIZE, SIZE)
@@ -266,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     surplus = (F.col("toxic") - expected) / F.sqrt(expected * (1 - p) + 0.25)
     best = sums.where("fragment <> ''").withColumn("z", surplus).where("z > 2").orderBy(F.desc("z"), "fragment").limit(MAX_FEATURES).collect()
     model.counts, model.sizes = {r["fragment"]: (r["toxic"], r["clean"]) for r in best}, (toxic_n, clean_n)
+    model.__post_init__()
 
     @pandas_udf("array<double>")
     def evidence(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
