@@ -109,7 +109,7 @@ def _(t: Tables):
 
 @query(
     "text_parts",
-    f"""SELECT count(*) AS docs, count(*) AS in_clusters, CAST(8 AS BIGINT) AS topics, true AS full_share, CAST(6 AS BIGINT) AS clusters, CAST(count(*) AS BIGINT) AS profiled
+    f"""SELECT count(*) AS docs, count(*) AS in_clusters, CAST(8 AS BIGINT) AS topics, true AS full_share, true AS few_clusters, CAST(count(*) AS BIGINT) AS profiled
         FROM documents WHERE len({TOKENS}) BETWEEN 5 AND 500""",
 )
 def _(t: Tables):
@@ -118,9 +118,9 @@ def _(t: Tables):
         F.sum("doc_count").alias("docs"), F.count(F.lit(1)).alias("topics"), (F.abs(F.sum("share") - 1) < 0.001).alias("full_share")
     )
     assigned = text.assign_clusters(text.fit_clusters(features), features)
-    placed = assigned.agg(F.count(F.lit(1)).alias("in_clusters"), F.count_distinct("cluster").alias("clusters"))
+    placed = assigned.agg(F.count(F.lit(1)).alias("in_clusters"), F.count_distinct("cluster").between(2, 6).alias("few_clusters"))
     profiled = text.cluster_profile(assigned, features, "source").agg(F.sum("size").alias("profiled"))
-    return spread.join(placed).join(profiled).select("docs", "in_clusters", "topics", "full_share", "clusters", "profiled")
+    return spread.join(placed).join(profiled).select("docs", "in_clusters", "topics", "full_share", "few_clusters", "profiled")
 
 
 @query(
