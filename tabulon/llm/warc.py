@@ -27,8 +27,8 @@ MIN_REVISIT = 1000
 PACKAGE_BYTES = 256 << 20
 #: Neighbouring records are read together up to this size.
 READ_BYTES = 4 << 20
-#: Records of one reading task lie within a stretch of this size.
-STRETCH_BYTES = 32 << 20
+#: A reading task takes whole stretches of packages, about so many records.
+STRETCH_BYTES, TASK_RECORDS = 4 << 20, 10_000
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 # Fixed values of the WARC and ZIP formats.
@@ -242,7 +242,8 @@ def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
                 yield out if payloads else out.drop(columns="payload")
 
     stretch = (F.col("at") / STRETCH_BYTES).cast("long")
-    spans = list_records(packages).repartition("path", stretch)
+    records = packages.agg(F.sum("records")).first()[0] or 0
+    spans = list_records(packages).repartition(max(1, -(-records // TASK_RECORDS)), "path", stretch)
     return spans.mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
