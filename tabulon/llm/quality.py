@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulon.llm.common import GAP, WORD
+from tabulon.llm.common import GAP, WORD, written
 
 SYMBOLS = "#*$%&|<>"
 #: A line of prose ends like this, closing quotes and brackets included.
@@ -112,6 +112,18 @@ def clean_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def keep_clean(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that the rules keep, with their columns and whole texts.
+
+    The verdicts are written with all counts before they are filtered: a filter,
+    or a plan that needs the verdict alone, makes the optimizer evaluate the
+    arrays again for each of their elements.
+    """
+    rows = df.select(F.struct("*").alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    judged = clean_lines(rows, "__text")
+    return written(judged.drop("__text", "clean_text"), "judged").where("kept").select("__row.*")
+
+
 def _like(line: str, pattern: str) -> str:
     return f"regexp_matches({line}, '{pattern.replace("'", "''")}')"
 
