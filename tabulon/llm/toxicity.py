@@ -1,9 +1,10 @@
 """Toxicity scores of texts restored by a noisy-channel decoder.
 
-A character language model over all documents decodes disguised words: each is a
-lattice of readings (look-alike signs, repeated letters, letters set apart), and
-the Viterbi path is the restored word. Fragments of original and restored words
-are then scored by weights learnt from labelled documents.
+A character language model over all documents decodes whole texts: each is a
+lattice of readings (look-alike signs, repeated letters, and blanks or separators
+that are dropped or are word edges), and the Viterbi path is the restored text.
+Fragments of original and restored words are then scored by weights learnt from
+labelled documents.
 """
 
 from __future__ import annotations
@@ -36,15 +37,23 @@ LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou",
 }
-SETS_APART = re.compile(r"(?<!\S)(?:[^\W_][ ._*-]){3,}[^\W_](?!\S)").findall
 RUNS = re.compile(r"(.)\1\1")
 EDGES = ".,;:?!\"'()[]{}<>*#%&|-_=~/\\«»“”‘’¿¡…"
+SEPARATORS = re.escape("".join(c for c in EDGES if c not in LOOKS)) + r"\s"
+#: What has readings of its own: a run of blanks and separators, or of one other sign.
+ELEMENTS = re.compile(rf"[{SEPARATORS}]+|(.)\1*", re.S).finditer
+GAP = re.compile(rf"[{SEPARATORS}]+").fullmatch
+#: Two letters or more fix the state of the decoder; what lies between two such stretches is decoded by itself.
+STRETCHES = re.compile(r"([^\W\d_]{2,})").split
+#: Pieces of one or two signs may also be one word whatever the language model says.
+SHORT_PIECES = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2})+(?!\S)").findall
 
 #: The letters that the language model tells apart; all others are one.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíìîïñóòôöœßúùûü"
 SIZE = len(LETTERS) + 2
 EDGE, OTHER = 0, SIZE - 1
 INDEX = {c: k + 1 for k, c in enumerate(LETTERS)}
+CODES = Memo(lambda c: INDEX.get(c) or (OTHER if c.isalpha() else EDGE))
 
 
 def letter_codes() -> np.ndarray:
@@ -89,47 +98,87 @@ class Model:
     slopes: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
     def __post_init__(self):
+        self.lm = np.asarray(self.lm).tolist()  # single items are looked up
+        self.between = Memo(self.gap, 300_000)
+        self.found, self.joined = Memo(self.forms, 200_000), Memo(self.join, 200_000)
         # the weights as such, and as seen by a clean or toxic document that is itself in the counts
         self.weights = {own: {g: w for g in self.counts if (w := self.weight(g, own))} for own in (None, 0, 1)}
         self.cores = {own: Memo(partial(self.core_weight, weights=self.weights[own])) for own in self.weights}
         self.memos = {own: Memo(partial(self.word_weight, cores=self.cores[own])) for own in self.weights}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "cores", "memos")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "cores", "memos", "between", "found", "joined")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.__post_init__()
 
     def readings(self, word: str) -> list[list[tuple[str, float]]]:
-        """The lattice of a word: what each sign, or run of equal signs, may stand for, with its cost."""
+        """The lattice of a text: what each sign, run of equal signs, or run of blanks and
+        separators may stand for, with its cost. A blank is a word edge."""
         out = []
-        for match in re.finditer(r"(.)\1*", word):
+        for match in ELEMENTS(word):
             c, n = match[1], len(match[0])
-            options = []
-            for sign, cost in [(c, 0.0)] if c in INDEX else [(x, 1.0) for x in LOOKS.get(c, "")]:
-                options += [(sign * k, cost + 0.5 * (k != n)) for k in ((n,) if n < 3 and c in INDEX else (1, 2))]
-            if c not in INDEX:
-                options += [("", 3.0 * n)] if c in EDGES or c == "+" else [("", 6.0 * n)]
+            if c is None:
+                blank = any(map(str.isspace, match[0]))
+                options = [(" ", 0.0 if blank else 0.5), ("", 2.0 if match[0].isspace() or not blank else 3.0)]
+            elif c in LOOKS:
+                options = [(x * k, 1.0 + 0.5 * (k != n)) for x in LOOKS[c] for k in ((1,) if n == 1 else (1, 2))]
+                options += [("", 3.0 * n), (" ", 2.0)]
+            elif c.isalpha():
+                options = [(c * k, 0.5 * (k != n)) for k in ((n,) if n < 3 else (1, 2))]
+            else:
+                options = [("", 6.0 * n), (" ", 1.0)]
             out.append(options)
         return out
 
-    def restore(self, word: str) -> str:
-        """The most probable reading: Viterbi over the lattice, states being the last two letters."""
-        paths = {(EDGE, EDGE): (0.0, "")}
-        for options in [*self.readings(word), [("\0", 0.0)]]:
+    def decode(self, text: str, before: str = "", after: str = "") -> str:
+        """The most probable reading of a text between given letters: Viterbi over the
+        lattice, states being the last two letters. Without letters there is a word edge."""
+        lm, code = self.lm, CODES.__getitem__
+        paths = {(code(before[0]), code(before[1])) if before else (EDGE, EDGE): (0.0, None)}
+        for options in [*self.readings(text), [(after or "\0", 0.0)]]:
             ahead: dict = {}
-            for (a, b), (cost, text) in paths.items():
+            for (a, b), (cost, path) in paths.items():
                 for letters, penalty in options:
                     x, y, total = a, b, cost + penalty
                     for c in letters:
-                        z = INDEX.get(c, EDGE)
-                        total -= self.lm[x, y, z]
-                        x, y = y, z
+                        z = code(c)
+                        if z or y:  # an edge after an edge is the same edge
+                            total -= lm[x][y][z]
+                            x, y = y, z
                     if (x, y) not in ahead or total < ahead[x, y][0]:
-                        ahead[x, y] = (total, text + letters)
+                        ahead[x, y] = (total, (path, letters) if letters else path)
             paths = ahead
-        return min(paths.values())[1].rstrip("\0")
+        out, path = [], min(paths.values(), key=lambda p: p[0])[1]
+        while path:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out))[: -len(after or "\0")]
+
+    def gap(self, key: tuple[str, str, str]) -> str:
+        """As ``decode`` of the middle one of three; where that is one run of blanks and
+        separators between letters, its two readings are compared at once."""
+        before, text, after = key
+        if not (before and after and GAP(text)):
+            return self.decode(text, before, after)
+        (edge, kept), (_, dropped) = self.readings(text)[0]
+        lm, (a, b), (c, d) = self.lm, map(CODES.__getitem__, before), map(CODES.__getitem__, after)
+        kept -= lm[a][b][EDGE] + lm[b][EDGE][c] + lm[EDGE][c][d]
+        return edge if kept <= dropped - lm[a][b][c] - lm[b][c][d] else ""
+
+    def restore(self, word: str) -> str:
+        """The most probable reading of a word, or of several with blanks between them."""
+        return self.decode(word).strip(" ")
+
+    def restored(self, text: str) -> str:
+        """The most probable reading of a whole text. Two letters are all that the next one
+        depends on, so that texts between stretches of letters are decoded one by one."""
+        parts = STRETCHES(text.lower())
+        between, letters = self.between, parts[1::2]
+        keys = zip(["", *[x[-2:] for x in letters]], parts[::2], [*[x[:2] for x in letters], ""])
+        parts[::2] = [between[key] if len(key[1]) <= MAX_DECODED else between.make(key) for key in keys]
+        return "".join(parts)
 
     def disguised(self, word: str) -> bool:
         """Whether the lattice has more than one path worth decoding."""
@@ -152,7 +201,7 @@ class Model:
         core = low.strip(EDGES)
         if core.isalpha() and not RUNS.search(core):
             return cores[core]
-        return max(map(cores.__getitem__, self.forms(word)))
+        return max(map(cores.__getitem__, self.found[word]))
 
     def core_weight(self, form: str, weights: dict[str, float]) -> float:
         """The largest weight of a fragment, by the square of the share of the word that
@@ -176,8 +225,9 @@ class Model:
         core = low.strip(EDGES)
         found = {core}
         if not core.isalpha() or RUNS.search(core):
-            found.update(self.restore(x) for x in {core, low} if self.disguised(x))
-            found.update(re.sub(r"[._*-]", "", run) for run in SETS_APART(low))
+            for x in {core, low}:
+                if self.disguised(x):
+                    found.update(self.restore(x).split(" "))
         return found
 
     def fragments(self, word: str) -> set[str]:
@@ -190,11 +240,23 @@ class Model:
         return out
 
     def words(self, text: str) -> set[str]:
-        """Distinct words, and words whose letters are set apart put together."""
+        """Distinct words, and those of the restored text that are none of their forms."""
         found = set(words_of(text))
-        if sum([len(w) == 1 for w in found]) >= 3:
-            found.update([re.sub(r"[ ._*-]", "", run) for run in SETS_APART(text)])
-        return found
+        decoded = set(self.restored(text).split())
+        for run in SHORT_PIECES(text):
+            decoded.update(self.joined[run])
+        known = found - decoded
+        decoded -= found
+        for w in known:
+            core = w.lower().strip(EDGES)
+            decoded.discard(core)
+            if not core.isalpha():
+                decoded.difference_update(self.found[w])
+        return found | decoded
+
+    def join(self, run: str) -> set[str]:
+        """Words that short pieces make when all the blanks between them are dropped."""
+        return set(self.restore("".join(run.lower().split())).split())
 
     def evidence(self, text: str | None, own: int | None = None) -> tuple[float, ...]:
         """The largest word weight, the second, the sum of the next six, and the log of the number of words."""
