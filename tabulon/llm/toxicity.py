@@ -29,15 +29,15 @@ MAX_TRAIN = 15_000
 MAX_FEATURES = 50_000
 #: Fragments of words, word ends included.
 GRAMS = (4, 5, 6)
-#: Longest word whose readings are decoded; longer ones are scored as they are.
-MAX_DECODED = 64
+#: Longest word that is a fragment itself, and longest text whose reading is kept; longer ones are decoded anew.
+MAX_WHOLE = 64
 
 # Signs that stand for letters.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou",
 }
-RUNS = re.compile(r"(.)\1\1")
+RUNS = re.compile(r"(.)\1+")
 EDGES = ".,;:?!\"'()[]{}<>*#%&|-_=~/\\«»“”‘’¿¡…"
 SEPARATORS = re.escape("".join(c for c in EDGES if c not in LOOKS)) + r"\s"
 #: What has readings of its own: a run of blanks and separators, or of one other sign.
@@ -99,15 +99,17 @@ class Model:
 
     def __post_init__(self):
         self.lm = np.asarray(self.lm).tolist()  # single items are looked up
-        self.between = Memo(self.gap, 300_000)
+        self.lattices, self.between = Memo(self.lattice, 20_000), Memo(self.gap, 300_000)
         self.found, self.joined = Memo(self.forms, 200_000), Memo(self.join, 200_000)
         # the weights as such, and as seen by a clean or toxic document that is itself in the counts
         self.weights = {own: {g: w for g in self.counts if (w := self.weight(g, own))} for own in (None, 0, 1)}
+        self.single = {RUNS.sub(r"\1", g) for weights in self.weights.values() for g in weights}
+        self.lengths = sorted({len(g) for g in self.single if len(g) <= max(GRAMS)})
         self.cores = {own: Memo(partial(self.core_weight, weights=self.weights[own])) for own in self.weights}
         self.memos = {own: Memo(partial(self.word_weight, cores=self.cores[own])) for own in self.weights}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "cores", "memos", "between", "found", "joined")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "cores", "memos", "single", "lengths", "lattices", "between", "found", "joined")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -126,24 +128,27 @@ class Model:
                 options = [(x * k, 1.0 + 0.5 * (k != n)) for x in LOOKS[c] for k in ((1,) if n == 1 else (1, 2))]
                 options += [("", 3.0 * n), (" ", 2.0)]
             elif c.isalpha():
-                options = [(c * k, 0.5 * (k != n)) for k in ((n,) if n < 3 else (1, 2))]
+                options = [(c * k, 0.5 * (k != n)) for k in ((1,) if n == 1 else (1, 2))]
             else:
                 options = [("", 6.0 * n), (" ", 1.0)]
             out.append(options)
         return out
 
+    def lattice(self, text: str) -> list[list[tuple[str, list[int], float]]]:
+        """The readings with the codes of their letters."""
+        return [[(x, [CODES[c] for c in x], cost) for x, cost in options] for options in self.readings(text)]
+
     def decode(self, text: str, before: str = "", after: str = "") -> str:
         """The most probable reading of a text between given letters: Viterbi over the
         lattice, states being the last two letters. Without letters there is a word edge."""
-        lm, code = self.lm, CODES.__getitem__
-        paths = {(code(before[0]), code(before[1])) if before else (EDGE, EDGE): (0.0, None)}
-        for options in [*self.readings(text), [(after or "\0", 0.0)]]:
+        lm, lattice, end = self.lm, self.lattices[text] if len(text) <= MAX_WHOLE else self.lattice(text), after or "\0"
+        paths = {tuple(map(CODES.__getitem__, before)) or (EDGE, EDGE): (0.0, None)}
+        for options in [*lattice, [(end, [CODES[c] for c in end], 0.0)]]:
             ahead: dict = {}
             for (a, b), (cost, path) in paths.items():
-                for letters, penalty in options:
+                for letters, codes, penalty in options:
                     x, y, total = a, b, cost + penalty
-                    for c in letters:
-                        z = code(c)
+                    for z in codes:
                         if z or y:  # an edge after an edge is the same edge
                             total -= lm[x][y][z]
                             x, y = y, z
@@ -154,7 +159,7 @@ class Model:
         while path:
             path, letters = path
             out.append(letters)
-        return "".join(reversed(out))[: -len(after or "\0")]
+        return "".join(reversed(out))[: -len(end)]
 
     def gap(self, key: tuple[str, str, str]) -> str:
         """As ``decode`` of the middle one of three; where that is one run of blanks and
@@ -162,7 +167,7 @@ class Model:
         before, text, after = key
         if not (before and after and GAP(text)):
             return self.decode(text, before, after)
-        (edge, kept), (_, dropped) = self.readings(text)[0]
+        (edge, _, kept), (_, _, dropped) = self.lattices[text][0]
         lm, (a, b), (c, d) = self.lm, map(CODES.__getitem__, before), map(CODES.__getitem__, after)
         kept -= lm[a][b][EDGE] + lm[b][EDGE][c] + lm[EDGE][c][d]
         return edge if kept <= dropped - lm[a][b][c] - lm[b][c][d] else ""
@@ -177,16 +182,16 @@ class Model:
         parts = STRETCHES(text.lower())
         between, letters = self.between, parts[1::2]
         keys = zip(["", *[x[-2:] for x in letters]], parts[::2], [*[x[:2] for x in letters], ""])
-        parts[::2] = [between[key] if len(key[1]) <= MAX_DECODED else between.make(key) for key in keys]
+        parts[::2] = [between[key] if len(key[1]) <= MAX_WHOLE else between.make(key) for key in keys]
         return "".join(parts)
 
     def disguised(self, word: str) -> bool:
         """Whether the lattice has more than one path worth decoding."""
-        if not 3 <= len(word) <= MAX_DECODED:
+        if len(word) < 3:
             return False
         if word.isalpha():
             return RUNS.search(word) is not None
-        return sum(c in INDEX for c in word) >= 2 and any(c in LOOKS for c in word)
+        return any(map(str.isalpha, word))
 
     def weight(self, fragment: str, own: int | None) -> float:
         """Log odds of a fragment, less for rare ones; without the document's own count if it has a label."""
@@ -199,17 +204,25 @@ class Model:
         """The weight of a word without the signs around it, or of its restored form."""
         low = word.lower()
         core = low.strip(EDGES)
-        if core.isalpha() and not RUNS.search(core):
+        if core.isalpha() and not (RUNS.search(core) and self.may_weigh(core)):
             return cores[core]
         return max(map(cores.__getitem__, self.found[word]))
 
+    def may_weigh(self, word: str) -> bool:
+        """Whether any reading of letters has a fragment with a weight: with runs put to one
+        letter, a reading's fragments are among those of the word."""
+        marked = RUNS.sub(r"\1", f"^{word}$")
+        return not self.single.isdisjoint([marked, *[marked[i : i + n] for n in self.lengths for i in range(len(marked) - n + 1)]])
+
     def core_weight(self, form: str, weights: dict[str, float]) -> float:
         """The largest weight of a fragment, by the square of the share of the word that
         fragments of at least half that weight cover."""
         marked = f"^{form}$"
         size, get = len(marked), weights.get
+        if weights.keys().isdisjoint([marked, *[marked[i : i + n] for n in GRAMS for i in range(size - n + 1)]]):
+            return 0.0
         found = [(w, i, n) for n in GRAMS for i in range(size - n + 1) if (w := get(marked[i : i + n]))]
-        if size <= MAX_DECODED and (w := get(marked)):
+        if size <= MAX_WHOLE and (w := get(marked)):
             found.append((w, 0, size))
         if not found:
             return 0.0
@@ -235,7 +248,7 @@ class Model:
         for form in self.forms(word):
             marked = f"^{form}$"
             out.update([marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)])
-            if form and len(marked) <= MAX_DECODED:
+            if form and len(marked) <= MAX_WHOLE:
                 out.add(marked)
         return out
 

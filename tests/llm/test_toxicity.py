@@ -39,3 +39,24 @@ def test_clean_spacing(model, text):
 def test_stretches_are_decoded_as_the_whole(model):
     for text in ["the rain st up id falls", "a b the (s t u p i d) on gr33n h i l l s", "", "f o o l", "walk - slowly | home ! 5 rain"]:
         assert model.restored(text) == model.decode(text)
+
+
+LONG = ["stu" + 60 * "u" + "pid", "-".join(["rain", "falls", "green"] * 8 + ["stupid"] + ["hills"] * 8), "p o o p", "s.t u.p.i d", "s.t.u.p.i.d", "sttuupiidd", "ssttuuppiidd", "iiddiioott", "foool", "$$ttuppiidd", "m" + 70 * "o" + "rr0n"]
+
+
+@pytest.mark.parametrize("word", LONG)
+def test_any_length_and_doubled_letters(model, word):
+    assert model.score(f"the rain falls {word} on green hills") > 0.5
+
+
+def test_words_without_a_reading_that_weighs_are_not_decoded(model):
+    rng = random.Random(1)
+    words = ["".join(rng.choices("stupidofolmrn", k=rng.randrange(3, 9))) for _ in range(3000)] + ["ssttuuppiidd", "ffooll", "street", "falls"]
+    for word in words:
+        low = model.word_weight(word, model.cores[None])
+        assert low == max(map(model.cores[None].__getitem__, model.forms(word)))
+
+
+def test_long_texts_without_blanks(model):
+    assert model.score("rain-" * 20_000 + "stupid") > 0.5
+    assert model.score("r41n/" * 20_000) < 0.5
