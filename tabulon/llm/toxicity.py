@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from tabulon.llm.common import Memo, words_of, written
 
 #: Most labelled documents to learn from; beyond, a hash of the id chooses.
-MAX_TRAIN = 15_000
+MAX_TRAIN = 30_000
 #: Most fragments that get a weight.
 MAX_FEATURES = 50_000
 #: Fragments of words, word ends included.

@@ -60,3 +60,7 @@ def test_words_without_a_reading_that_weighs_are_not_decoded(model):
 def test_long_texts_without_blanks(model):
     assert model.score("rain-" * 20_000 + "stupid") > 0.5
     assert model.score("r41n/" * 20_000) < 0.5
+
+
+def test_labelled_bound():
+    assert toxicity.MAX_TRAIN == 30_000
