@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabulon.llm.common import components, written
 
 THRESHOLD = 0.95
-#: Nearest pivots whose cells a vector enters; two vectors are compared in the first cell that they share.
+#: Fewest nearest pivots whose cells a vector enters; two vectors are compared in the first cell that they share.
 CELLS = 3
 #: Vectors that a cell is meant to hold, and most pivots.
 CELL_ROWS, MAX_PIVOTS = 1000, 32_768
@@ -70,10 +70,30 @@ def choose_pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
     return chosen[:n]
 
 
+def cells_among(pivots: int) -> int:
+    """Cells that a vector enters: more as pivots crowd, or pairs at the threshold would
+    meet in none of them (3 cells among 32,768 pivots lose a tenth of such pairs)."""
+    return max(CELLS, int(pivots).bit_length())
+
+
+def pivots_for(rows: int) -> int:
+    wanted = 8
+    for _ in range(3):  # cells rise with pivots, pivots with cells
+        wanted = int(min(MAX_PIVOTS, max(8, rows * cells_among(wanted) / CELL_ROWS)))
+    return wanted
+
+
+def nearest_cells(units: np.ndarray, points: np.ndarray | None) -> np.ndarray:
+    """The nearest pivots of each vector; one cell for all if pivots are few."""
+    if points is None or len(points) <= (cells := cells_among(len(points))):
+        return np.zeros((len(units), 1), "int64")
+    return np.concatenate([np.argpartition(-(units[k : k + 4096] @ points.T), cells - 1, axis=1)[:, :cells] for k in range(0, len(units), 4096)])
+
+
 def fit_pivots(vectors: DataFrame, rows: int) -> dict[int, np.ndarray]:
     """Pivots for each length of vectors, from a bounded sample by hash."""
     sample = vectors.orderBy(F.xxhash64(F.lit(3), "node")).limit(min(MAX_SAMPLE, 16 * MAX_PIVOTS)).select("vector").toPandas()["vector"]
-    wanted = int(min(MAX_PIVOTS, max(8, rows * CELLS / CELL_ROWS)))
+    wanted = pivots_for(rows)
     by_dim: dict[int, list] = {}
     for v in sample:
         by_dim.setdefault(len(v), []).append(v)
@@ -112,8 +132,9 @@ def compare(group: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
         i, j = i + at, j + columns.start
         if left == right:
             i, j = i[i < j], j[i < j]
-        for part in range(0, len(i), 200_000):
-            p, q = i[part : part + 200_000], j[part : part + 200_000]
+        step = max(1, 2_000_000 // entered.shape[1] ** 2)
+        for part in range(0, len(i), step):
+            p, q = i[part : part + step], j[part : part + step]
             near = np.einsum("ij,ij->i", units[p], units[q]) >= threshold
             p, q = p[near], q[near]
             shared = np.where(entered[p][:, :, None] == entered[q][:, None, :], entered[p][:, :, None], np.iinfo("int64").max).min((1, 2))
@@ -136,7 +157,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     off. Nodes enter the cells of their nearest pivots; blocks of cells are
     compared in tasks of bounded size, which return counts and a spanning forest.
     Pivots are fitted on a bounded sample, all vectors are indexed, and no link
-    below the threshold is returned. Null ids never name a component; a component
+    below the threshold is returned. A pair that shares no cell is not seen: the
+    number of cells rises with the pivots so that this is rare (recall in README). Null ids never name a component; a component
     without any id is null, and its rows are not kept. Same-named input columns
     are replaced.
     """
@@ -152,13 +174,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby(batch["vector"].map(len)):
-                points = pivots.get(dim)
                 units = unit(np.stack(part["vector"].to_numpy()).astype("float64"))
                 codes, factors = encode(units)
-                near = np.zeros((len(part), 1), "int64")
-                if points is not None and len(points) > CELLS:
-                    near = np.concatenate([np.argpartition(-(units[k : k + 4096] @ points.T), CELLS - 1, axis=1)[:, :CELLS] for k in range(0, len(units), 4096)])
-                near = np.sort(near.astype("int64") + (dim << 32), axis=1)
+                near = np.sort(nearest_cells(units, pivots.get(dim)).astype("int64") + (dim << 32), axis=1)
                 yield part.assign(code=[c.tobytes() for c in codes], factor=factors, cells=list(near))[["node", "vector", "copies", "code", "factor", "cells"]]
 
     coded = reps.select("node", "vector", "copies").mapInPandas(enter, "node long, vector array<double>, copies long, code binary, factor double, cells array<long>")
