@@ -19,7 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulon.llm.common import Memo, components, words_of, written
+from tabulon.llm.common import Memo, bits_for, components, running, top_bits, words_of, written
 
 SHINGLE = 4
 #: Share of the union that must be common, in hundredths.
@@ -28,8 +28,11 @@ PERCENT = 85
 COUNTED_BELOW = -(1 << 62)
 #: Documents in the sample that finds very frequent shingles, and how often they must occur in it.
 SAMPLE_DOCS, SAMPLE_TIMES, MAX_FREQUENT = 20_000, 40, 200_000
-#: Documents of one block; larger blocks are searched pairwise by parts.
-BLOCK_DOCS = 4096
+#: Documents and shingles of one block; larger blocks are searched pairwise by parts. A part
+#: has at most one document more than the shingles allow.
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
+#: Pieces that the postings of one shingle are counted in before they are put together.
+SALTS = 64
 #: Up to so many postings of short lists a heap merges; more are counted in one pass.
 HEAP_POSTINGS = 256
 #: The DivideSkip weight that balances merging and probing.
@@ -242,6 +245,39 @@ def prefix_lists(lists: DataFrame, nodes: DataFrame, frequent: np.ndarray, perce
     return placed.where(~F.col("first") | (F.col("place") <= prefix - (F.col("counted") - F.col("shared")))).select("token", "key")
 
 
+def shared_lists(posted: DataFrame) -> DataFrame:
+    """``token``, ``key``, ``df`` of the shingles that more than one set has, once for each set.
+
+    Smallest and largest key and the count come from partial sums and are joined
+    back; shingles with very many postings are dealt out by the key as well, so
+    that no task holds all postings of one.
+    """
+    found = posted.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("df")).where("low < high")
+    found = written(found.select("token", "df"), "counts")
+    hot = F.col("df") > BLOCK_DOCS * SALTS
+    many = found.where(hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = posted.withColumn("salt", F.pmod(F.xxhash64(F.lit(8), "key"), F.lit(SALTS)).cast("int"))
+    rest = posted
+    if not many.isEmpty():
+        rest = posted.join(F.broadcast(found.where(hot).select("token")), "token", "left_anti")
+    rows = rest.join(found.where(~hot), "token").select("token", "key", "df")
+    if not many.isEmpty():
+        rows = rows.unionByName(salted.join(many, ["token", "salt"]).select("token", "key", "df"))
+    return rows.distinct()
+
+
+def in_parts(sized: DataFrame) -> DataFrame:
+    """Add ``part``: sets of a block in the order of a hash, cut by the running sums of
+    documents and shingles, so that a pair of parts has bounded size."""
+    order = F.xxhash64(F.lit(6), "key")
+    # a document weighs as many shingles as it has, at least its share of a block of documents
+    weight = F.greatest(F.col("n"), F.lit(-(-BLOCK_SHINGLES // BLOCK_DOCS))).cast("long")
+    hashed = sized.withColumn("__order", order)
+    bucket = top_bits(F.col("__order"), bits_for(sized.count()))
+    summed = running(hashed, ["block"], bucket, ["__order", "key"], weight, "__sum")
+    return summed.withColumn("part", F.floor((F.col("__sum") - 1) / BLOCK_SHINGLES).cast("int")).drop("__order", "__sum")
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """For every row: its id (``id``), ``text_key``, ``n_shingles``, ``component_id`` and
     ``component`` (name of the component, null without shingles).
@@ -260,14 +296,13 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = measured.where("key IS NOT NULL").groupBy("key").agg(F.max("n").alias("n"), F.max("counted").alias("counted"), F.min("id").alias("least"), one)
     nodes = written(nodes, "nodes")
     # a shingle of two different sets is a list that can bring partners together
-    by_token = Window.partitionBy("token")
-    posted = postings(df, text_col, size, percent, frequent).select("token", "key", F.min("key").over(by_token).alias("low"), F.max("key").over(by_token).alias("high"), F.count("*").over(by_token).alias("df"))
-    lists = written(posted.where("low < high").select("token", "key", "df").distinct(), "lists")
+    lists = written(shared_lists(written(postings(df, text_col, size, percent, frequent), "postings")), "lists")
     prefix = written(prefix_lists(lists, nodes, frequent, percent), "prefix")
     hubs = prefix.groupBy("token").agg(F.min("key").alias("hub"))
     blocks = components(prefix.join(hubs, "token").select(F.col("key").alias("a"), F.col("hub").alias("b")))
-    parts = blocks.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
-    members = blocks.join(parts, "root").join(nodes, F.col("node") == F.col("key")).select("key", "n", F.col("root").alias("block"), "parts", F.col("one.id").alias("one_id"), F.col("one.text_key").alias("one_text"))
+    sized = blocks.join(nodes, F.col("node") == F.col("key")).select("key", "n", F.col("root").alias("block"), F.col("one.id").alias("one_id"), F.col("one.text_key").alias("one_text"))
+    placed = written(in_parts(sized), "placed")
+    members = placed.join(placed.groupBy("block").agg((F.max("part") + 1).alias("parts")), "block")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -275,10 +310,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield batch.drop(columns="text")
 
     texts = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    chosen = texts.join(members, (F.col("text_key") == F.col("one_text")) & F.col("id").eqNullSafe(F.col("one_id"))).select("key", "n", "block", "parts", "text")
-    sets = chosen.mapInPandas(sets_of, "key long, n long, block long, parts int, shingles binary")
-    cut = sets.withColumn("part", F.pmod(F.xxhash64(F.lit(6), "key"), F.col("parts").cast("long")).cast("int"))
-    sent = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")})
+    chosen = texts.join(members, (F.col("text_key") == F.col("one_text")) & F.col("id").eqNullSafe(F.col("one_id"))).select("key", "n", "block", "part", "parts", "text")
+    sets = chosen.mapInPandas(sets_of, "key long, n long, block long, part int, parts int, shingles binary")
+    sent = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")})
 
     def searched(group: pd.DataFrame) -> pd.DataFrame:
         return search(group.drop_duplicates("key"), percent)
