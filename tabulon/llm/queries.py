@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import embeddings, lm, mixing, overlap, packing, quality, sharding, tokens, toxicity, warc
+from tabulon.llm import classifier, embeddings, lm, mixing, overlap, packing, quality, sharding, tokens, toxicity, warc
 from tabulon.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Masked pseudo-likelihood of every whole document under a network of all documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return lm.score_documents(docs, lm.fit(docs)).drop("text")
+
+
+@query("op11_quality_classifier")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every whole document, learnt from labels that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, table(spark, folder, "labels"))
+    scored = docs.select("doc_id", (classifier.remainder(F.col("doc_id")) == 2).alias("held_out"), classifier.class_score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
