@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import classifier, embeddings, lm, mixing, overlap, packing, quality, sharding, tokens, toxicity, warc
+from tabulon.llm import classifier, embeddings, lm, merkle, mixing, overlap, packing, quality, sharding, tokens, toxicity, warc
 from tabulon.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     model = classifier.fit(docs, table(spark, folder, "labels"))
     scored = docs.select("doc_id", (classifier.remainder(F.col("doc_id")) == 2).alias("held_out"), classifier.class_score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves, roots and checked proofs of all documents, a third of them tampered with."""
+    docs = table(spark, folder, "documents")
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(touched, merkle.lower_cased(F.col("text"))).otherwise(F.col("text"))
+    return merkle.prove(docs, {"text": text}).withColumnRenamed("id", "doc_id")
