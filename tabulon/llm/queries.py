@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import classifier, embeddings, lm, merkle, mixing, overlap, packing, quality, sharding, tokens, toxicity, warc
+from tabulon.llm import classifier, embeddings, lm, merkle, mixing, overlap, packing, phrases, quality, sharding, tokens, toxicity, warc
 from tabulon.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     text = F.when(touched, merkle.lower_cased(F.col("text"))).otherwise(F.col("text"))
     return merkle.prove(docs, {"text": text}).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_phrase_collocations", phrases.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of two to five words of each language over all documents."""
+    return phrases.collocations(table(spark, folder, "documents"))
