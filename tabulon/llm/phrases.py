@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
@@ -29,7 +28,12 @@ LONGEST, LEAST, FIRST = 5, 100, 2_000
 #: A candidate goes if a longer one that holds it has this share of its occurrences, in hundredths.
 SHARE = 100
 #: Words and distinct words of a chunk, but for one document more, and bytes of text that are split at once.
-CHUNK_WORDS, CHUNK_DISTINCT, SPLIT_BYTES = 4_000_000, 1_000_000, 4_000_000
+CHUNK_WORDS, CHUNK_DISTINCT, SPLIT_BYTES = 2_500_000, 1_000_000, 4_000_000
+#: Rows that a task passes on at once.
+BATCH_ROWS = 100_000
+#: The word relation and the relation of a level: rows that name or count groups, and rows of occurrences.
+WORDS = pa.schema({"chunk": pa.int64(), "lang": pa.string(), "word": pa.string(), "code": pa.int32(), "n": pa.int64(), "pos": pa.binary(), "codes": pa.binary()})
+ROWS = pa.schema({"chunk": pa.int64(), "code": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "pos": pa.binary(), "codes": pa.binary()})
 
 #: Ends of pieces become a byte that no UTF-8 text holds; A-Z become lower case.
 BREAK = b"\xff"
@@ -60,6 +64,12 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), "<i4")
 
 
+def row_batch(schema: pa.Schema, chunk: int, rows: int, **columns) -> pa.RecordBatch:
+    """Rows of one chunk; columns that are not given are null."""
+    columns["chunk"] = np.full(rows, chunk)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
 def occurrences(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """The word relation of whole texts: rows (``chunk``, ``lang``, ``word``, ``code``, ``n``) name
     the words of a chunk, rows (``chunk``, ``pos``, ``codes``) hold its occurrences."""
@@ -75,13 +85,12 @@ def occurrences(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 mine = np.concatenate(runs[lang])
                 n = np.bincount(mine, minlength=len(found))[1:]
                 words = [w.decode("utf-8", "surrogatepass") for w in found if w != BREAK]
-                named = {"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(words, pa.string()), "code": pa.array(np.arange(base, base + len(words)), pa.int32()), "n": pa.array(n, pa.int64())}
-                yield row_batch(first + chunk, len(words), **named)
+                yield row_batch(WORDS, first + chunk, len(words), lang=[lang] * len(words), word=words, code=np.arange(base, base + len(words)), n=n)
                 parts.append(np.where(mine > 0, mine + (base - 1), 0))
                 base += len(words)
             whole = np.concatenate(parts)
             at = np.flatnonzero(whole)
-            yield row_batch(first + chunk, 1, pos=pa.array([packed(np.diff(at, prepend=0))], pa.binary()), codes=pa.array([packed(whole[at])], pa.binary()))
+            yield row_batch(WORDS, first + chunk, 1, pos=[packed(np.diff(at, prepend=0))], codes=[packed(whole[at])])
 
         for batch in batches:
             langs, texts = batch["lang"].to_pylist(), batch["text"].cast(pa.binary())
@@ -108,43 +117,38 @@ def occurrences(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return narrow.mapInArrow(read, "chunk long, lang string, word string, code int, n long, pos binary, codes binary")
 
 
-KINDS = {"lang": pa.string(), "word": pa.string(), "code": pa.int32(), "n": pa.int64(), "pos": pa.binary(), "codes": pa.binary()}
-
-
-def row_batch(chunk: int, rows: int, **columns) -> pa.RecordBatch:
-    """Rows of one chunk; columns that are not given are null."""
-    arrays = [pa.array(np.full(rows, chunk), pa.int64()), *[columns.get(c, pa.nulls(rows, kind)) for c, kind in KINDS.items()]]
-    return pa.RecordBatch.from_arrays(arrays, names=["chunk", *KINDS])
-
-
 def extend(relation: DataFrame, frequent: DataFrame) -> DataFrame:
     """Semi-join of the relation with the frequent groups of each chunk (``chunk``, ``code``,
     ``id``), then the merge-join of neighbours: rows (``chunk``, ``code``, ``a``, ``b``, ``n``) count
     the groups of each chunk, where ``a`` and ``b`` are the phrase without its last and
     first word; rows (``chunk``, ``pos``, ``codes``) hold their occurrences."""
 
-    def joined(chunk: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+    def joined(chunk: pa.Table, groups: pa.Table) -> pa.Table:
         if not len(chunk) or not len(groups):
-            return pd.DataFrame({"chunk": pd.Series([], dtype="int64"), "code": pd.Series([], dtype="Int32"), "a": pd.Series([], dtype="Int64"), "b": pd.Series([], dtype="Int64"), "n": pd.Series([], dtype="Int64"), "pos": [], "codes": []})
-        pos, codes = np.cumsum(unpacked(chunk["pos"].iat[0]), dtype="int64"), unpacked(chunk["codes"].iat[0])
-        known, ids = groups["code"].to_numpy("int64"), groups["id"].to_numpy("int64")
-        place = np.full(max(int(codes.max(initial=0)), int(known.max())) + 1, -1, "int64")
+            return pa.Table.from_batches([], ROWS)
+        pos, codes = np.cumsum(unpacked(chunk["pos"][0].as_py()), dtype="int32"), unpacked(chunk["codes"][0].as_py())
+        known, ids = groups["code"].to_numpy(), groups["id"].to_numpy()
+        place = np.full(max(int(codes.max(initial=0)), int(known.max())) + 1, -1, "int32")
         place[known] = np.arange(len(known))
         mine = place[codes]
         kept = mine >= 0
         pos, mine = pos[kept], mine[kept]
         # positions ascend without ties, so that the neighbour of a row in the merge is the next row
-        near = np.flatnonzero(pos[1:] == pos[:-1] + 1)
-        pairs, code, n = np.unique(mine[near] * len(ids) + mine[near + 1], return_inverse=True, return_counts=True)
-        counts = pd.DataFrame({"code": np.arange(len(pairs)), "a": ids[pairs // len(ids)], "b": ids[pairs % len(ids)], "n": n}).astype({"code": "Int32", "a": "Int64", "b": "Int64", "n": "Int64"})
-        counts["pos"] = counts["codes"] = None
-        rows = pd.DataFrame({"code": pd.array([None], "Int32"), "a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "n": pd.array([None], "Int64"), "pos": [packed(np.diff(pos[near], prepend=0))], "codes": [packed(code)]})
-        out = pd.concat([counts, rows], ignore_index=True)
-        out.insert(0, "chunk", chunk["chunk"].iat[0])
-        return out
+        near = np.flatnonzero(pos[1:] == pos[:-1] + 1).astype("int32")
+        pairs = mine[near].astype("int64") * len(ids) + mine[near + 1]
+        pos = pos[near]
+        del codes, mine, kept, near
+        pairs, code, n = np.unique(pairs, return_inverse=True, return_counts=True)
+        home, code = chunk["chunk"][0].as_py(), code.astype("int32")
+        batches = [row_batch(ROWS, home, 1, pos=[packed(np.diff(pos, prepend=0))], codes=[packed(code)])]
+        for at in range(0, len(pairs), BATCH_ROWS):
+            part = pairs[at : at + BATCH_ROWS]
+            counted = {"code": np.arange(at, at + len(part)), "a": ids[part // len(ids)], "b": ids[part % len(ids)], "n": n[at : at + BATCH_ROWS]}
+            batches.append(row_batch(ROWS, home, len(part), **counted))
+        return pa.Table.from_batches(batches)
 
     chunks = relation.where("codes IS NOT NULL").select("chunk", "pos", "codes")
-    return chunks.groupBy("chunk").cogroup(frequent.select(F.col("chunk").alias("home"), "code", "id").groupBy("home")).applyInPandas(joined, "chunk long, code int, a long, b long, n long, pos binary, codes binary")
+    return chunks.groupBy("chunk").cogroup(frequent.select(F.col("chunk").alias("home"), "code", "id").groupBy("home")).applyInArrow(joined, "chunk long, code int, a long, b long, n long, pos binary, codes binary")
 
 
 def numbered(groups: DataFrame, label: str) -> DataFrame:
