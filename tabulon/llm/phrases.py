@@ -29,6 +29,8 @@ LONGEST, LEAST, FIRST = 5, 100, 2_000
 SHARE = 100
 #: Words and distinct words of a chunk, but for one document more, and bytes of text that are split at once.
 CHUNK_WORDS, CHUNK_DISTINCT, SPLIT_BYTES = 2_500_000, 1_000_000, 4_000_000
+#: Bits of a code: a group's number is that of its first chunk and its code there.
+CODE_BITS = 27
 #: Rows that a task passes on at once.
 BATCH_ROWS = 100_000
 #: The word relation and the relation of a level: rows that name or count groups, and rows of occurrences.
@@ -64,6 +66,11 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), "<i4")
 
 
+def check_codes(codes: int) -> None:
+    if codes > 1 << CODE_BITS:
+        raise ValueError(f"a chunk of documents has {codes} groups, more than {1 << CODE_BITS}")
+
+
 def row_batch(schema: pa.Schema, chunk: int, rows: int, **columns) -> pa.RecordBatch:
     """Rows of one chunk; columns that are not given are null."""
     columns["chunk"] = np.full(rows, chunk)
@@ -75,7 +82,7 @@ def occurrences(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     the words of a chunk, rows (``chunk``, ``pos``, ``codes``) hold its occurrences."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, chunk, held, distinct = TaskContext.get().partitionId() << 32, 0, 0, 0
+        first, chunk, held, distinct = TaskContext.get().partitionId() << 16, 0, 0, 0
         codes: dict[str, Codes] = {}
         runs: dict[str, list[np.ndarray]] = {}
 
@@ -88,6 +95,7 @@ def occurrences(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 yield row_batch(WORDS, first + chunk, len(words), lang=[lang] * len(words), word=words, code=np.arange(base, base + len(words)), n=n)
                 parts.append(np.where(mine > 0, mine + (base - 1), 0))
                 base += len(words)
+            check_codes(base)
             whole = np.concatenate(parts)
             at = np.flatnonzero(whole)
             yield row_batch(WORDS, first + chunk, 1, pos=[packed(np.diff(at, prepend=0))], codes=[packed(whole[at])])
@@ -139,6 +147,7 @@ def extend(relation: DataFrame, frequent: DataFrame) -> DataFrame:
         pos = pos[near]
         del codes, mine, kept, near
         pairs, code, n = np.unique(pairs, return_inverse=True, return_counts=True)
+        check_codes(len(pairs))
         home, code = chunk["chunk"][0].as_py(), code.astype("int32")
         batches = [row_batch(ROWS, home, 1, pos=[packed(np.diff(pos, prepend=0))], codes=[packed(code)])]
         for at in range(0, len(pairs), BATCH_ROWS):
@@ -151,30 +160,35 @@ def extend(relation: DataFrame, frequent: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(frequent.select(F.col("chunk").alias("home"), "code", "id").groupBy("home")).applyInArrow(joined, "chunk long, code int, a long, b long, n long, pos binary, codes binary")
 
 
-def numbered(groups: DataFrame, label: str) -> DataFrame:
-    """Frequent groups with an ``id`` each, written so that the ids stay."""
-    return written(groups.withColumn("id", F.monotonically_increasing_id()), label)
+def frequent_groups(counted: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
+    """The rows (``chunk``, ``code``, ...) of groups with at least ``least`` occurrences over all
+    chunks, with these (``f``) and the group's ``id``.
+
+    Counting and semi-join are one shuffle: each chunk sends one row a group, so that a
+    group has at most as many rows as there are chunks, however often it occurs.
+    """
+    at = F.col("chunk") * (1 << CODE_BITS) + F.col("code")
+    group = Window.partitionBy(*keys)
+    found = counted.withColumn("at", at).withColumns({"f": F.sum("n").over(group), "id": F.min("at").over(group)})
+    return written(found.where(F.col("f") >= least).select("chunk", "code", "at", "id", "f", *keys), label)
 
 
 def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``lang``, ``phrase``, ``words``, ``f`` of all phrases of up to ``longest`` words with at least
     ``least`` occurrences, and ``lang``, ``n`` (occurrences of all words)."""
     relation = written(occurrences(df, text_col, lang_col), "words")
-    named = relation.where("word IS NOT NULL")
-    counts = written(named.groupBy("lang", "word").agg(F.sum("n").alias("f")), "counts")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    level = numbered(counts.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f"), "phrases")
+    named = relation.where("word IS NOT NULL").select("chunk", "code", "lang", "word", "n")
+    totals = named.groupBy("lang").agg(F.sum("n").alias("n"))
+    frequent = frequent_groups(named, ["lang", "word"], least, "frequent")
+    level = frequent.where("at = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
     found = level.select("lang", "phrase", F.lit(1).alias("words"), "f")
-    frequent = named.select("chunk", "lang", F.col("word").alias("phrase"), "code").join(level.select("lang", "phrase", "id"), ["lang", "phrase"])
     for words in range(2, longest + 1):
         relation = written(extend(relation, frequent), "relation")
-        counted = relation.where("a IS NOT NULL")
-        groups = counted.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        frequent = frequent_groups(relation.where("a IS NOT NULL").select("chunk", "code", "a", "b", "n"), ["a", "b"], least, "frequent")
         heads, tails = level.select(F.col("id").alias("a"), "lang", "phrase"), level.select(F.col("id").alias("b"), "last")
-        longer = groups.join(heads, "a").join(tails, "b")
-        level = numbered(longer.select("a", "b", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f"), "phrases")
+        longer = frequent.where("at = id").select("id", "a", "b", "f").join(heads, "a").join(tails, "b")
+        level = written(longer.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f"), "phrases")
         found = found.unionByName(level.select("lang", "phrase", F.lit(words).alias("words"), "f"))
-        frequent = counted.select("chunk", "code", "a", "b").join(level.select("a", "b", "id"), ["a", "b"])
     return found, totals
 
 
