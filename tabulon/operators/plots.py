@@ -123,39 +123,57 @@ def _bandwidths(rows: DataFrame, top: list[tuple]) -> DataFrame:
     )
 
 
+#: Beyond so many bandwidths exp(-d * d / 2) is 0 in double precision.
+REACH = 38.61
+
+
+def kernel_terms(rows: DataFrame, bands: DataFrame, grid: int) -> DataFrame:
+    """Each value (``group``, ``x``, ``times``) beside the grid points (``point``, ``at``) that its
+    kernel reaches, found by index arithmetic on the equidistant grid of its group."""
+    near = rows.join(F.broadcast(bands), "group")
+    place = lambda offset: F.least(F.greatest((F.col("x") + offset - F.col("start")) / F.col("step"), F.lit(-1.0)), F.lit(grid + 0.0))
+    reach = F.col("bandwidth") * REACH
+    # a point more on either side, where division is off by rounding
+    first = F.greatest(F.ceil(place(-reach)) - 1, F.lit(0))
+    last = F.least(F.floor(place(reach)) + 1, F.lit(grid - 1))
+    reached = near.withColumn("point", F.explode(F.sequence(first, last)))
+    return reached.withColumn("at", F.col("start") + F.col("point") * F.col("step"))
+
+
 def density(df: DataFrame, column: str, group: str, k: int = 6, grid: int = 100) -> DataFrame:
     """Gaussian kernel density of the k largest groups on a grid; sums to 1 per group.
 
-    Every value meets every grid point of its group, but inside the map tasks:
-    only k*grid partial sums leave them. Repeated values are counted first where
+    A value meets only the grid points that its kernel reaches, inside the map tasks:
+    k*grid partial sums at most leave them. Repeated values are counted first where
     that saves most of the work.
     """
     rows, top = _kde_rows(df, column, group, k)
     bands = _bandwidths(rows, top).where("count >= 3")
     pad = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) * 0.1).otherwise(1.0)
-    points = (
+    bands = (
         bands.withColumn("pad", pad)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
         .withColumn("start", F.col("lo") - F.col("pad"))
         .withColumn("step", (F.col("hi") + F.col("pad") - F.col("start")) / F.lit(max(grid - 1, 1)))
-        .select("group", "count", "bandwidth", "point", (F.col("start") + F.col("point") * F.col("step")).alias("at"))
+        .select("group", "count", "bandwidth", "start", "step")
     )
     distinct = rows.agg(F.approx_count_distinct(F.xxhash64("group", "x"))).first()[0]
     if distinct * 8 <= sum(n for _, n in top):
         rows = rows.groupBy("group", "x").agg(F.count(F.lit(1)).alias("times"))
     else:
         rows = rows.withColumn("times", F.lit(1))
+    terms = kernel_terms(rows, bands, grid)
     distance = (F.col("at") - F.col("x")) / F.col("bandwidth")
-    sums = (
-        rows.join(F.broadcast(points), "group")
-        .groupBy("group", "point", "at", "count")
-        .agg(F.sum(F.col("times") * F.exp(-0.5 * distance * distance)).alias("weight"))
+    sums = terms.groupBy("group", "point").agg(F.sum(F.col("times") * F.exp(-0.5 * distance * distance)).alias("weight"))
+    points = bands.withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid - 1).cast("bigint"))))
+    # points that no kernel reaches have no sum
+    weights = points.join(F.broadcast(sums), ["group", "point"], "left").select(
+        "group", "point", "count", (F.col("start") + F.col("point") * F.col("step")).alias("at"), F.coalesce("weight", F.lit(0.0)).alias("weight")
     )
     total = sums.groupBy("group").agg(F.sum("weight").alias("total"))
     share = F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(F.col("weight"))
     return (
-        sums.join(F.broadcast(total), "group")
-        .select(F.col("group").cast("string").alias("group"), "point", F.col("at").alias("x"), share.alias("density"), "count")
+        weights.join(F.broadcast(total), "group")
+        .select(F.col("group").cast("string").alias("group"), F.col("point").cast("int").alias("point"), F.col("at").alias("x"), share.alias("density"), "count")
         .orderBy("group", "point")
     )
 

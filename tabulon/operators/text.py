@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.operators.topk import top_per_group
 from tabulon.schema import present, ref, require
-from tabulon.session import spread
+from tabulon.session import checkpointed, spread
 
 MIN_DOCS = 50
 
@@ -56,17 +56,55 @@ def with_terms(docs: DataFrame, stop_words: Sequence[str], text: str = "text") -
     return docs.withColumn("tokens", tokens).withColumn("terms", F.concat("tokens", pairs)).drop("tokens")
 
 
+def _occurrences(docs: DataFrame, terms: Column) -> DataFrame:
+    """``(d, term)``: every occurrence of an array column with 0, and with 1 each distinct
+    term of a row. Documents are made distinct per row, before any shuffle."""
+    occurrence = F.array(F.struct(F.lit(0).alias("d"), terms.alias("t")), F.struct(F.lit(1).alias("d"), F.array_distinct(terms).alias("t")))
+    return docs.select(F.inline(occurrence)).select("d", F.explode("t").alias("term"))
+
+
+def _term_counts(occurrences: DataFrame) -> DataFrame:
+    """``(term, df, cf)``; the aggregate combines in the map tasks."""
+    return occurrences.groupBy("term").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("cf"))
+
+
+#: Words that may stand in a counted pair are broadcast up to this number.
+BROADCAST_WORDS = 200_000
+
+
+def possible_pairs(docs: DataFrame, words: DataFrame, n_docs: int, min_df: int, max_df: float, max_features: int | None) -> DataFrame:
+    """Occurrences ``(d, term)`` of the pairs that may still get into the vocabulary.
+
+    A pair occurs no more often, and in no more documents, than either of its words.
+    Where ``max_features`` words pass the limits already, the count of the last of
+    these is a floor for pairs as well.
+    """
+    kept = words.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    least = 0
+    if max_features is not None:
+        row = kept.orderBy(F.desc("cf")).limit(max_features).agg(F.count("*").alias("n"), F.min("cf").alias("least")).first()
+        least = row["least"] if row["n"] == max_features and max_features else 0
+    able = words.where((F.col("df") >= min_df) & (F.col("cf") >= least)).select("term")
+    able = F.broadcast(able) if able.count() <= BROADCAST_WORDS else able
+    parts = _occurrences(docs, F.filter("terms", lambda t: t.contains(" "))).select(
+        "d", "term", F.substring_index("term", " ", 1).alias("left"), F.substring_index("term", " ", -1).alias("right")
+    )
+    for side in ("left", "right"):
+        parts = parts.join(able.withColumnRenamed("term", side), side, "left_semi")
+    return parts.select("d", "term")
+
+
 def tfidf_terms(
     docs: DataFrame, n_docs: int, min_df: int = 5, max_df: float = 0.85, max_features: int | None = 2000
 ) -> DataFrame:
     """``(term, df, cf, idf)`` of the kept vocabulary, by corpus frequency.
 
-    Documents are made distinct per row, before the shuffle: the aggregate on the
-    term combines in the map tasks and no (document, term) table is shuffled.
+    Words are counted first. Only pairs that can pass the limits after that are
+    counted, so that the many pairs of rare words are never shuffled.
     """
-    occurrence = F.array(F.struct(F.lit(0).alias("d"), F.col("terms").alias("t")), F.struct(F.lit(1).alias("d"), F.array_distinct("terms").alias("t")))
-    flat = docs.select(F.inline(occurrence)).select("d", F.explode("t").alias("term"))
-    counted = flat.groupBy("term").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("cf"))
+    words = checkpointed(_term_counts(_occurrences(docs, F.filter("terms", lambda t: ~t.contains(" ")))))
+    pairs = possible_pairs(docs, words, n_docs, min_df, max_df, max_features)
+    counted = words.unionByName(_term_counts(pairs))
     kept = counted.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     if max_features is not None:
         kept = kept.orderBy(F.desc("cf"), "term").limit(max_features)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from tabulon.operators import features as f
@@ -228,6 +229,19 @@ def _(t: Tables):
     return models.cv_r2(_prepared(t), "Linear Regression", 5)
 
 
+@query(
+    "cv_moments",
+    """WITH r AS (SELECT l_orderkey % 5 AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+    s AS (SELECT fold, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy FROM r GROUP BY fold),
+    o AS (SELECT a.fold, sum(b.n) AS n, sum(b.x) AS x, sum(b.y) AS y, sum(b.xx) AS xx, sum(b.xy) AS xy FROM s a JOIN s b ON b.fold <> a.fold GROUP BY a.fold),
+    m AS (SELECT fold, (xy - x * y / n) / (xx - x * x / n) AS slope, x / n AS mx, y / n AS my FROM o)
+    SELECT CAST(fold AS INT) AS fold, count(*) AS n, round(1 - avg((y - my - slope * (x - mx)) ** 2) / var_pop(y), 8) AS r2 FROM r JOIN m USING (fold) GROUP BY fold""",
+)
+def _(t: Tables):
+    rows = t.lineitem.select("l_orderkey", array_to_vector(F.array("l_quantity")).alias("features"), F.col("l_extendedprice").alias("label"))
+    return rounded(models.moment_cv(rows, F.col("l_orderkey") % 5), 8, "r2")
+
+
 @query("feature_importance")
 def _(t: Tables):
     return models.train_model(_prepared(t), "Decision Tree").feature_importance()
