@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from tabulon.functions.coerce import nonfinite_to_null
 from tabulon.functions.labels import format_number
@@ -103,6 +103,34 @@ def _(t: Tables):
     return extend_counts(t.orders, _new_rows(t))
 
 
+_MISSING = ", ".join(f"'{m}'" for m in tables.MISSING)
+
+
+@query(
+    "csv_types_and_rejects",
+    f"""WITH c AS (SELECT nullif(trim(numeric_text), 'n/a') AS x, date_text AS d, CASE WHEN trim(nexus_focus) IN ({_MISSING}) THEN NULL ELSE nexus_focus END AS f FROM entries)
+    SELECT 'schema' AS way, 'row_id' AS "column", 'bigint' AS dtype, count(*) AS cells, CAST(0 AS BIGINT) AS rejects FROM c
+    UNION ALL SELECT 'schema', 'numeric_text', 'int', count(x), count(x) FILTER (TRY_CAST(x AS INT) IS NULL) FROM c
+    UNION ALL SELECT 'schema', 'date_text', 'date', count(d), count(d) FILTER (TRY_CAST(d AS DATE) IS NULL) FROM c
+    UNION ALL SELECT 'schema', 'nexus_focus', 'string', count(f), 0 FROM c
+    UNION ALL SELECT 'inferred', 'row_id', 'bigint', count(*), 0 FROM c
+    UNION ALL SELECT 'inferred', 'numeric_text', 'string', count(x), 0 FROM c
+    UNION ALL SELECT 'inferred', 'date_text', 'string', count(d), 0 FROM c
+    UNION ALL SELECT 'inferred', 'nexus_focus', 'string', count(f), 0 FROM c""",
+)
+def _(t: Tables):
+    path = scratch_dir(t.spark, "csv")
+    t.entries.select("row_id", "numeric_text", "date_text", "nexus_focus").write.mode("overwrite").option("header", True).csv(path)
+    out = None
+    for way, schema in (("schema", "row_id bigint, numeric_text int, date_text date, nexus_focus string"), ("inferred", None)):
+        rejects = Observation(way)
+        df = tables.load_table(t.spark, path, schema=schema, rejects=rejects)
+        df.write.format("noop").mode("overwrite").save()
+        rows = tables.reject_counts(df, rejects).select(F.lit(way).alias("way"), "column", "dtype", "cells", "rejects")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("snapshot_roundtrip", "SELECT row_id, region, funding_usd FROM entries WHERE funding_usd IS NOT NULL")
 def _(t: Tables):
     store = SnapshotStore(t.spark, scratch_dir(t.spark, "snapshots"))

@@ -1,7 +1,8 @@
 """Saved copies of table variants.
 
-The data is written first and its index row second: a failed write leaves no
-entry. The index only grows by appending.
+A snapshot is a folder with its rows and a manifest of one row, which is written last
+and only if there is none: a failed or doubled write leaves no second entry. The list
+is the manifests, read together.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 
 INDEX_SCHEMA = "id string, variant string, label string, timestamp string, rows bigint, cols int"
 
@@ -20,46 +21,47 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _data(self, snapshot_id: str) -> str:
-        return f"{self.root}/data/{snapshot_id}"
+    def _rows(self, snapshot_id: str) -> str:
+        return f"{self.root}/data/{snapshot_id}/rows"
+
+    def _manifest(self, snapshot_id: str) -> str:
+        return f"{self.root}/data/{snapshot_id}/manifest"
 
     def take(self, df: DataFrame, variant: str, label: str = "") -> str:
         if variant not in ("cleaned", "extended"):
             raise ValueError("only the cleaned and the extended variant can be saved")
         now = datetime.now(timezone.utc)
         snapshot_id = f"SNAP-{variant}-{now:%Y%m%d_%H%M%S_%f}"
-        df.write.parquet(self._data(snapshot_id))
-        saved = self.spark.read.parquet(self._data(snapshot_id))
-        row = (snapshot_id, variant, label or f"{variant} snapshot", now.isoformat(), saved.count(), len(saved.columns))
-        self.spark.createDataFrame([row], INDEX_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/index")
+        df.write.mode("error").parquet(self._rows(snapshot_id))
+        rows = self.spark.read.schema(df.schema).parquet(self._rows(snapshot_id)).count()
+        row = (snapshot_id, variant, label or f"{variant} snapshot", now.isoformat(), rows, len(df.columns))
+        self.spark.createDataFrame([row], INDEX_SCHEMA).coalesce(1).write.mode("error").parquet(self._manifest(snapshot_id))
         return snapshot_id
 
-    def _index(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(INDEX_SCHEMA).parquet(f"{self.root}/index")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], INDEX_SCHEMA)
-
-    def list(self, variant: str | None = None) -> DataFrame:
-        """Index rows whose data is still there. The index is small by design."""
-        index = self._index() if variant is None else self._index().where(F.col("variant") == variant)
-        gone = [row["id"] for row in index.select("id").collect() if self._open(row["id"]) is None]
-        return index.where(~F.col("id").isin(gone)) if gone else index
-
-    def _open(self, snapshot_id: str) -> DataFrame | None:
+    def _found(self, reader: DataFrameReader, path: str, fmt: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self._data(snapshot_id))
+            return reader.format(fmt).load(path)
         except AnalysisException as error:
             if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
+    def list(self, variant: str | None = None) -> DataFrame:
+        """Manifests whose rows are still there: one read of all manifests, semi-joined with
+        one listing of the files of rows, however many snapshots there are."""
+        manifests = self._found(self.spark.read.schema(INDEX_SCHEMA), self._manifest("*"), "parquet")
+        files = self._found(self.spark.read, f"{self._rows('*')}/*.parquet", "binaryFile")
+        if manifests is None or files is None:
+            return self.spark.createDataFrame([], INDEX_SCHEMA)
+        present = files.select(F.regexp_extract("path", r"/data/([^/]+)/rows/", 1).alias("id")).distinct()
+        found = manifests.join(present, "id", "left_semi")
+        return found if variant is None else found.where(F.col("variant") == variant)
+
     def restore(self, snapshot_id: str) -> tuple[str, DataFrame]:
         """The variant name and its data."""
-        row = self._index().where(F.col("id") == snapshot_id).first()
-        df = self._open(snapshot_id) if row else None
+        manifest = self._found(self.spark.read.schema(INDEX_SCHEMA), self._manifest(snapshot_id), "parquet")
+        row = manifest.first() if manifest is not None else None
+        df = self._found(self.spark.read, self._rows(snapshot_id), "parquet") if row else None
         if df is None:
             raise KeyError(f"no snapshot {snapshot_id}")
         return row["variant"], df

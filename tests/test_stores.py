@@ -1,14 +1,14 @@
 """Sources, variants, snapshots, results and run queries."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from tabulon.operators import runs, synth
 from tabulon.sources.catalog import Catalog, extend, extend_counts
 from tabulon.sources.results import ResultStore
 from tabulon.sources.snapshots import SnapshotStore
 from tabulon.sources.spec import load_spec
-from tabulon.sources.tables import load_table
+from tabulon.sources.tables import load_table, reject_counts
 
 
 @pytest.fixture
@@ -82,6 +82,41 @@ def test_snapshots(spark, base, tmp_path):
         store.restore(first)
 
 
+def test_many_snapshots_are_listed_together(spark, base, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def write(folder, columns):
+        folder.mkdir(parents=True)
+        pq.write_table(pa.table(columns), folder / "part.parquet")
+
+    kinds = {"id": pa.string(), "variant": pa.string(), "label": pa.string(), "timestamp": pa.string(), "rows": pa.int64(), "cols": pa.int32()}
+    for i in range(1000):
+        write(tmp_path / "data" / f"S{i}" / "rows", {f"c{i % 7}": [1]})
+        if i % 10:  # the others were not finished
+            row = (f"S{i}", "cleaned" if i % 2 else "extended", "x", "t", 1, 1)
+            write(tmp_path / "data" / f"S{i}" / "manifest", {c: pa.array([v], k) for (c, k), v in zip(kinds.items(), row)})
+    store = SnapshotStore(spark, str(tmp_path))
+    spark.sparkContext.setJobGroup("listing", "snapshots")
+    found = {r["id"] for r in store.list().collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("listing")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {f"S{i}" for i in range(1000) if i % 10} and len(jobs) < 10
+    assert store.list("cleaned").count() == 500
+    with pytest.raises(KeyError):
+        store.restore("S10")
+
+
+def test_rejects(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("i,d,s\n1,1.5,x\nfive,NA,\n7.5,1e3,y\n,oops,z\n")
+    seen = Observation("csv")
+    df = load_table(spark, str(path), schema="i int, d double, s string", rejects=seen)
+    assert sorted(map(str, df.collect())) == sorted(map(str, load_table(spark, str(path), schema="i int, d double, s string").collect()))
+    assert [tuple(r) for r in reject_counts(df, seen).collect()] == [("i", "int", 3, 2), ("d", "double", 3, 1), ("s", "string", 3, 0)]
+    assert seen.get["rows"] == 4
+
+
 def test_results(spark, tmp_path):
     store = ResultStore(spark, str(tmp_path))
     assert store.read().count() == 0
