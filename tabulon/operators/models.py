@@ -8,13 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.operators.features import FeatureModel, clean_target, fit_features, select_features, split
+from tabulon.operators.kmeans import fit_kmeans
 from tabulon.schema import ref, require
 from tabulon.session import spread, use_checkpoints
 
@@ -29,7 +29,7 @@ class ClusterMean:
 
     @property
     def inertia(self) -> float:
-        return self.model.summary.trainingCost
+        return self.model.cost
 
     def silhouette(self, frame: DataFrame) -> float:
         return ClusteringEvaluator().evaluate(self.model.transform(frame))
@@ -84,8 +84,7 @@ def _boosting(params: Mapping, train: DataFrame):
 
 def _cluster_mean(params: Mapping, train: DataFrame):
     k, restarts = params.get("n_clusters", 5), params.get("n_init", 10)
-    fits = (KMeans(k=k, seed=SEED + i).fit(train) for i in range(restarts))
-    model = min(fits, key=lambda m: m.summary.trainingCost)
+    model = fit_kmeans(train, k, [SEED + i for i in range(restarts)])
     rows = model.transform(train).groupBy("prediction").agg(F.avg("label").alias("mean"), F.count("label").alias("n")).collect()
     total = sum(r["n"] for r in rows)
     return ClusterMean(model, {r["prediction"]: r["mean"] for r in rows}, sum(r["mean"] * r["n"] for r in rows) / total)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabulon.operators.kmeans import fit_kmeans
 from tabulon.operators.topk import top_per_group
 from tabulon.schema import present, ref, require
 from tabulon.session import checkpointed, spread
@@ -181,12 +182,11 @@ def topic_distribution(model, features: TextFeatures, k: int = 8) -> DataFrame:
 
 
 def fit_clusters(features: TextFeatures, max_clusters: int = 6, restarts: int = 10, seed: int = 42):
-    """Best of several k-means runs on sparse vectors."""
+    """Best of several k-means runs on sparse vectors, all in one scan per iteration."""
     k = min(max_clusters, features.n_docs // MIN_DOCS)
     if k < 2:
         raise ValueError("too few documents for two clusters")
-    fits = (KMeans(k=k, seed=seed + i).fit(features.frame) for i in range(restarts))
-    return min(fits, key=lambda model: model.summary.trainingCost)
+    return fit_kmeans(features.frame, k, [seed + i for i in range(restarts)])
 
 
 def assign_clusters(model, features: TextFeatures) -> DataFrame:

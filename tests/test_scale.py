@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tabulon.operators import models, plots, text, topk
+from tabulon.operators import kmeans, models, plots, text, topk
 from tests.test_plans import plan
 
 
@@ -115,3 +117,50 @@ def test_moments_take_one_pass(spark, monkeypatch):
     prepared = models.Prepared(type("Names", (), {"names": ["a", "one"]})(), train, train, "label", "key")
     assert all(r["r2"] == pytest.approx(1.0) for r in models.cv_r2(prepared, "Linear Regression").collect()) and not fits
     assert models.moment_cv(train.limit(0), F.col("key") % 5).count() == 0
+
+
+# ---- restarts of k-means in one scan
+
+def blobs(spark, sparse):
+    rng = random.Random(7)
+    rows = []
+    for i in range(900):
+        middle = [(0, 0, 0), (6, 0, 0), (0, 6, 0), (0, 0, 6)][i % 4]
+        point = [m + rng.gauss(0, 1) for m in middle]
+        rows.append((i, Vectors.sparse(3, [j for j in range(3) if point[j] > 0], [x for x in point if x > 0]) if sparse or i % 9 == 0 else Vectors.dense(point)))
+    return spark.createDataFrame(rows, ["id", "features"]).persist()
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_restarts_together_equal_restarts_alone(spark, sparse):
+    frame = blobs(spark, sparse)
+    seeds = [1, 2, 3, 4, 5]
+    best = kmeans.fit_kmeans(frame, 4, seeds)
+    alone = [kmeans.fit_kmeans(frame, 4, [seed]) for seed in seeds]
+    assert best.costs == pytest.approx([m.cost for m in alone], rel=1e-9) and best.cost == pytest.approx(min(m.cost for m in alone), rel=1e-9)
+    assert best.scans == max(m.scans for m in alone)
+    points = np.array([r[0] for r in frame.select(vector_to_array("features")).collect()])
+    square = ((points[:, None] - best.centres) ** 2).sum(2)
+    assert best.cost == pytest.approx(square.min(1).sum(), rel=1e-9)
+    rows = best.transform(frame).orderBy("id").collect()
+    assert [r["prediction"] for r in rows] == square.argmin(1).tolist()
+    for i in range(4):
+        assert best.centres[i] == pytest.approx(points[square.argmin(1) == i].mean(0), abs=1e-3)
+    frame.unpersist()
+
+
+def test_scans_do_not_depend_on_restarts(spark, monkeypatch):
+    frame, scans = blobs(spark, True), []
+    count = kmeans.sums_by_centre
+    monkeypatch.setattr(kmeans, "sums_by_centre", lambda *args: scans.append(1) or count(*args))
+    kmeans.fit_kmeans(frame, 3, range(10), iterations=3)
+    assert len(scans) <= 4
+    frame.unpersist()
+
+
+def test_clusters_of_few_or_equal_rows(spark):
+    same = spark.createDataFrame([(i, Vectors.dense([1.0, 2.0])) for i in range(5)], ["id", "features"])
+    model = kmeans.fit_kmeans(same, 3, [1, 2])
+    assert model.cost == 0 and {r["prediction"] for r in model.transform(same).collect()} == {0}
+    with pytest.raises(ValueError):
+        kmeans.fit_kmeans(same.limit(0), 2, [1])
