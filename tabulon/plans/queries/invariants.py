@@ -12,10 +12,11 @@ from tabulon.operators import features as f
 from tabulon.operators import models, runs, synth, text
 from tabulon.operators import profiling as p
 from tabulon.plans import batch
-from tabulon.plans.queries.base import Tables, query, rounded, union_all
-from tabulon.plans.queries.models import FEATURES, GENERATED
+from tabulon.plans.queries.base import NUMERIC, Tables, query, rounded, union_all
+from tabulon.plans.queries.models import FEATURES
 from tabulon.plans.queries.text import TOKENS
 from tabulon.session import scratch_dir
+from tabulon.sources.catalog import extend
 from tabulon.sources.results import ResultStore
 
 LINEITEM_NUMBERS = {
@@ -94,17 +95,17 @@ def _(t: Tables):
     """SELECT count(*) AS rows, CAST(2 * count(*) AS BIGINT) AS extended, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS unknown, true AS near FROM entries""",
 )
 def _(t: Tables):
-    base = t.entries.select(*GENERATED)
-    n = base.count()
-    made = synth.generate(base, n, 0.05, 7)
-    limits = base.agg(F.min("funding_usd").alias("lo"), F.max("funding_usd").alias("hi"), F.avg("funding_usd").alias("mean"), F.stddev("funding_usd").alias("std"))
+    base = t.entries
+    made = synth.generate(base, base.count(), 0.05, 7)
+    extended = extend(base, made).agg(F.count(F.lit(1)).alias("extended"))
+    lo, hi = ({c: F.min(c).alias(f"lo_{c}") for c in NUMERIC}, {c: F.max(c).alias(f"hi_{c}") for c in NUMERIC})
+    limits = base.agg(*lo.values(), *hi.values(), F.avg("funding_usd").alias("mean"), F.stddev("funding_usd").alias("std"))
+    beyond = sum((F.count_if(~F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}"))) for c in NUMERIC), F.lit(0))
     inside = made.join(limits).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(~F.col("funding_usd").between(F.col("lo"), F.col("hi"))).alias("outside"),
-        (F.abs(F.avg("funding_usd") - F.first("mean")) < F.first("std")).alias("near"),
+        F.count(F.lit(1)).alias("rows"), beyond.alias("outside"), (F.abs(F.avg("funding_usd") - F.first("mean")) < F.first("std")).alias("near")
     )
     strange = made.join(base.select(F.col("region").alias("known")).distinct(), F.col("region") == F.col("known"), "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
-    return inside.join(strange).select("rows", (F.col("rows") + F.lit(n)).alias("extended"), "outside", "unknown", "near")
+    return inside.join(strange).join(extended).select("rows", "extended", "outside", "unknown", "near")
 
 
 @query(

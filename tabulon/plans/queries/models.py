@@ -9,51 +9,41 @@ from pyspark.sql import DataFrame, functions as F
 from tabulon.operators import features as f
 from tabulon.operators import models, runs, synth
 from tabulon.plans.queries.access import NUMBER_TEXT
-from tabulon.plans.queries.base import ENTRY_TYPES_BY_NAME, Tables, query, rounded, union_all
+from tabulon.plans.queries.base import CATEGORICAL, ENTRY_TYPES_BY_NAME, NUMERIC, Tables, query, rounded, union_all
 from tabulon.plans.queries.cleaning import nonblank
 from tabulon.sources.catalog import extend
 
 # ---- synthetic rows ---------------------------------------------------------
 
-GEN_NUMERIC = ["row_id", "year", "funding_usd", "population_served", "all_null_num"]
-GEN_CATEGORICAL = ["region", "organization", "sdg_alignment"]
-GENERATED = [c for c in ENTRY_TYPES_BY_NAME if c in GEN_NUMERIC + GEN_CATEGORICAL]
-
-
-def _generated(t: Tables) -> DataFrame:
-    return t.entries.select(*GENERATED)
-
-
 def _gen_sql() -> str:
     numeric = [
         f"""SELECT '{c}' AS "column", '{ENTRY_TYPES_BY_NAME[c]}' AS dtype, 'numeric' AS type, coalesce(CAST(min({c}) AS DOUBLE), 0) AS min,
             coalesce(CAST(max({c}) AS DOUBLE), 0) AS max, round(coalesce(avg(CAST({c} AS DOUBLE)), 0), 4) AS mean,
             round(coalesce(stddev_samp(CAST({c} AS DOUBLE)), 0), 4) AS std, NULL AS category, NULL AS prob, NULL AS unique_count FROM entries"""
-        for c in GENERATED
-        if c in GEN_NUMERIC
+        for c in NUMERIC
     ]
     categorical = [
-        f"""SELECT * FROM (SELECT '{c}', 'string', 'categorical', NULL, NULL, NULL, NULL, {c}, round(count(*) / (SELECT count({c}) FROM entries), 8),
+        f"""SELECT * FROM (SELECT '{c}', '{ENTRY_TYPES_BY_NAME[c]}', 'categorical', NULL, NULL, NULL, NULL, CAST({c} AS VARCHAR), round(count(*) / (SELECT count({c}) FROM entries), 8),
             (SELECT count(DISTINCT {c}) FROM entries) FROM entries WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 50)"""
-        for c in GEN_CATEGORICAL
+        for c in CATEGORICAL
     ]
     return union_all(numeric + categorical)
 
 
 @query("gen_schema", _gen_sql())
 def _(t: Tables):
-    return rounded(rounded(synth.generator_schema(_generated(t)), 4, "mean", "std"), 8, "prob")
+    return rounded(rounded(synth.generator_schema(t.entries), 4, "mean", "std"), 8, "prob")
 
 
 @query("gen_rows")
 def _(t: Tables):
-    base = _generated(t)
+    base = t.entries
     return synth.generate(base, base.count(), 0.05, 7)
 
 
 @query("gen_extend")
 def _(t: Tables):
-    base = _generated(t)
+    base = t.entries
     return extend(base, synth.generate(base, base.count(), seed=11)).groupBy("region").agg(F.count(F.lit(1)).alias("n"))
 
 

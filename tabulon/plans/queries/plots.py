@@ -129,20 +129,13 @@ def _(t: Tables):
     return plots.correlation(t.entries)
 
 
-_small = ["funding_usd", "investment_roi", "impact_score", "innovation_index", "constant_num"]
-_small_pairs = [(a, b) for i, a in enumerate(_small) for b in _small[i + 1 :]]
+_cells = [f"SELECT '{a}' AS x, '{b}' AS y, r{i} AS value FROM row" for i, (x, y) in enumerate(_pairs) for a, b in ((x, y), (y, x))]
+_cells += [f"SELECT '{a}' AS x, '{a}' AS y, 1e0 AS value FROM row" for a in CORRELATED]
 
 
-@query(
-    "correlation_matrix",
-    union_all(
-        [f"SELECT '{a}' AS x, '{b}' AS y, {_corr(a, b)} AS value FROM entries" for a, b in _small_pairs]
-        + [f"SELECT '{b}' AS x, '{a}' AS y, {_corr(a, b)} AS value FROM entries" for a, b in _small_pairs]
-        + [f"SELECT '{a}' AS x, '{a}' AS y, CASE WHEN count(*) > 0 THEN 1e0 END AS value FROM entries" for a in _small]
-    ),
-)
+@query("correlation_matrix", f"WITH {_upper} {union_all(_cells)}")
 def _(t: Tables):
-    return plots.correlation_matrix(t.entries, _small)
+    return plots.correlation_matrix(t.entries)
 
 
 @query(

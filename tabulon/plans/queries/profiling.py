@@ -150,12 +150,9 @@ def _(t: Tables):
     return p.categorical_breakdown(t.entries)
 
 
-WIDE = ["region", "organization", "sector", "ai_technique", "collaboration_type", "climate_zone", "status"]
-
-
-@query("breakdown_techniques", _breakdown(WIDE[:6], 3, 60, 60))
+@query("breakdown_techniques", _breakdown(CATEGORICAL, 3, 60, 60))
 def _(t: Tables):
-    return p.categorical_breakdown(t.entries.select("row_id", *WIDE), 6, 3, 60, None)
+    return p.categorical_breakdown(t.entries, len(CATEGORICAL), 3, 60, None)
 
 
 _OVERVIEW = (
