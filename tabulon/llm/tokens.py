@@ -5,10 +5,10 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
-import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
@@ -171,46 +171,61 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.of_piece: dict[str, bytes] = {}
-        self.of_chunk: dict[str, bytes] = {}
+        self.of_chunk: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
-    def learn(self, chunks: set[str], most: int = 1_000_000) -> None:
+    def learn(self, chunks: set[bytes], most: int = 1_000_000) -> None:
         """Make the ids of all ``chunks`` known."""
         if len(self.of_chunk) + len(chunks) > most:
             self.of_chunk.clear()
         if len(self.of_piece) > most:
             self.of_piece.clear()
-        missing = [c for c in chunks if c not in self.of_chunk]
-        cut = {c: [c.lower()] if c.isalpha() else KNOWN(c.lower()) if "<|" not in c else [c] for c in missing if c.isascii()}
-        pieces = {p for ps in cut.values() for p in ps if p not in self.of_piece}
-        pieces.update(c for c in missing if c not in cut)
+        missing = chunks.difference(self.of_chunk)
+        plain = {c: c.lower().decode() for c in missing if c.isalpha()}  # of bytes: ASCII letters only
+        rest = [c for c in missing if c not in plain]
+        cut = {c: KNOWN(c.lower().decode()) for c in rest if c.isascii() and b"<|" not in c}
+        whole = {c: c.decode("utf-8", "surrogatepass") for c in rest if c not in cut}
+        pieces = set(plain.values()).union(*cut.values()).difference(self.of_piece).union(whole.values())
         order = list(pieces)
         for at in range(0, len(order), 20_000):
             part = order[at : at + 20_000]
             self.of_piece.update(zip(part, self.encode(part)))
-        for c in missing:
-            self.of_chunk[c] = b"".join([self.of_piece[p] for p in cut[c]]) if c in cut else self.of_piece.pop(c)
+        get = self.of_piece.__getitem__
+        self.of_chunk.update(zip(plain, map(get, plain.values())))
+        for c, ps in cut.items():
+            self.of_chunk[c] = b"".join(map(get, ps))
+        for c, text in whole.items():
+            self.of_chunk[c] = get(text)
+        for text in whole.values():
+            self.of_piece.pop(text, None)
 
     def ids(self, texts: list[str], words: int = 500_000) -> Iterator[bytes]:
         """The ids of each text, in order; texts are learnt in groups of about ``words`` words."""
-        group: list[list[str]] = []
+        group: list[list[bytes]] = []
         size = 0
         for text in texts:
-            group.append(words_of(text))
+            group.append(text.encode("utf-8", "surrogatepass").split())  # bytes split at the ASCII blanks
             size += len(group[-1])
             if size >= words:
                 yield from self.flush(group)
                 group, size = [], 0
         yield from self.flush(group)
 
-    def flush(self, group: list[list[str]]) -> Iterator[bytes]:
-        self.learn(set().union(*group))
-        get = self.of_chunk.__getitem__
-        for chunks in group:
-            yield b"".join(map(get, chunks))
+    def flush(self, group: list[list[bytes]]) -> Iterator[bytes]:
+        """One look-up a chunk; what is not known is learnt for the whole group and filled in."""
+        get = self.of_chunk.get
+        found = [list(map(get, chunks)) for chunks in group]
+        open_texts = [k for k, parts in enumerate(found) if None in parts]
+        gaps = {k: [i for i, p in enumerate(found[k]) if p is None] for k in open_texts}
+        self.learn({group[k][i] for k in open_texts for i in gaps[k]})
+        for k, parts in enumerate(found):
+            chunks = group[k]
+            for i in gaps.get(k, ()):
+                parts[i] = self.of_chunk[chunks[i]]
+            yield b"".join(parts)
 
 
 @cache
