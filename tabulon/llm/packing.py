@@ -128,7 +128,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         encoder = token_ids(path)
         for batch in batches:
             rows = []
-            for key, ids in zip(batch["id"], encoder.ids([t or "" for t in batch["text"]])):
+            for key, ids in zip(batch["id"], encoder.ids([t or b"" for t in batch["text"]])):
                 ids += tail
                 key = None if pd.isna(key) else key
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -139,7 +139,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = dict(df.dtypes)[id_col]
     integral = kind in ("bigint", "int", "smallint", "tinyint")
-    narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     return narrow.mapInPandas(cut, f"doc_id {'bigint' if integral else kind}, piece int, start long, length long, ids_crc32 long")
 
 

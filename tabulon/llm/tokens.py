@@ -202,12 +202,13 @@ class TokenIds:
         for text in whole.values():
             self.of_piece.pop(text, None)
 
-    def ids(self, texts: list[str], words: int = 500_000) -> Iterator[bytes]:
-        """The ids of each text, in order; texts are learnt in groups of about ``words`` words."""
+    def ids(self, texts: list[str] | list[bytes], words: int = 500_000) -> Iterator[bytes]:
+        """The ids of each text (or its UTF-8 bytes), in order; texts are learnt in groups of about ``words`` words."""
         group: list[list[bytes]] = []
         size = 0
         for text in texts:
-            group.append(text.encode("utf-8", "surrogatepass").split())  # bytes split at the ASCII blanks
+            raw = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
+            group.append(raw.split())  # bytes split at the ASCII blanks
             size += len(group[-1])
             if size >= words:
                 yield from self.flush(group)
