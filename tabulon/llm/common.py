@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -24,11 +23,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def with_new(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns; an input column of the same name (in any case) is replaced."""
-    return df.withColumns(columns)
-
-
 def row_hash(df: DataFrame, seed: int = 0) -> Column:
     """64-bit hash over all columns: equal for identical rows only, but for chance."""
     return F.xxhash64(F.lit(seed), *[F.to_json(F.struct(df[f"`{c}`"])) if "map<" in kind else df[f"`{c}`"] for c, kind in df.dtypes])
@@ -105,7 +99,3 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
-
-
-def crc_of(value: int) -> int:
-    return zlib.crc32(str(value).encode())
