@@ -9,13 +9,16 @@ labelled documents.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import cache, partial
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,6 +34,8 @@ MAX_FEATURES = 50_000
 GRAMS = (4, 5, 6)
 #: Longest word that is a fragment itself, and longest text whose reading is kept; longer ones are decoded anew.
 MAX_WHOLE = 64
+#: Fragments that a task counts before it sends them on.
+MAX_COUNTED = 200_000
 
 # Signs that stand for letters.
 LOOKS = {
@@ -45,6 +50,8 @@ ELEMENTS = re.compile(rf"[{SEPARATORS}]+|(.)\1*", re.S).finditer
 GAP = re.compile(rf"[{SEPARATORS}]+").fullmatch
 #: Two letters or more fix the state of the decoder; what lies between two such stretches is decoded by itself.
 STRETCHES = re.compile(r"([^\W\d_]{2,})").split
+#: Letters of a word that differ from their neighbours have one reading; two and more fix the state of the decoder.
+FIXED = re.compile(r"((?:([^\W\d_])(?!\2)(?<!\2\2)){2,})").split
 #: Pieces of one or two signs may also be one word whatever the language model says.
 SHORT_PIECES = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2})+(?!\S)").findall
 
@@ -56,6 +63,17 @@ INDEX = {c: k + 1 for k, c in enumerate(LETTERS)}
 CODES = Memo(lambda c: INDEX.get(c) or (OTHER if c.isalpha() else EDGE))
 
 
+@cache
+def kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of every character: its code, and whether stretches hold it."""
+    every = "".join(map(chr, range(0x110000)))
+    codes, letter = np.zeros(len(every), "int8"), np.zeros(len(every), bool)
+    for match in re.finditer(r"[^\W\d_]", every):
+        letter[match.start()] = True
+        codes[match.start()] = CODES[match[0]]
+    return codes, letter
+
+
 def letter_codes() -> np.ndarray:
     """Code of every character of the basic plane; white space is a word edge."""
     table = np.full(0x10000, OTHER, "int32")
@@ -87,6 +105,15 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
+class ShortMemo(Memo):
+    """A memo that keeps no text, or middle one of three, beyond ``MAX_WHOLE`` characters:
+    with the number of entries this bounds its bytes."""
+
+    def __missing__(self, key):
+        text = key if isinstance(key, str) else key[1]
+        return super().__missing__(key) if len(text) <= MAX_WHOLE else self.make(key)
+
+
 @dataclass
 class Model:
     """Language model, document counts of fragments (toxic, clean) and calibration."""
@@ -98,18 +125,30 @@ class Model:
     slopes: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
     def __post_init__(self):
-        self.lm = np.asarray(self.lm).tolist()  # single items are looked up
-        self.lattices, self.between = Memo(self.lattice, 20_000), Memo(self.gap, 300_000)
-        self.found, self.joined = Memo(self.forms, 200_000), Memo(self.join, 200_000)
+        self.table = np.asarray(self.lm)
+        self.lm = self.table.tolist()  # single items are looked up
+        self.between, self.edges = ShortMemo(self.gap, 100_000), ShortMemo(lambda text: self.lattice(text)[0], 5_000)
+        self.found, self.joined = ShortMemo(self.forms, 20_000), ShortMemo(self.join, 20_000)
         # the weights as such, and as seen by a clean or toxic document that is itself in the counts
         self.weights = {own: {g: w for g in self.counts if (w := self.weight(g, own))} for own in (None, 0, 1)}
-        self.single = {RUNS.sub(r"\1", g) for weights in self.weights.values() for g in weights}
+        # with runs put to one letter: the largest weight that any fragment of that form has
+        self.single: dict[str, dict[int | None, float]] = {}
+        for own, weights in self.weights.items():
+            for g, w in weights.items():
+                most = self.single.setdefault(RUNS.sub(r"\1", g), dict.fromkeys(self.weights, 0.0))
+                most[own] = max(most[own], w)
         self.lengths = sorted({len(g) for g in self.single if len(g) <= max(GRAMS)})
-        self.cores = {own: Memo(partial(self.core_weight, weights=self.weights[own])) for own in self.weights}
-        self.memos = {own: Memo(partial(self.word_weight, cores=self.cores[own])) for own in self.weights}
+        self.search = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, g in enumerate(self.single):
+            self.search.add_word(g, k)
+        self.search.make_automaton()
+        self.most = {own: np.array([most[own] for most in self.single.values()]) for own in self.weights}
+        self.width = np.array([len(g) for g in self.single], "int64")
+        self.cores = {own: ShortMemo(partial(self.core_weight, weights=self.weights[own]), 50_000) for own in self.weights}
+        self.memos = {own: ShortMemo(partial(self.word_weight, cores=self.cores[own]), 50_000) for own in self.weights}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "cores", "memos", "single", "lengths", "lattices", "between", "found", "joined")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "weights", "cores", "memos", "single", "lengths", "search", "most", "width", "between", "edges", "found", "joined")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -141,7 +180,7 @@ class Model:
     def decode(self, text: str, before: str = "", after: str = "") -> str:
         """The most probable reading of a text between given letters: Viterbi over the
         lattice, states being the last two letters. Without letters there is a word edge."""
-        lm, lattice, end = self.lm, self.lattices[text] if len(text) <= MAX_WHOLE else self.lattice(text), after or "\0"
+        lm, lattice, end = self.lm, self.lattice(text), after or "\0"
         paths = {tuple(map(CODES.__getitem__, before)) or (EDGE, EDGE): (0.0, None)}
         for options in [*lattice, [(end, [CODES[c] for c in end], 0.0)]]:
             ahead: dict = {}
@@ -167,23 +206,47 @@ class Model:
         before, text, after = key
         if not (before and after and GAP(text)):
             return self.decode(text, before, after)
-        (edge, _, kept), (_, _, dropped) = self.lattices[text][0]
+        (edge, _, kept), (_, _, dropped) = self.edges[text]
         lm, (a, b), (c, d) = self.lm, map(CODES.__getitem__, before), map(CODES.__getitem__, after)
         kept -= lm[a][b][EDGE] + lm[b][EDGE][c] + lm[EDGE][c][d]
         return edge if kept <= dropped - lm[a][b][c] - lm[b][c][d] else ""
 
     def restore(self, word: str) -> str:
-        """The most probable reading of a word, or of several with blanks between them."""
-        return self.decode(word).strip(" ")
+        """The most probable reading of a word, or of several with blanks between them; what
+        lies between stretches of letters with one reading is decoded by itself."""
+        parts = FIXED(word)
+        return self.joined_up(parts[::3], parts[1::3]).strip(" ")
+
+    def joined_up(self, gaps: list[str], letters: list[str]) -> str:
+        """The text of letters and of the readings of the gaps before, between and after them."""
+        keys = zip(gaps, ["", *[x[-2:] for x in letters]], [*[x[:2] for x in letters], ""])
+        read = self.between
+        gaps = [read[before, gap, after] for gap, before, after in keys]
+        return "".join([x for pair in zip(gaps, letters) for x in pair]) + gaps[-1]
 
     def restored(self, text: str) -> str:
         """The most probable reading of a whole text. Two letters are all that the next one
         depends on, so that texts between stretches of letters are decoded one by one."""
-        parts = STRETCHES(text.lower())
-        between, letters = self.between, parts[1::2]
-        keys = zip(["", *[x[-2:] for x in letters]], parts[::2], [*[x[:2] for x in letters], ""])
-        parts[::2] = [between[key] if len(key[1]) <= MAX_WHOLE else between.make(key) for key in keys]
-        return "".join(parts)
+        text = text.lower()
+        if not text:
+            return text
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        codes, letter = kinds()
+        inside = letter[points]
+        inside &= np.append(inside[1:], False) | np.append(False, inside[:-1])
+        # single blanks between stretches, as in ``gap``
+        blank = np.flatnonzero((points[1:-1] == 0x20) & inside[:-2] & inside[2:]) + 1
+        lm, (a, b, c, d) = self.table, (codes[points[blank + k]] for k in (-2, -1, 1, 2))
+        kept = 0.0 - (lm[a, b, EDGE] + lm[b, EDGE, c] + lm[EDGE, c, d])
+        blank = blank[kept <= 2.0 - lm[a, b, c] - lm[b, c, d]]
+        inside[blank] = True
+        border = np.flatnonzero(np.diff(inside, prepend=True, append=True)).tolist()
+        gaps = list(zip(border[::2], border[1::2]))
+        read, out, last = self.between, [], 0
+        for start, end in gaps:
+            out += text[last:start], read[text[max(0, start - 2) : start], text[start:end], text[end : end + 2]]
+            last = end
+        return "".join(out) + text[last:]
 
     def disguised(self, word: str) -> bool:
         """Whether the lattice has more than one path worth decoding."""
@@ -208,11 +271,46 @@ class Model:
             return cores[core]
         return max(map(cores.__getitem__, self.found[word]))
 
+    def bounds(self, words: Iterable[str], own: int | None) -> list[tuple[float, str]]:
+        """Words that may have a weight, each with what it cannot exceed, found by one search:
+        with runs put to one letter, the fragments of every form of a word are among those of
+        its line. A word of letters is weighed by the square of the share that is covered."""
+        words = list(words)
+        if not (words and self.single):
+            return []
+        lines = [x.strip(EDGES) for x in "\n".join(words).lower().split("\n")]
+        lines = [x if x.isalpha() else "$ ^".join(self.found[word]) for x, word in zip(lines, words)]
+        marked = RUNS.sub(r"\1", "^" + "$\n^".join(lines) + "$")
+        hits = np.fromiter(chain.from_iterable(self.search.iter(marked)), "int64").reshape(-1, 2)
+        hits = hits[self.most[own][hits[:, 1]] > 0]
+        if not len(hits):
+            return []
+        starts = np.cumsum([0, *[len(x) + 1 for x in marked.split("\n")]])
+        at = np.searchsorted(starts, hits[:, 0], "right") - 1
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        most, covered = np.maximum.reduceat(self.most[own][hits[:, 1]], first), np.add.reduceat(self.width[hits[:, 1]], first)
+        out = []
+        for line, w, n in zip(at[first].tolist(), most.tolist(), covered.tolist()):
+            size = len(lines[line]) + 2
+            more = size - int(starts[line + 1] - starts[line] - 1)  # letters that runs may add to what is covered
+            out.append((w * min(1.0, (n + more) / size) ** 2 if lines[line].isalpha() else w, words[line]))
+        return out
+
+    def largest(self, words: Iterable[str], own: int | None, k: int) -> list[float]:
+        """The largest word weights, at most ``k``: words are weighed by falling bounds until
+        no other can be among them."""
+        weights, best = self.memos[own], []
+        for bound, word in sorted(self.bounds(words, own), reverse=True):
+            if len(best) == k and best[0] >= bound:
+                break
+            (heapq.heappush if len(best) < k else heapq.heappushpop)(best, weights[word])
+        return sorted(best, reverse=True)
+
     def may_weigh(self, word: str) -> bool:
         """Whether any reading of letters has a fragment with a weight: with runs put to one
         letter, a reading's fragments are among those of the word."""
         marked = RUNS.sub(r"\1", f"^{word}$")
-        return not self.single.isdisjoint([marked, *[marked[i : i + n] for n in self.lengths for i in range(len(marked) - n + 1)]])
+        return not self.single.keys().isdisjoint([marked, *[marked[i : i + n] for n in self.lengths for i in range(len(marked) - n + 1)]])
 
     def core_weight(self, form: str, weights: dict[str, float]) -> float:
         """The largest weight of a fragment, by the square of the share of the word that
@@ -274,7 +372,7 @@ class Model:
     def evidence(self, text: str | None, own: int | None = None) -> tuple[float, ...]:
         """The largest word weight, the second, the sum of the next six, and the log of the number of words."""
         words = self.words(text) if text else ()
-        top = [*sorted(map(self.memos[own].__getitem__, words), reverse=True)[:8], 0.0, 0.0]
+        top = [*self.largest(words, own, 8), 0.0, 0.0]
         return top[0], top[1], sum(top[2:]), math.log1p(len(words))
 
     def score(self, text: str | None) -> float:
@@ -329,13 +427,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = written(train, "labelled")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, size, of_word = (Counter(), Counter()), [0, 0], Memo(model.fragments, 50_000)
+        seen, size, of_word = (Counter(), Counter()), [0, 0], ShortMemo(model.fragments, 10_000)
+
+        def counted() -> pd.DataFrame:
+            names = [*(seen[0].keys() | seen[1].keys()), ""]
+            out = pd.DataFrame({"fragment": names, "toxic": [*(seen[1][x] for x in names[:-1]), size[1]], "clean": [*(seen[0][x] for x in names[:-1]), size[0]]})
+            seen[0].clear(), seen[1].clear()
+            size[:] = 0, 0
+            return out
+
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 size[toxic] += 1
                 seen[toxic].update(set().union(*map(of_word.__getitem__, model.words(text or ""))))
-        names = [*(seen[0].keys() | seen[1].keys()), ""]
-        yield pd.DataFrame({"fragment": names, "toxic": [*(seen[1][x] for x in names[:-1]), size[1]], "clean": [*(seen[0][x] for x in names[:-1]), size[0]]})
+                if len(seen[0]) + len(seen[1]) > MAX_COUNTED:
+                    yield counted()
+        yield counted()
 
     sums = train.mapInPandas(count, "fragment string, toxic long, clean long").groupBy("fragment").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sums = written(sums.where("fragment = '' OR toxic >= 2"), "fragments")

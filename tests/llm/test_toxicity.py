@@ -64,3 +64,44 @@ def test_long_texts_without_blanks(model):
 
 def test_labelled_bound():
     assert toxicity.MAX_TRAIN == 30_000
+
+
+def cost(model, letters, penalty, after="\0"):
+    a = b = toxicity.EDGE
+    for c in letters + after:
+        z = toxicity.CODES[c]
+        if z or b:
+            penalty -= model.lm[a][b][z]
+            a, b = b, z
+    return penalty
+
+
+@pytest.mark.parametrize("word", ["gr33n", "$tup1d", "ffooll", "st up-id", "f.o.o.l!", "1d10t", "aa bb", "hill5", "m00rr"])
+def test_decoder_against_all_paths(model, word):
+    paths = [("", 0.0)]
+    for options in model.readings(word):
+        paths = [(text + x, total + penalty) for text, total in paths for x, penalty in options]
+    costs = {}
+    for text, total in paths:
+        costs.setdefault(text, []).append(cost(model, text, total))
+    least = min(map(min, costs.values()))
+    for decoded in (model.decode(word), model.restored(word) if not toxicity.RUNS.search(word) else model.decode(word)):
+        assert min(costs[decoded]) == pytest.approx(least)
+    assert min(v for text, c in costs.items() if text.strip(" ") == model.restore(word) for v in c) == pytest.approx(least)
+
+
+def test_the_largest_weights_are_those_of_all_words(model):
+    rng = random.Random(2)
+    plain = ["stupid,", "5tupid", "foool", "the", "Rain", "street", "idiot's", "st-upid", "mooron", "", "x²", "a^b$"]
+    for own in (None, 0, 1):
+        for _ in range(200):
+            words = {*rng.choices(plain, k=4), *("".join(rng.choices("stupidofolmrn1.", k=rng.randrange(1, 9))) for _ in range(30))} - {""}
+            everything = sorted(map(model.memos[own].__getitem__, words), reverse=True)[:8]
+            found = model.largest(words, own, 8)
+            assert found + [0.0] * (8 - len(found)) == everything
+
+
+def test_memos_keep_no_long_texts(model):
+    model.score("x1" * 500 + " " + "1 " * 500 + "rain")
+    memos = (model.between, model.found, model.joined, model.edges, *model.cores.values(), *model.memos.values())
+    assert all(len(k if isinstance(k, str) else k[1]) <= toxicity.MAX_WHOLE for memo in memos for k in memo)
