@@ -209,51 +209,65 @@ def _(t: Tables):
     return c.rename_column(t.entries.select("row_id", "region"), "region", "area")
 
 
-AUTO = ["row_id", "entry_id", "title", "year", "region", "nexus_focus", "policy_type", "funding_usd", "investment_roi", "population_served", "impact_score", "innovation_index", "all_null_num", "constant_num"]
-AUTO_NUMERIC = [x for x in AUTO if x in NUMERIC]
-_filled = ", ".join(
-    f"coalesce({x}, (SELECT quantile_cont(CAST({x} AS DOUBLE), 0.5) FROM entries)) AS {x}" for x in AUTO_NUMERIC
-)
-_steps, _last = sequential(AUTO_NUMERIC, 1.5, "filled", False)
+def _auto_cell(x: str) -> str:
+    """A cell after the fills of the automatic cleaning."""
+    if x in NUMERIC:
+        return f"coalesce(CAST({x} AS DOUBLE), (SELECT quantile_cont(CAST({x} AS DOUBLE), 0.5) FROM entries)) AS {x}"
+    if ENTRY_TYPES_BY_NAME[x] != "string":
+        return x
+    fill = f"'{c.placeholder(x)}'" if x in c.ALWAYS_PLACEHOLDER else f"coalesce({mode_of(nonblank(x))}, '{c.placeholder(x)}')"
+    return f"coalesce({nonblank(x)}, {fill}) AS {x}"
 
 
-@query(
-    "auto_clean",
-    f"""WITH filled AS (SELECT {_filled}, region, coalesce({nonblank('nexus_focus')}, {mode_of(nonblank('nexus_focus'))}) AS nexus_focus,
-        coalesce({nonblank('policy_type')}, 'not_policy') AS policy_type FROM entries), {_steps}
-        SELECT CAST(row_id AS BIGINT) AS row_id, CAST(year AS INT) AS year, region, nexus_focus, policy_type,
-        {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in AUTO_NUMERIC if x not in ('row_id', 'year'))} FROM {_last}""",
-)
+AUTO = [x for x in ENTRY_TYPES_BY_NAME if x not in c.TEXT_COLUMNS]
+_steps, _last = sequential([x for x in AUTO if x in NUMERIC], 1.5, "filled", False)
+_out = ", ".join(f"strftime({x}, '%Y-%m-%d') AS {x}" if x == "entry_ts" else x for x in AUTO)
+
+
+@query("auto_clean", f"WITH filled AS (SELECT {', '.join(map(_auto_cell, AUTO))} FROM entries), {_steps} SELECT {_out} FROM {_last}")
 def _(t: Tables):
-    clean = c.auto_clean(t.entries.select(*AUTO))
-    return clean.withColumn("population_served", F.col("population_served").cast("double"))
+    clean = c.auto_clean(t.entries)
+    return clean.withColumns({"entry_ts": F.date_format("entry_ts", "yyyy-MM-dd")} | {x: F.col(x).cast("double") for x in AUTO if x in NUMERIC})
 
 
 STEPS = [
+    {"operation": "fill_na_ffill", "column": "co2_reduction_tons"},
     {"operation": "strip_whitespace", "column": "collaboration_type"},
     {"operation": "to_numeric", "column": "numeric_text"},
+    {"operation": "to_datetime", "column": "date_text"},
     {"operation": "fill_na_mean", "column": "investment_roi"},
+    {"operation": "fill_na_median", "column": "innovation_index"},
+    {"operation": "fill_na_constant", "column": "policy_type", "value": "none"},
     {"operation": "drop_na_rows", "column": "funding_usd"},
     {"operation": "drop_na_cols"},
     {"operation": "remove_outliers_iqr", "column": "funding_usd", "value": 3},
     {"operation": "lowercase", "column": "not_there"},
+    {"operation": "remove_duplicates", "column": "organization"},
+    {"operation": "rename_column", "column": "sector", "value": "market"},
+    {"operation": "drop_column", "column": "title"},
     {"operation": "filter_rows", "value": "year >= 1994"},
 ]
-REPORT = ["row_id", "year", "collaboration_type", "numeric_text", "investment_roi", "funding_usd", "population_served", "all_null_num"]
-_before = " + ".join(f"count(*) FILTER ({x} IS NULL)" for x in REPORT)
-_after = " + ".join(f"count(*) FILTER ({x} IS NULL)" for x in ("number", "population_served"))
+_nulls = {x: f"{x} IS NULL" for x in ENTRY_TYPES_BY_NAME}
+_before = " + ".join(f"count(*) FILTER ({test})" for test in _nulls.values())
+_changed = _nulls | {
+    "numeric_text": "number IS NULL",
+    "date_text": "TRY_CAST(date_text AS TIMESTAMP) IS NULL",
+    "co2_reduction_tons": "row_id < (SELECT min(row_id) FROM entries WHERE co2_reduction_tons IS NOT NULL)",
+}
+_gone = ("all_null_num", "title")
+_after = " + ".join(f"count(*) FILTER ({test})" for x, test in _changed.items() if x not in (*_gone, "investment_roi", "innovation_index", "policy_type"))
 
 
 @query(
     "clean_report",
     f"""WITH present AS (SELECT *, {NUMBER_TEXT} AS number FROM entries WHERE funding_usd IS NOT NULL),
-        clean AS (SELECT present.* FROM present, {quartiles('funding_usd', 'present')} WHERE {fence('funding_usd', 3.0)} AND year >= 1994)
-        SELECT a.*, b.* FROM (SELECT count(*) AS rows_before, {len(REPORT)} AS cols_before, CAST({_before} AS BIGINT) AS nulls_before FROM entries) a,
-        (SELECT count(*) AS rows_after, {len(REPORT) - 1} AS cols_after, CAST({_after} AS BIGINT) AS nulls_after FROM clean) b""",
+        inside AS (SELECT present.* FROM present, {quartiles('funding_usd', 'present')} WHERE {fence('funding_usd', 3.0)}),
+        clean AS (SELECT * FROM (SELECT * FROM inside QUALIFY row_number() OVER (PARTITION BY organization ORDER BY row_id) = 1) WHERE year >= 1994)
+        SELECT a.*, b.* FROM (SELECT count(*) AS rows_before, {len(_nulls)} AS cols_before, CAST({_before} AS BIGINT) AS nulls_before FROM entries) a,
+        (SELECT count(*) AS rows_after, {len(_nulls) - len(_gone)} AS cols_after, CAST({_after} AS BIGINT) AS nulls_after FROM clean) b""",
 )
 def _(t: Tables):
-    df = t.entries.select(*REPORT)
-    return c.cleaning_report(df, c.apply_steps(df, STEPS, "row_id"))
+    return c.cleaning_report(t.entries, c.apply_steps(t.entries, STEPS, "row_id"))
 
 
 def _config_cell(x: str) -> str:
