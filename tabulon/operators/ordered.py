@@ -262,15 +262,18 @@ def with_ranks(df: DataFrame, values: dict[str, Column], ranks: RankTables, key:
 def dense_codes(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """``(value, code)``: place of each distinct non-null value in ascending order, from 0.
 
-    The distinct values are dealt out by range and written with the number of
-    their range, so that places and offsets rest on the same ranges. They only
-    balance the tasks; the codes are exact for any ranges.
+    The distinct values are written, counted, dealt out by range and written with
+    the number of their range, so that places and offsets rest on the same ranges.
+    Their number grows with the values. They only balance the tasks; the codes are
+    exact for any ranges.
     """
     require(df, column)
     values = df.select(ref(column).alias("value")).where("value IS NOT NULL").distinct()
     spark = df.sparkSession
-    path = scratch_dir(spark, "codes")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct, path = scratch_dir(spark, "values"), scratch_dir(spark, "codes")
+    values.write.parquet(distinct)
+    values = spark.read.schema(values.schema).parquet(distinct)
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(values.count() / ROWS_PER_BUCKET))
     values.repartitionByRange(buckets, "value").withColumn("bucket", F.spark_partition_id()).write.parquet(path)
     cut = spark.read.schema(f"value {df.schema[column].dataType.simpleString()}, bucket int").parquet(path)
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -118,3 +118,14 @@ def test_deep_page(df, pdf):
     for offset in (0, 5, 1234, 2990, 3000, 9999):
         got = [r["id"] for r in rows_page(df, "id", offset, 20, deep=4).collect()]
         assert got == pdf.id.tolist()[offset : offset + 20], offset
+
+
+def test_ranges_of_codes_grow_with_the_values(spark, monkeypatch):
+    made, scratch = {}, ordered.scratch_dir
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 200)
+    monkeypatch.setattr(ordered, "scratch_dir", lambda session, label: made.setdefault(label, scratch(session, label)))
+    df = spark.range(20_000).selectExpr("concat('v', lpad(cast(id % 10000 AS string), 5, '0')) AS v")
+    got = {r["value"]: r["code"] for r in ordered.dense_codes(df, "v").collect()}
+    assert got == {f"v{k:05}": k for k in range(10_000)}
+    sizes = [r["count"] for r in spark.read.parquet(made["codes"]).groupBy("bucket").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 1_000
