@@ -146,7 +146,6 @@ def _(t: Tables):
     store = ResultStore(t.spark, scratch_dir(t.spark, "results"))
     done = batch.run_all(t.entries, "row_id")
     batch.store_all(store, done, scratch_dir(t.spark, "reports"))
-    done["prepared"]["table"].unpersist()
     stored = runs.latest_runs(store.payload("tables map<string, struct<path: string, rows: bigint>>"))
     years = done["nexus_insights"]["entry_type_evolution"].count()
     return stored.select("run_type", F.size("tables").alias("n"), F.lit(years).cast("bigint").alias("years"))

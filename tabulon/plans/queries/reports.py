@@ -277,7 +277,7 @@ def _(t: Tables):
 def _(t: Tables):
     from tabulon.plans import batch
 
-    scored = batch.prepare(t.entries).persist()
-    sections = {**batch.time_series(scored), **batch.insights(scored), **batch.tag_analysis(scored)}
+    done = batch.run_all(t.entries, "row_id")
+    sections = {name: df for section in batch.RUN_TYPES for name, df in done[section].items()}
     sizes = [df.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("rows")) for name, df in sections.items()]
     return reduce(DataFrame.unionAll, sizes)
