@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulon.llm.common import written
+from tabulon.llm.common import bits_for, running, top_bits, written
 
 LONGEST, LEAST, FIRST = 5, 100, 2_000
 #: A candidate goes if a longer one that holds it has this share of its occurrences, in hundredths.
@@ -31,11 +31,13 @@ SHARE = 100
 CHUNK_WORDS, CHUNK_DISTINCT, SPLIT_BYTES = 2_500_000, 1_000_000, 4_000_000
 #: Bits of a code: a group's number is that of its first chunk and its code there.
 CODE_BITS = 27
-#: Rows that a task passes on at once.
-BATCH_ROWS = 100_000
-#: The word relation and the relation of a level: rows that name or count groups, and rows of occurrences.
+#: Occurrences whose pairs are counted in one part, at most so many on average.
+PART_ROWS = 2_000_000
+#: The word relation and the relation of a level: rows that name or count groups, and rows of occurrences;
+#: and what counting a part gives.
 WORDS = pa.schema({"chunk": pa.int64(), "lang": pa.string(), "word": pa.string(), "code": pa.int32(), "n": pa.int64(), "pos": pa.binary(), "codes": pa.binary()})
-ROWS = pa.schema({"chunk": pa.int64(), "code": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "pos": pa.binary(), "codes": pa.binary()})
+ROWS = pa.schema({"chunk": pa.int64(), "part": pa.int64(), "base": pa.int32(), "numbers": pa.binary(), "counts": pa.binary(), "pos": pa.binary(), "codes": pa.binary()})
+GROUPS = pa.schema({"part": pa.int64(), "place": pa.int64(), "a": pa.int64(), "b": pa.int64(), "f": pa.int64(), "chunk": pa.int64(), "known": pa.list_(pa.int32()), "ids": pa.list_(pa.int64())})
 
 #: Ends of pieces become a byte that no UTF-8 text holds; A-Z become lower case.
 BREAK = b"\xff"
@@ -58,12 +60,15 @@ class Codes(dict):
         return code
 
 
-def packed(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype("<i4").tobytes(), 1)
+def packed(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Compressed numbers, their bytes sorted by rank: those of high rank are mostly zero."""
+    values = np.ascontiguousarray(values, kind)
+    return zlib.compress(np.ascontiguousarray(values.view("u1").reshape(len(values), -1).T).tobytes() if len(values) else b"", 1)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<i4")
+def unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), "u1").reshape(width, -1).T).view(kind).ravel()
 
 
 def check_codes(codes: int) -> None:
@@ -125,52 +130,136 @@ def occurrences(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return narrow.mapInArrow(read, "chunk long, lang string, word string, code int, n long, pos binary, codes binary")
 
 
-def extend(relation: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Semi-join of the relation with the frequent groups of each chunk (``chunk``, ``code``,
-    ``id``), then the merge-join of neighbours: rows (``chunk``, ``code``, ``a``, ``b``, ``n``) count
-    the groups of each chunk, where ``a`` and ``b`` are the phrase without its last and
-    first word; rows (``chunk``, ``pos``, ``codes``) hold their occurrences."""
+class Pairs:
+    """Numbers of pairs of ``groups`` groups, dealt evenly over ``2 ** bits`` parts.
+
+    The number of (a, b) is a * groups + b, multiplied by an odd constant modulo a power of
+    two, which is undone exactly. Sorted numbers have small gaps, so that a chunk's distinct
+    pairs travel as a few bytes each. Above 2^32 groups of one length this raises.
+    """
+
+    ODD = 0x9E3779B97F4A7C15
+
+    def __init__(self, groups: int, bits: int):
+        if groups > 1 << 32:
+            raise ValueError(f"{groups} frequent phrases of one length, more than {1 << 32}")
+        self.groups = groups
+        self.width = max(1, (groups * groups - 1).bit_length())
+        self.mask, self.shift = (1 << self.width) - 1, max(0, self.width - bits)
+        self.back = pow(self.ODD, -1, 1 << 64)
+
+    def number(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a.astype("uint64") * np.uint64(self.groups) + b.astype("uint64")) * np.uint64(self.ODD)) & np.uint64(self.mask)
+
+    def ends(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pair = (numbers * np.uint64(self.back)) & np.uint64(self.mask)
+        return (pair // np.uint64(self.groups)).astype("int64"), (pair % np.uint64(self.groups)).astype("int64")
+
+    def parts(self, numbers: np.ndarray) -> np.ndarray:
+        return (numbers >> np.uint64(self.shift)).astype("int64") if self.shift < 64 else np.zeros(len(numbers), "int64")
+
+
+def extend(relation: DataFrame, frequent: DataFrame, pairs: Pairs) -> DataFrame:
+    """Semi-join of the relation with the frequent groups of each chunk (``chunk``, ``first``, and
+    arrays ``known`` of codes and ``ids`` counted from ``first``), then the merge-join of
+    neighbours: rows (``chunk``, ``part``, ``base``, ``numbers``, ``counts``) count the distinct pairs of
+    a chunk that fall into a part, whose codes run from ``base``; rows (``chunk``, ``pos``,
+    ``codes``) hold the occurrences."""
 
     def joined(chunk: pa.Table, groups: pa.Table) -> pa.Table:
         if not len(chunk) or not len(groups):
             return pa.Table.from_batches([], ROWS)
         pos, codes = np.cumsum(unpacked(chunk["pos"][0].as_py()), dtype="int32"), unpacked(chunk["codes"][0].as_py())
-        known, ids = groups["code"].to_numpy(), groups["id"].to_numpy()
-        place = np.full(max(int(codes.max(initial=0)), int(known.max())) + 1, -1, "int32")
-        place[known] = np.arange(len(known))
+        known = groups["known"].combine_chunks().flatten().to_numpy()
+        each = np.asarray(pa.compute.list_value_length(groups["known"]))
+        ids = groups["ids"].combine_chunks().flatten().to_numpy() + np.repeat(groups["first"].to_numpy(), each)
+        place = np.full(max(int(codes.max(initial=0)), int(known.max(initial=0))) + 1, -1, "int64")
+        place[known] = ids
         mine = place[codes]
         kept = mine >= 0
         pos, mine = pos[kept], mine[kept]
         # positions ascend without ties, so that the neighbour of a row in the merge is the next row
         near = np.flatnonzero(pos[1:] == pos[:-1] + 1).astype("int32")
-        pairs = mine[near].astype("int64") * len(ids) + mine[near + 1]
+        found = pairs.number(mine[near], mine[near + 1])
         pos = pos[near]
-        del codes, mine, kept, near
-        pairs, code, n = np.unique(pairs, return_inverse=True, return_counts=True)
-        check_codes(len(pairs))
-        home, code = chunk["chunk"][0].as_py(), code.astype("int32")
+        del codes, mine, kept, near, place
+        found, code, n = np.unique(found, return_inverse=True, return_counts=True)
+        check_codes(len(found))
+        home = chunk["chunk"][0].as_py()
         batches = [row_batch(ROWS, home, 1, pos=[packed(np.diff(pos, prepend=0))], codes=[packed(code)])]
-        for at in range(0, len(pairs), BATCH_ROWS):
-            part = pairs[at : at + BATCH_ROWS]
-            counted = {"code": np.arange(at, at + len(part)), "a": ids[part // len(ids)], "b": ids[part % len(ids)], "n": n[at : at + BATCH_ROWS]}
-            batches.append(row_batch(ROWS, home, len(part), **counted))
+        part = pairs.parts(found)
+        base = np.flatnonzero(np.diff(part, prepend=-1))
+        cuts = list(zip(base, [*base[1:], len(found)]))
+        numbers = [packed(np.diff(found[i:j], prepend=np.uint64(0)), "<u8") for i, j in cuts]
+        counts = [packed(n[i:j]) for i, j in cuts]
+        batches.append(row_batch(ROWS, home, len(base), part=part[base], base=base, numbers=numbers, counts=counts))
         return pa.Table.from_batches(batches)
 
     chunks = relation.where("codes IS NOT NULL").select("chunk", "pos", "codes")
-    return chunks.groupBy("chunk").cogroup(frequent.select(F.col("chunk").alias("home"), "code", "id").groupBy("home")).applyInArrow(joined, "chunk long, code int, a long, b long, n long, pos binary, codes binary")
+    wanted = frequent.select(F.col("chunk").alias("home"), "first", "known", "ids")
+    return chunks.groupBy("chunk").cogroup(wanted.groupBy("home")).applyInArrow(joined, "chunk long, part long, base int, numbers binary, counts binary, pos binary, codes binary")
+
+
+def frequent_pairs(counted: DataFrame, least: int, pairs: Pairs) -> DataFrame:
+    """Count the pairs of each part over all chunks and keep those with at least ``least``
+    occurrences: rows (``part``, ``place``, ``a``, ``b``, ``f``) are the groups, numbered within the part;
+    rows (``part``, ``chunk``, ``known``, ``ids``) say which codes of a chunk are which of them.
+
+    Counting and semi-join are one shuffle of one row for each chunk and part. A part is
+    a share of all numbers by hash; a pair enters it once a chunk, however often it occurs.
+    """
+
+    def count(part: pa.Table) -> pa.Table:
+        home = part["part"][0].as_py()
+        found = [np.cumsum(unpacked(x, "<u8"), dtype="uint64") for x in part["numbers"].to_pylist()]
+        ends = np.cumsum([0, *map(len, found)])
+        distinct, at = np.unique(np.concatenate(found), return_inverse=True)
+        del found
+        f = np.zeros(len(distinct), "int64")
+        for row, data in enumerate(part["counts"].to_pylist()):
+            # the pairs of one chunk are distinct, so that no place is met twice
+            f[at[ends[row] : ends[row + 1]]] += unpacked(data)
+        kept = f >= least
+        place = np.cumsum(kept) - 1
+        a, b = pairs.ends(distinct[kept])
+        rows = {"part": np.full(len(a), home), "place": place[kept], "a": a, "b": b, "f": f[kept]}
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[c.name], c.type) if c.name in rows else pa.nulls(len(a), c.type) for c in GROUPS], schema=GROUPS)]
+        known, ids = [], []
+        for row, base in enumerate(part["base"].to_pylist()):
+            mine = at[ends[row] : ends[row + 1]]
+            some = np.flatnonzero(kept[mine])
+            known.append((some + base).astype("int32"))
+            ids.append(place[mine[some]].astype("int64"))
+        rows = {"part": np.full(len(part), home), "chunk": part["chunk"].to_numpy(), "known": known, "ids": ids}
+        batches.append(pa.RecordBatch.from_arrays([pa.array(rows[c.name], c.type) if c.name in rows else pa.nulls(len(part), c.type) for c in GROUPS], schema=GROUPS))
+        return pa.Table.from_batches(batches)
+
+    return counted.groupBy("part").applyInArrow(count, "part long, place long, a long, b long, f long, chunk long, known array<int>, ids array<long>")
+
+
+def numbered(groups: DataFrame) -> DataFrame:
+    """The rows of ``frequent_pairs`` with ``first``, the number that the part's groups start from."""
+    sizes = groups.where("place IS NOT NULL").groupBy("part").agg(F.count("*").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    return groups.join(starts, "part")
 
 
-def frequent_groups(counted: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
-    """The rows (``chunk``, ``code``, ...) of groups with at least ``least`` occurrences over all
-    chunks, with these (``f``) and the group's ``id``.
+def frequent_words(named: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Words with at least ``least`` occurrences: ``id`` (from 0 without gaps), ``lang``, ``word``, ``f``; and
+    which codes of each chunk they are (``chunk``, ``first``, ``known``, ``ids``).
 
-    Counting and semi-join are one shuffle: each chunk sends one row a group, so that a
-    group has at most as many rows as there are chunks, however often it occurs.
+    Each chunk sends one row a word, so that a word has at most as many rows as there are chunks.
     """
     at = F.col("chunk") * (1 << CODE_BITS) + F.col("code")
-    group = Window.partitionBy(*keys)
-    found = counted.withColumn("at", at).withColumns({"f": F.sum("n").over(group), "id": F.min("at").over(group)})
-    return written(found.where(F.col("f") >= least).select("chunk", "code", "at", "id", "f", *keys), label)
+    group = Window.partitionBy("lang", "word")
+    found = named.withColumn("at", at).withColumns({"f": F.sum("n").over(group), "name": F.min("at").over(group)})
+    found = written(found.where(F.col("f") >= least).select("chunk", "code", "at", "name", "lang", "word", "f"), "frequent")
+    words = found.where("at = name").select("name", "lang", "word", "f").withColumn("order", F.xxhash64("name"))
+    words = running(words, [], top_bits(F.col("order"), bits_for(words.count())), ["order", "name"], F.lit(1), "place")
+    words = written(words.select((F.col("place") - 1).cast("long").alias("id"), "name", "lang", "word", "f"), "words")
+    listed = found.join(words.select("name", "id"), "name").groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("x"))
+    return words.drop("name"), listed.select("chunk", F.lit(0).cast("long").alias("first"), F.col("x.code").alias("known"), F.col("x.id").alias("ids"))
 
 
 def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -179,14 +268,18 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     relation = written(occurrences(df, text_col, lang_col), "words")
     named = relation.where("word IS NOT NULL").select("chunk", "code", "lang", "word", "n")
     totals = named.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = frequent_groups(named, ["lang", "word"], least, "frequent")
-    level = frequent.where("at = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
+    level, frequent = frequent_words(named, least)
+    level = level.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
     found = level.select("lang", "phrase", F.lit(1).alias("words"), "f")
     for words in range(2, longest + 1):
-        relation = written(extend(relation, frequent), "relation")
-        frequent = frequent_groups(relation.where("a IS NOT NULL").select("chunk", "code", "a", "b", "n"), ["a", "b"], least, "frequent")
+        size = level.agg(F.count("*").alias("groups"), F.coalesce(F.sum("f"), F.lit(0)).alias("rows")).first()
+        pairs = Pairs(size["groups"], bits_for(size["rows"], PART_ROWS))
+        relation = written(extend(relation, frequent, pairs), "relation")
+        counted = relation.where("numbers IS NOT NULL").select("chunk", "part", "base", "numbers", "counts")
+        groups = numbered(written(frequent_pairs(counted, least, pairs), "groups"))
+        frequent = groups.where("chunk IS NOT NULL AND size(known) > 0").select("chunk", "first", "known", "ids")
         heads, tails = level.select(F.col("id").alias("a"), "lang", "phrase"), level.select(F.col("id").alias("b"), "last")
-        longer = frequent.where("at = id").select("id", "a", "b", "f").join(heads, "a").join(tails, "b")
+        longer = groups.where("place IS NOT NULL").select((F.col("first") + F.col("place")).alias("id"), "a", "b", "f").join(heads, "a").join(tails, "b")
         level = written(longer.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f"), "phrases")
         found = found.unionByName(level.select("lang", "phrase", F.lit(words).alias("words"), "f"))
     return found, totals

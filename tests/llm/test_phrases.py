@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import phrases
 from tests.llm.cases import PROSE, awkward, clashing, documents
@@ -100,7 +102,41 @@ def test_relation_is_cut_before_it_grows(spark):
     """The relation of a level holds only neighbours that are frequent at the level before."""
     docs = documents(spark, [(k, f"red blue red blue rare{k}", "a") for k in range(50)])
     relation = phrases.occurrences(docs, "text", "lang")
-    words = relation.where("word IN ('red', 'blue')").selectExpr("chunk", "code", "CAST(code AS LONG) AS id")
-    rows = phrases.extend(relation, words).collect()
-    assert sum(r["n"] for r in rows if r["n"]) == 150
+    words = relation.where("word IN ('red', 'blue')").groupBy("chunk").agg(F.collect_list("code").alias("known"))
+    words = words.selectExpr("chunk", "0L AS first", "known", "transform(known, x -> CAST(x AS LONG)) AS ids")
+    rows = phrases.extend(relation, words, phrases.Pairs(1000, 3)).collect()
+    assert sum(int(phrases.unpacked(r["counts"]).sum()) for r in rows if r["counts"]) == 150
     assert sum(len(phrases.unpacked(r["codes"])) for r in rows if r["codes"]) == 150
+
+
+@pytest.mark.parametrize("groups, bits", [(1, 0), (1, 5), (2, 1), (1000, 3), (70_000, 12), (1 << 32, 20)])
+def test_pairs_are_numbered_exactly(groups, bits):
+    """Numbers give their pairs back, and their parts are runs of the sorted numbers."""
+    rng = np.random.default_rng(3)
+    pairs = phrases.Pairs(groups, bits)
+    a, b = rng.integers(0, groups, 5000), rng.integers(0, groups, 5000)
+    numbers = pairs.number(a, b)
+    assert all((x == y).all() for x, y in zip(pairs.ends(numbers), (a, b)))
+    assert len(np.unique(numbers)) == len(set(zip(a.tolist(), b.tolist())))
+    parts = pairs.parts(np.sort(numbers))
+    assert (np.diff(parts) >= 0).all() and parts.min() >= 0 and parts.max() < 1 << bits
+
+
+def test_too_many_groups_raise():
+    with pytest.raises(ValueError, match="more than"):
+        phrases.Pairs((1 << 32) + 1, 0)
+
+
+@pytest.mark.parametrize("values", [[], [0], [5, 0, 7], list(range(300))])
+def test_packed_numbers_come_back(values):
+    assert phrases.unpacked(phrases.packed(np.array(values))).tolist() == values
+    assert phrases.unpacked(phrases.packed(np.array(values), "<u8"), "<u8").tolist() == values
+
+
+@pytest.mark.parametrize("part_rows", [1, 50])
+def test_many_parts_and_chunks_give_the_same_rows(spark, monkeypatch, part_rows):
+    docs = corpus(spark, 120, 5).repartition(3)
+    whole = got(docs, 4, 2000)
+    monkeypatch.setattr(phrases, "PART_ROWS", part_rows)
+    monkeypatch.setattr(phrases, "CHUNK_WORDS", 200)
+    assert whole and got(docs, 4, 2000) == whole
