@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulon.llm.common import bits_for, running, top_bits, written
+from tabulon.llm.common import bits_for, top_bits, written
 
 LONGEST, LEAST, FIRST = 5, 100, 2_000
 #: A candidate goes if a longer one that holds it has this share of its occurrences, in hundredths.
@@ -238,7 +238,7 @@ def frequent_pairs(counted: DataFrame, least: int, pairs: Pairs) -> DataFrame:
 
 
 def numbered(groups: DataFrame) -> DataFrame:
-    """The rows of ``frequent_pairs`` with ``first``, the number that the part's groups start from."""
+    """The rows with ``first``, the number that the groups of their part start from: one for each row with a ``place``."""
     sizes = groups.where("place IS NOT NULL").groupBy("part").agg(F.count("*").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
@@ -249,17 +249,20 @@ def frequent_words(named: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Words with at least ``least`` occurrences: ``id`` (from 0 without gaps), ``lang``, ``word``, ``f``; and
     which codes of each chunk they are (``chunk``, ``first``, ``known``, ``ids``).
 
-    Each chunk sends one row a word, so that a word has at most as many rows as there are chunks.
+    Counting and semi-join are one shuffle: each chunk sends one row a word, so that a word
+    has at most as many rows as there are chunks. Words are dealt over parts by hash and
+    numbered inside them.
     """
     at = F.col("chunk") * (1 << CODE_BITS) + F.col("code")
-    group = Window.partitionBy("lang", "word")
-    found = named.withColumn("at", at).withColumns({"f": F.sum("n").over(group), "name": F.min("at").over(group)})
-    found = written(found.where(F.col("f") >= least).select("chunk", "code", "at", "name", "lang", "word", "f"), "frequent")
-    words = found.where("at = name").select("name", "lang", "word", "f").withColumn("order", F.xxhash64("name"))
-    words = running(words, [], top_bits(F.col("order"), bits_for(words.count())), ["order", "name"], F.lit(1), "place")
-    words = written(words.select((F.col("place") - 1).cast("long").alias("id"), "name", "lang", "word", "f"), "words")
-    listed = found.join(words.select("name", "id"), "name").groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("x"))
-    return words.drop("name"), listed.select("chunk", F.lit(0).cast("long").alias("first"), F.col("x.code").alias("known"), F.col("x.id").alias("ids"))
+    group = Window.partitionBy("part", "lang", "word")
+    parted = named.withColumn("part", top_bits(F.xxhash64("lang", "word"), bits_for(named.count(), PART_ROWS)))
+    found = parted.repartition("part").withColumns({"at": at, "f": F.sum("n").over(group), "name": F.min(at).over(group)}).where(F.col("f") >= least)
+    found = found.withColumn("place", F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word")).cast("long") - 1)
+    found = written(found.withColumn("head", F.col("at") == F.col("name")).select("chunk", "code", "part", "place", "head", "lang", "word", "f"), "frequent")
+    words = numbered(found.where("head").drop("chunk", "code", "head"))
+    words = written(words.select((F.col("first") + F.col("place")).alias("id"), "part", "first", "lang", "word", "f"), "words")
+    listed = found.groupBy("chunk", "part").agg(F.collect_list(F.struct("code", "place")).alias("x")).join(words.select("part", "first").distinct(), "part")
+    return words.drop("part", "first"), listed.select("chunk", "first", F.col("x.code").alias("known"), F.col("x.place").alias("ids"))
 
 
 def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
