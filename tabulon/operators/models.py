@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.operators.features import FeatureModel, clean_target, fit_features, select_features, split
 from tabulon.operators.kmeans import fit_kmeans
+from tabulon.operators.perceptron import fit_perceptron
 from tabulon.schema import ref, require
 from tabulon.session import spread, use_checkpoints
 
@@ -93,7 +94,7 @@ def _cluster_mean(params: Mapping, train: DataFrame):
 def _voting(params: Mapping, train: DataFrame):
     forest = _forest({"max_depth": 10, "min_samples_leaf": 4, **params}, train)
     boosting = _boosting({"max_depth": 4, **params}, train)
-    return Voting([forest, boosting, _linear({}, train)])
+    return Voting([forest, boosting, fit_perceptron(train, seed=SEED)])
 
 
 @dataclass(frozen=True)
