@@ -33,6 +33,8 @@ CHUNK_WORDS, CHUNK_DISTINCT, SPLIT_BYTES = 2_500_000, 1_000_000, 4_000_000
 CODE_BITS = 27
 #: Occurrences whose pairs are counted in one part, at most so many on average.
 PART_ROWS = 2_000_000
+#: Words of chunks that one part counts, at most so many on average.
+WORD_ROWS = 500_000
 #: The word relation and the relation of a level: rows that name or count groups, and rows of occurrences;
 #: and what counting a part gives.
 WORDS = pa.schema({"chunk": pa.int64(), "lang": pa.string(), "word": pa.string(), "code": pa.int32(), "n": pa.int64(), "pos": pa.binary(), "codes": pa.binary()})
@@ -255,7 +257,7 @@ def frequent_words(named: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """
     at = F.col("chunk") * (1 << CODE_BITS) + F.col("code")
     group = Window.partitionBy("part", "lang", "word")
-    parted = named.withColumn("part", top_bits(F.xxhash64("lang", "word"), bits_for(named.count(), PART_ROWS)))
+    parted = named.withColumn("part", top_bits(F.xxhash64("lang", "word"), bits_for(named.count(), WORD_ROWS)))
     found = parted.repartition("part").withColumns({"at": at, "f": F.sum("n").over(group), "name": F.min(at).over(group)}).where(F.col("f") >= least)
     found = found.withColumn("place", F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word")).cast("long") - 1)
     found = written(found.withColumn("head", F.col("at") == F.col("name")).select("chunk", "code", "part", "place", "head", "lang", "word", "f"), "frequent")

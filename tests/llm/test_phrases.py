@@ -138,5 +138,6 @@ def test_many_parts_and_chunks_give_the_same_rows(spark, monkeypatch, part_rows)
     docs = corpus(spark, 120, 5).repartition(3)
     whole = got(docs, 4, 2000)
     monkeypatch.setattr(phrases, "PART_ROWS", part_rows)
+    monkeypatch.setattr(phrases, "WORD_ROWS", part_rows)
     monkeypatch.setattr(phrases, "CHUNK_WORDS", 200)
     assert whole and got(docs, 4, 2000) == whole
