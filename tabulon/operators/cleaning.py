@@ -373,6 +373,24 @@ def apply_steps(df: DataFrame, steps: Sequence[Mapping], order_by: str | None =
     return df
 
 
+def presence_only(df: DataFrame, steps: Sequence[Mapping], order_by: str | None = None) -> DataFrame:
+    """The frame with true or null instead of the values that no step reads.
+
+    For results that only count rows, columns and nulls: text that no step looks at is
+    not carried through the shuffles and copies of the steps. Numbers, dates and columns
+    that a condition may mention stay; so does everything when whole rows are compared.
+    """
+    if any(step["operation"] == "remove_duplicates" and not step.get("column") for step in steps):
+        return df
+    conditions = " ".join(str(step.get("value")).lower() for step in steps if step["operation"] == "filter_rows")
+    if "*" in conditions:
+        return df
+    read = {order_by, *(step.get("column") for step in steps)}
+    wide = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    unread = [f.name for f in df.schema.fields if isinstance(f.dataType, wide) and f.name not in read and f.name.lower().replace("`", "``") not in conditions]
+    return df.withColumns({c: F.when(ref(c).isNotNull(), True) for c in unread}) if unread else df
+
+
 def cleaning_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: rows, columns and null cells before and after."""
     size = lambda df, tag: df.agg(

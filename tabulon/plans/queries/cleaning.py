@@ -267,7 +267,7 @@ _after = " + ".join(f"count(*) FILTER ({test})" for x, test in _changed.items()
         (SELECT count(*) AS rows_after, {len(_nulls) - len(_gone)} AS cols_after, CAST({_after} AS BIGINT) AS nulls_after FROM clean) b""",
 )
 def _(t: Tables):
-    return c.cleaning_report(t.entries, c.apply_steps(t.entries, STEPS, "row_id"))
+    return c.cleaning_report(t.entries, c.apply_steps(c.presence_only(t.entries, STEPS, "row_id"), STEPS, "row_id"))
 
 
 def _config_cell(x: str) -> str:

@@ -158,3 +158,35 @@ def test_ordered_steps_are_cut(spark):
         {"operation": "remove_outliers_iqr", "column": "x"},
     ]
     assert values(c.apply_steps(df, steps, "id"), "x") == [2.0, 4.0, 6.0, 8.0, 8.0]
+
+
+def test_report_does_not_carry_unread_text(spark, monkeypatch):
+    rows = [(i, None if i % 3 else float(i), "k%d" % (i % 5), None if i % 7 == 0 else "long " * 50 + str(i), "z%d" % i) for i in range(60)]
+    wide = spark.createDataFrame(rows, "id int, x double, s string, body string, said string")
+    steps = [
+        {"operation": "fill_na_ffill", "column": "x"},
+        {"operation": "fill_na_mean", "column": "x"},
+        {"operation": "filter_rows", "value": "SAID <> 'z4'"},
+        {"operation": "remove_duplicates", "column": "s"},
+        {"operation": "drop_na_cols"},
+    ]
+    slim = c.presence_only(wide, steps, "id")
+    assert [f.dataType.simpleString() for f in slim.schema.fields] == ["int", "double", "string", "boolean", "string"]
+    carried, kept = [], c.checkpointed
+    monkeypatch.setattr(c, "checkpointed", lambda d: carried.append(dict(d.dtypes)["body"]) or kept(d))
+    got = c.cleaning_report(wide, c.apply_steps(slim, steps, "id")).collect()
+    assert carried and set(carried) == {"boolean"}
+    assert got == c.cleaning_report(wide, c.apply_steps(wide, steps, "id")).collect()
+    whole = [{"operation": "remove_duplicates"}]
+    assert c.presence_only(wide, whole, "id") is wide
+    assert c.presence_only(wide, [{"operation": "filter_rows", "value": "hash(*) > 0"}], "id") is wide
+
+
+def test_copies_between_steps_are_parquet(spark, df):
+    from tabulon.session import checkpointed
+
+    copy = checkpointed(df)
+    assert all(f.endswith(".parquet") for f in copy.inputFiles()) and copy.inputFiles()
+    assert copy.schema == df.schema and sorted(copy.collect(), key=str) == sorted(df.collect(), key=str)
+    void = checkpointed(df.selectExpr("id", "null as nothing"))
+    assert void.count() == df.count() and void.dtypes == [("id", "int"), ("nothing", "void")]
