@@ -65,3 +65,20 @@ def test_no_python_in_plans(tables):
     ):
         text = plan(frame)
         assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInArrow|MapInPandas|FlatMapGroups", text)
+
+
+def test_entries_send_no_growing_table_to_the_driver(tables):
+    text = plan(tables.entries.select("row_id", "funding_usd", "sector", "title"))
+    assert len(re.findall(r"^\(\d+\) SortMergeJoin", text, re.M)) == 3
+    for key in ("c_custkey", "p_partkey", "doc_id"):
+        assert not any("BroadcastExchange" in node and key in node for node in re.split(r"\n\n+", text))
+
+
+def test_passes_of_sequential_filters_read_a_written_copy(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("id", "if(id % 100 = 0, id * 1000.0D, id % 7 * 1.0D) as x", "if(id % 3 = 0, null, id % 11 * 1.0D) as y").repartition(40, "id")
+    tasks, bounds = [], cleaning._iqr_bounds
+    monkeypatch.setattr(cleaning, "_iqr_bounds", lambda d, *a: tasks.append(d.rdd.getNumPartitions()) or bounds(d, *a))
+    kept = cleaning.remove_outliers_iqr_keep_nulls(df, ["x", "y"])
+    # the copy has no partition for each one of the shuffle
+    assert len(tasks) == 2 and max(tasks) < 40
+    assert kept.count() == 4000 - 39 and kept.where("x > 6").count() == 0
