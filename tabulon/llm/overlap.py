@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulon.llm.common import Memo, bits_for, components, running, top_bits, words_of, written
+from tabulon.llm.common import Memo, bits_for, components, running, top_bits, written
 
 SHINGLE = 4
 #: Share of the union that must be common, in hundredths.
@@ -35,23 +36,26 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 SALTS = 64
 #: Up to so many postings of short lists a heap merges; more are counted in one pass.
 HEAP_POSTINGS = 256
+#: Posted shingles that a task gathers before it passes them on; longest word whose hash is kept.
+SENT_SHINGLES, KEPT_BYTES = 1_000_000, 48
 #: The DivideSkip weight that balances merging and probing.
 MU = 0.01
 
-ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
+class WordHashes(Memo):
+    """64-bit hashes of words, bounded in entries and in bytes: long words are hashed anew."""
 
+    def __missing__(self, word: bytes) -> int:
+        return super().__missing__(word) if len(word) <= KEPT_BYTES else self.make(word)
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.translate(ASCII_LOWER).encode("utf-8", "surrogatepass"))
 
+HASHES = WordHashes(xxhash.xxh3_64_intdigest, 200_000)
 
-HASHES = Memo(word_hash)
 
-
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text: of all its
-    words together if they are fewer than ``size``, none without words."""
-    words = words_of(text) if text else []
+def shingles(text: str | bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a whole text, or of its UTF-8
+    bytes: of all its words together if they are fewer than ``size``, none without words."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    words = raw.lower().split()  # of bytes: only A-Z are lowered, only the ASCII blanks split
     if not words:
         return np.empty(0, "int64")
     h = np.fromiter(map(HASHES.__getitem__, words), "uint64", len(words))
@@ -62,7 +66,9 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
         total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(32)
-    return np.unique(total.view("int64"))
+    found = total.view("int64")
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def set_key(found: np.ndarray) -> int | None:
@@ -81,24 +87,44 @@ def counted_class(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray,
     return hot, ~hot & (found < COUNTED_BELOW)
 
 
-def document_sets(df: DataFrame, id_col: str, text_col: str, size: int, frequent: np.ndarray) -> DataFrame:
+def document_sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """For each row its id, ``text_key`` (hash of the text), ``key`` (name of the set, null
-    if empty), ``n`` (its size) and ``counted`` (how many shingles are of the counted class)."""
+    if empty), ``n`` (its size), ``counted`` (how many shingles are of the counted class) and
+    ``posted``: what the inverted lists may need of the set, null if the task has posted it.
+
+    Shingles come in the order: counted and not frequent; the rest that is not
+    frequent, by hash; frequent ones. A set posts all of the first class, and of
+    the others as many as its prefix reaches. Each task posts equal sets once.
+    """
+    schema = pa.schema({"id": pa.string(), "text_key": pa.int64(), "key": pa.int64(), "n": pa.int64(), "counted": pa.int64(), "posted": pa.list_(pa.int64())})
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            keys, sizes, counted = [], [], []
-            for text in batch["text"]:
+            rows, held = [], 0
+            for name, text_key, text in zip(*[batch[c].to_pylist() for c in ("id", "text_key", "text")]):
                 found = shingles(text, size)
-                keys.append(set_key(found))
-                sizes.append(len(found))
-                counted.append(int(counted_class(found, frequent)[1].sum()))
-            yield pd.DataFrame({"id": batch["id"], "text_key": batch["text_key"], "key": pd.array(keys, "Int64"), "n": sizes, "counted": counted})
+                key, sent = set_key(found), None
+                hot, counted = counted_class(found, frequent)
+                if key is not None and key not in seen:
+                    seen.add(key)
+                    ordered = np.concatenate([found[~hot], found[hot]])
+                    sent = ordered[: max(int(counted.sum()), len(found) - needed(len(found), percent) + 1)]
+                    held += len(sent)
+                rows.append((name, text_key, key, len(found), int(counted.sum()), sent))
+                if held > SENT_SHINGLES:
+                    yield packed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
 
     kind = dict(df.dtypes)[id_col]
     text = F.col(f"`{text_col}`")
-    narrow = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return narrow.mapInPandas(measure, "id string, text_key long, key long, n long, counted long").withColumn("id", F.col("id").cast(kind))
+    narrow = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
+    return narrow.mapInArrow(measure, "id string, text_key long, key long, n long, counted long, posted array<long>").withColumn("id", F.col("id").cast(kind))
 
 
 def frequent_shingles(df: DataFrame, text_col: str, size: int, rows: int) -> np.ndarray:
@@ -113,40 +139,11 @@ def frequent_shingles(df: DataFrame, text_col: str, size: int, rows: int) -> np.
             tokens, counts = np.unique(np.concatenate([np.empty(0, "int64"), *found]), return_counts=True)
             yield pd.DataFrame({"token": tokens, "df": counts})
 
-    lists = df.select(part.alias("text")).where("text IS NOT NULL").distinct().mapInPandas(listed, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    lists = df.select(part.alias("text")).where("text IS NOT NULL").distinct().select(F.col("text").cast("binary").alias("text")).mapInPandas(listed, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
     top = lists.where(F.col("df") >= SAMPLE_TIMES).orderBy(F.desc("df"), "token").limit(MAX_FREQUENT).toPandas()["token"]
     return np.sort(top.to_numpy("int64"))
 
 
-def postings(df: DataFrame, text_col: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``token``, ``key``: what the inverted lists may need of each set.
-
-    Shingles come in the order: counted and not frequent; the rest that is not
-    frequent, by hash; frequent ones. A set posts all of the first class, and of
-    the others as many as its prefix reaches. Each task posts equal sets once.
-    """
-
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in batches:
-            tokens, keys, sizes = [], [], []
-            for text in batch["text"]:
-                found = shingles(text, size)
-                key = set_key(found)
-                if key is None or key in seen:
-                    continue
-                seen.add(key)
-                hot, counted = counted_class(found, frequent)
-                ordered = np.concatenate([found[~hot], found[hot]])
-                sent = ordered[: max(int(counted.sum()), len(found) - needed(len(found), percent) + 1)]
-                tokens.append(sent)
-                keys.append(key)
-                sizes.append(len(sent))
-            yield pd.DataFrame({"token": np.concatenate([np.empty(0, "int64"), *tokens]), "key": np.repeat(np.array(keys, "int64"), sizes)})
-
-    return df.select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL").mapInPandas(post, "token long, key long")
-
-
 def t_occurrence(query: list[np.ndarray], threshold: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents that occur in at least ``threshold`` of the inverted lists, and how often.
 
@@ -291,12 +288,13 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.col(f"`{text_col}`")
     frequent = frequent_shingles(df, text_col, size, df.count())
-    measured = written(document_sets(df, id_col, text_col, size, frequent), "sets")
+    sets = written(document_sets(df, id_col, text_col, size, percent, frequent), "sets")
+    measured, posted = sets.drop("posted"), sets.select(F.explode("posted").alias("token"), "key")
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("one")
     nodes = measured.where("key IS NOT NULL").groupBy("key").agg(F.max("n").alias("n"), F.max("counted").alias("counted"), F.min("id").alias("least"), one)
     nodes = written(nodes, "nodes")
     # a shingle of two different sets is a list that can bring partners together
-    lists = written(shared_lists(written(postings(df, text_col, size, percent, frequent), "postings")), "lists")
+    lists = written(shared_lists(posted), "lists")
     prefix = written(prefix_lists(lists, nodes, frequent, percent), "prefix")
     hubs = prefix.groupBy("token").agg(F.min("key").alias("hub"))
     blocks = components(prefix.join(hubs, "token").select(F.col("key").alias("a"), F.col("hub").alias("b")))
@@ -309,10 +307,10 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             batch["shingles"] = [shingles(t, size).tobytes() for t in batch["text"]]
             yield batch.drop(columns="text")
 
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_key"))
     chosen = texts.join(members, (F.col("text_key") == F.col("one_text")) & F.col("id").eqNullSafe(F.col("one_id"))).select("key", "n", "block", "part", "parts", "text")
-    sets = chosen.mapInPandas(sets_of, "key long, n long, block long, part int, parts int, shingles binary")
-    sent = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")})
+    chosen_sets = chosen.mapInPandas(sets_of, "key long, n long, block long, part int, parts int, shingles binary")
+    sent = chosen_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")})
 
     def searched(group: pd.DataFrame) -> pd.DataFrame:
         return search(group.drop_duplicates("key"), percent)

@@ -1,5 +1,6 @@
 """Bounds of what one task of the n-gram join holds, with the same results."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tabulon.llm import overlap
@@ -33,3 +34,15 @@ def test_shared_lists(spark, monkeypatch):
     posted = [(1, k) for k in range(20)] + [(2, 5), (2, 6), (2, 6), (3, 7), (3, 7)]
     got = sorted(map(tuple, overlap.shared_lists(spark.createDataFrame(posted, "token long, key long")).collect()))
     assert got == [(1, k, 20) for k in range(20)] + [(2, 5, 3), (2, 6, 3)]
+
+
+def test_texts_are_hashed_once(spark):
+    texts = ["a B c d e f", "A b C d e f", "one two", "", None, "x" * 500]
+    docs = documents(spark, list(enumerate(texts))).coalesce(1)
+    rows = {r["id"]: r for r in overlap.document_sets(docs, "doc_id", "text", 4, 85, np.empty(0, "int64")).collect()}
+    # equal sets of a task post once, sets without shingles never
+    assert [rows[k]["n"] for k in range(6)] == [3, 3, 1, 0, 0, 1] and rows[0]["key"] == rows[1]["key"]
+    assert rows[0]["posted"] and not any(rows[k]["posted"] for k in (1, 3, 4))
+    assert set(rows[0]["posted"]) <= set(overlap.shingles(texts[1]).tolist()) and rows[2]["posted"] == overlap.shingles(b"one two").tolist()
+    overlap.shingles(texts[5])
+    assert max(map(len, overlap.HASHES)) <= overlap.KEPT_BYTES  # one long word is not kept
