@@ -117,6 +117,7 @@ def document_sets(df: DataFrame, id_col: str, text_col: str, size: int, percent:
                     rows, held = [], 0
             if rows:
                 yield packed(rows)
+        HASHES.clear()  # workers stay for later stages
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
@@ -306,6 +307,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             batch["shingles"] = [shingles(t, size).tobytes() for t in batch["text"]]
             yield batch.drop(columns="text")
+        HASHES.clear()
 
     texts = df.select(F.col(f"`{id_col}`").alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_key"))
     chosen = texts.join(members, (F.col("text_key") == F.col("one_text")) & F.col("id").eqNullSafe(F.col("one_id"))).select("key", "n", "block", "part", "parts", "text")

@@ -24,6 +24,8 @@ KNOWN = regex.compile(PATTERN.replace("L", r"\p{L}").replace("N", r"\p{N}").repl
 FIRST_UNKNOWN = "\U000323b0"
 #: Longer chunks are not kept in the memo.
 KEPT_CHARS = 48
+#: Chunks, and pieces, of the generation of token ids that is being filled.
+MOST_YOUNG = 300_000
 
 
 @cache
@@ -164,6 +166,8 @@ class TokenIds:
 
     No token crosses white space, so that each distinct chunk is encoded once and
     kept; ASCII chunks are cut into the vocabulary's pieces first, which repeat more.
+    Of chunks and of pieces two generations are kept: once the younger one has ``MOST_YOUNG``
+    it becomes the older one, and what is then still looked up comes back from there.
     """
 
     def __init__(self, vocabulary: str):
@@ -172,24 +176,30 @@ class TokenIds:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.of_piece: dict[str, bytes] = {}
         self.of_chunk: dict[bytes, bytes] = {}
+        self.old_piece: dict[str, bytes] = {}
+        self.old_chunk: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def learn(self, chunks: set[bytes], most: int = 1_000_000) -> None:
-        """Make the ids of all ``chunks`` known."""
-        if len(self.of_chunk) + len(chunks) > most:
-            self.of_chunk.clear()
-        if len(self.of_piece) > most:
-            self.of_piece.clear()
-        missing = chunks.difference(self.of_chunk)
+    def learn(self, chunks: set[bytes]) -> None:
+        """Make the ids of all ``chunks`` known, which the younger generation does not have."""
+        if len(self.of_chunk) > MOST_YOUNG:
+            self.old_chunk, self.of_chunk = self.of_chunk, {}
+        if len(self.of_piece) > MOST_YOUNG:
+            self.old_piece, self.of_piece = self.of_piece, {}
+        known = chunks & self.old_chunk.keys()
+        self.of_chunk.update((c, self.old_chunk[c]) for c in known)
+        missing = chunks - known
         plain = {c: c.lower().decode() for c in missing if c.isalpha()}  # of bytes: ASCII letters only
         rest = [c for c in missing if c not in plain]
         cut = {c: KNOWN(c.lower().decode()) for c in rest if c.isascii() and b"<|" not in c}
         whole = {c: c.decode("utf-8", "surrogatepass") for c in rest if c not in cut}
         pieces = set(plain.values()).union(*cut.values()).difference(self.of_piece).union(whole.values())
-        order = list(pieces)
+        known = pieces & self.old_piece.keys()
+        self.of_piece.update((p, self.old_piece[p]) for p in known)
+        order = list(pieces - known)
         for at in range(0, len(order), 20_000):
             part = order[at : at + 20_000]
             self.of_piece.update(zip(part, self.encode(part)))
@@ -202,7 +212,7 @@ class TokenIds:
         for text in whole.values():
             self.of_piece.pop(text, None)
 
-    def ids(self, texts: list[str] | list[bytes], words: int = 500_000) -> Iterator[bytes]:
+    def ids(self, texts: list[str] | list[bytes], words: int = 200_000) -> Iterator[bytes]:
         """The ids of each text (or its UTF-8 bytes), in order; texts are learnt in groups of about ``words`` words."""
         group: list[list[bytes]] = []
         size = 0

@@ -154,6 +154,12 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def forget(self) -> None:
+        """Drop the memos at the end of a task: they refer to the model, which else stays in the
+        worker with all that it has kept until Python looks for cycles. Not to be used afterwards."""
+        for name in ("cores", "memos", "between", "edges", "found", "joined"):
+            del self.__dict__[name]
+
     def readings(self, word: str) -> list[list[tuple[str, float]]]:
         """The lattice of a text: what each sign, run of equal signs, or run of blanks and
         separators may stand for, with its cost. A blank is a word edge."""
@@ -443,6 +449,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if len(seen[0]) + len(seen[1]) > MAX_COUNTED:
                     yield counted()
         yield counted()
+        model.forget()
 
     sums = train.mapInPandas(count, "fragment string, toxic long, clean long").groupBy("fragment").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sums = written(sums.where("fragment = '' OR toxic >= 2"), "fragments")
@@ -463,6 +470,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def evidence(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, own in batches:
             yield pd.Series([list(model.evidence(t, y)) for t, y in zip(texts, own)])
+        model.forget()
 
     held = train.select("toxic", evidence("text", "toxic").alias("e")).toPandas()
     w = logistic(np.array(held["e"].tolist(), "float64"), held["toxic"].to_numpy("float64"))
@@ -477,5 +485,6 @@ def toxic_score(text: Column, model: Model) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([model.score(t) for t in texts], dtype="float64")
+        model.forget()
 
     return score(text)

@@ -229,3 +229,13 @@ def test_pack_small_pieces(spark):
 def test_pack_real(spark):
     rows = QUERIES["op8_best_fit_packing"](spark, SMALL).collect()
     assert placed(rows) <= 1.02 * -(-sum(r["length"] for r in rows) // 2048) + 1
+
+
+def test_token_ids_are_kept_in_two_generations(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_YOUNG", 20)
+    found = tokens.TokenIds(tokens.default_vocabulary())
+    texts = [f"the same words and w{k}x number{k} \u00e9t\u00e9{k}, again!" for k in range(60)]
+    got = list(found.ids([t.encode() for t in texts], words=9))
+    assert got == found.encode(texts)
+    assert max(map(len, (found.of_chunk, found.old_chunk, found.of_piece, found.old_piece))) < 80
+    assert b"the" in found.of_chunk.keys() | found.old_chunk.keys() and b"w0x" not in found.of_chunk.keys() | found.old_chunk.keys()

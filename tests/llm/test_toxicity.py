@@ -1,7 +1,10 @@
 """Disguises that the toxicity decoder must see through, wherever they stand."""
 
+import gc
 import random
+import weakref
 
+import numpy as np
 import pytest
 
 from tabulon.llm import toxicity
@@ -105,3 +108,17 @@ def test_memos_keep_no_long_texts(model):
     model.score("x1" * 500 + " " + "1 " * 500 + "rain")
     memos = (model.between, model.found, model.joined, model.edges, *model.cores.values(), *model.memos.values())
     assert all(len(k if isinstance(k, str) else k[1]) <= toxicity.MAX_WHOLE for memo in memos for k in memo)
+
+
+def test_a_model_that_forgets_is_freed_at_once():
+    model = toxicity.Model(toxicity.language_model(np.ones(toxicity.SIZE**3)), {"^bad$": (5, 1)}, (5, 5), 0.0, (1.0, 0.0, 0.0, 0.0))
+    assert 0 < model.score("a b a d word, b4d") < 1
+    gone = weakref.ref(model)
+    gc.collect()
+    gc.disable()
+    try:
+        model.forget()
+        del model
+        assert gone() is None
+    finally:
+        gc.enable()
