@@ -181,3 +181,21 @@ def test_cluster_rules(spark):
 def test_extremes(spark):
     counts = spark.createDataFrame([(1, 5), (2, 9), (3, 9), (4, 5)], "topic int, doc_count bigint")
     assert tuple(text.topic_extremes(counts).first()) == (2, 9, 4, 5)
+
+
+def test_members_of_the_vote_are_fitted_once(planted, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(models, "fit_perceptron", lambda train, seed, fit=models.fit_perceptron: fit(train, epochs=2, seed=seed))
+    for kind in (models.RandomForestRegressor, models.GBTRegressor):
+        monkeypatch.setattr(kind, "fit", lambda self, train, name=kind.__name__, fit=kind.fit: fitted.append(name) or fit(self, train))
+    forest, boosting = {"n_estimators": 3, "max_depth": 4, "min_samples_leaf": 4}, {"n_estimators": 3, "max_depth": 4}
+    both = {"Random Forest": forest, "Gradient Boosting": boosting, "Ensemble (Voting)": {"n_estimators": 3, "max_depth": 4}}
+    records = models.train_all_models(planted, "y", "id", both)
+    assert fitted == ["RandomForestRegressor", "GBTRegressor"] and not any("error" in r for r in records)
+    # the shared members are those that the model fits by itself
+    alone = models.train_all_models(planted, "y", "id", {"Ensemble (Voting)": both["Ensemble (Voting)"]})
+    assert alone[0]["test_metrics"] == records[2]["test_metrics"] and len(fitted) == 4
+    # other parameters are other models
+    fitted.clear()
+    models.train_all_models(planted, "y", "id", {"Random Forest": forest, **{"Ensemble (Voting)": {"n_estimators": 2, "max_depth": 4}}})
+    assert len(fitted) == 3
