@@ -45,7 +45,7 @@ TERMS = f"""docs AS (SELECT doc_id, {TOKENS} AS ws FROM documents WHERE len({TOK
 @query("tfidf_terms", f"WITH {TERMS} SELECT term, df, cf, round(idf, 8) AS idf FROM vocabulary")
 def _(t: Tables):
     docs = _corpus(t)
-    return rounded(text.tfidf_terms(text.with_terms(docs, STOP_WORDS), docs.count()), 8, "idf")
+    return rounded(text.tfidf_terms(text.with_tokens(docs, STOP_WORDS), docs.count()), 8, "idf")
 
 
 @query(

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -91,6 +92,42 @@ def test_pairs_of_rare_words_are_not_counted(spark):
     with_t.unpersist()
 
 
+def test_blocks_of_tokens_count_like_terms(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices([f"w{j}" for j in range(60)], k=rng.choice([0, 1, 2, 40])))) for i in range(200)]
+    tokens = text.with_tokens(spark.createDataFrame(docs, "id int, text string"), ["w3"]).persist()
+    rows = lambda d: sorted((r["term"], r["df"], r["cf"]) for r in d.collect())
+    for block, few in ((1_000_000, 200_000), (50, 200_000), (50, 1)):
+        monkeypatch.setattr(text, "BLOCK_TOKENS", block)
+        monkeypatch.setattr(text, "BROADCAST_WORDS", few)
+        for limit in (30, None):
+            assert rows(text.tfidf_terms(tokens, 200, 3, max_features=limit)) == rows(text.tfidf_terms(text.with_pairs(tokens).drop("tokens"), 200, 3, max_features=limit))
+    tokens.unpersist()
+
+
+def test_weights_of_tokens(monkeypatch):
+    lists = pa.array([["a", "b", "a", "b"], [], ["x"], ["b", "a", "c"]], pa.list_(pa.string()))
+    for block in (1_000_000, 1):
+        monkeypatch.setattr(text, "BLOCK_TOKENS", block)
+        got = text.weigh(lists, ["a", "a b", "b"], [1.0, 2.0, 3.0]).to_pylist()
+        assert [(r["type"], r["size"], r["indices"]) for r in got] == [(0, 3, [0, 1, 2]), (0, 3, []), (0, 3, []), (0, 3, [0, 2])]
+        assert got[0]["values"] == pytest.approx(np.array([2.0, 4.0, 6.0]) / 56**0.5) and got[3]["values"] == pytest.approx(np.array([1.0, 3.0]) / 10**0.5)
+
+
+def test_texts_are_cut_into_tokens_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(value):
+        read.add(1)
+        return value
+
+    docs = spark.range(120).select("id", seen(F.concat(F.lit("river dam w"), (F.col("id") % 7).cast("string"))).alias("text"))
+    features = text.tfidf(docs)
+    assert features.frame.count() == features.n_docs == 120 and read.value == 120
+    features.unpersist()
+
+
 # ---- cross-validation from moments
 
 @pytest.mark.parametrize("name, params", [("Linear Regression", {}), ("Ridge Regression", {"alpha": 2.0}), ("Ridge Regression", {"alpha": 200.0})])
@@ -158,6 +195,17 @@ def test_scans_do_not_depend_on_restarts(spark, monkeypatch):
     frame.unpersist()
 
 
+def test_runs_at_rest_are_not_scanned_again(spark, monkeypatch):
+    frame, runs = blobs(spark, True), []
+    count = kmeans.sums_by_centre
+    monkeypatch.setattr(kmeans, "sums_by_centre", lambda v, centres: runs.append(len(centres)) or count(v, centres))
+    scans = [kmeans.fit_kmeans(frame, 4, [seed]).scans for seed in range(1, 9)]
+    runs.clear()
+    kmeans.fit_kmeans(frame, 4, range(1, 9))
+    assert len(set(scans)) > 1 and runs == [sum(s >= at for s in scans) for at in range(1, max(scans) + 1)]
+    frame.unpersist()
+
+
 def test_clusters_of_few_or_equal_rows(spark):
     same = spark.createDataFrame([(i, Vectors.dense([1.0, 2.0])) for i in range(5)], ["id", "features"])
     model = kmeans.fit_kmeans(same, 3, [1, 2])
