@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import heapq
 import json
+import operator
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
+from itertools import compress, repeat
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,6 +29,10 @@ FIRST_UNKNOWN = "\U000323b0"
 KEPT_CHARS = 48
 #: Chunks, and pieces, of the generation of token ids that is being filled.
 MOST_YOUNG = 300_000
+#: Pieces that are encoded as one text.
+PIECES_AT_ONCE = 200
+#: ASCII characters other than letters, which a chunk is stripped of.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x80)) if not c.isalpha())
 
 
 @cache
@@ -161,6 +168,22 @@ def count_tokens(df: DataFrame, text_col: str = "text", vocabulary: str | None =
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+@lru_cache(100_000)
+def pieces_of_marks(marks: str) -> tuple[str, ...]:
+    return tuple(KNOWN(marks)) if marks else ()
+
+
+def stripped(chunk: str) -> tuple[str, ...] | None:
+    """The pieces of a chunk that is letters between ASCII marks, the letters as they are; else none.
+
+    What an apostrophe before letters takes from them is left to the vocabulary's pattern, and so are special strings."""
+    middle = chunk.strip(MARKS)
+    if not middle.isalpha() or "<|" in chunk:
+        return None
+    before, _, after = chunk.partition(middle)
+    return None if before.endswith("'") else (*pieces_of_marks(before), middle, *pieces_of_marks(after))
+
+
 class TokenIds:
     """Little-endian 32-bit token ids of texts, by the ``tokenizers`` library.
 
@@ -174,6 +197,12 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: Which ids end a piece, if the vocabulary marks that.
+        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), bool)
+        if suffix and all(b + suffix in words for b in byte_letters()):
+            self.ends[[i for w, i in words.items() if w.endswith(suffix)]] = True
         self.of_piece: dict[str, bytes] = {}
         self.of_chunk: dict[bytes, bytes] = {}
         self.old_piece: dict[str, bytes] = {}
@@ -183,6 +212,19 @@ class TokenIds:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Many are encoded as one text with blanks between them, which
+        ids that end a piece divide again; where their number is not that of the pieces, each is encoded alone."""
+        parts = [pieces[at : at + PIECES_AT_ONCE] for at in range(0, len(pieces), PIECES_AT_ONCE)]
+        out: list[bytes] = []
+        for part, ids in zip(parts, self.encode([" ".join(p) for p in parts])):
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "uint32")]) + 1)).tolist()
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                out += [ids[a:b] for a, b in zip([0, *stops], stops)]
+            else:
+                out += self.encode(part)
+        return out
+
     def learn(self, chunks: set[bytes]) -> None:
         """Make the ids of all ``chunks`` known, which the younger generation does not have."""
         if len(self.of_chunk) > MOST_YOUNG:
@@ -194,15 +236,23 @@ class TokenIds:
         missing = chunks - known
         plain = {c: c.lower().decode() for c in missing if c.isalpha()}  # of bytes: ASCII letters only
         rest = [c for c in missing if c not in plain]
-        cut = {c: KNOWN(c.lower().decode()) for c in rest if c.isascii() and b"<|" not in c}
-        whole = {c: c.decode("utf-8", "surrogatepass") for c in rest if c not in cut}
-        pieces = set(plain.values()).union(*cut.values()).difference(self.of_piece).union(whole.values())
+        cut, whole = {}, {}
+        for c in rest:
+            ascii = c.isascii()
+            text = c.lower().decode() if ascii else c.decode("utf-8", "surrogatepass")
+            if pieces := stripped(text):
+                cut[c] = pieces
+            elif ascii and "<|" not in text:
+                cut[c] = KNOWN(text)
+            else:
+                whole[c] = text
+        pieces = set(plain.values()).union(*cut.values()).difference(self.of_piece)
         known = pieces & self.old_piece.keys()
         self.of_piece.update((p, self.old_piece[p]) for p in known)
-        order = list(pieces - known)
-        for at in range(0, len(order), 20_000):
-            part = order[at : at + 20_000]
-            self.of_piece.update(zip(part, self.encode(part)))
+        for order, encode in ((list(pieces - known), self.encode_pieces), (list(set(whole.values())), self.encode)):
+            for at in range(0, len(order), 20_000):
+                part = order[at : at + 20_000]
+                self.of_piece.update(zip(part, encode(part)))
         get = self.of_piece.__getitem__
         self.of_chunk.update(zip(plain, map(get, plain.values())))
         for c, ps in cut.items():
@@ -228,10 +278,10 @@ class TokenIds:
     def flush(self, group: list[list[bytes]]) -> Iterator[bytes]:
         """One look-up a chunk; what is not known is learnt for the whole group and filled in."""
         get = self.of_chunk.get
-        found = [list(map(get, chunks)) for chunks in group]
-        open_texts = [k for k, parts in enumerate(found) if None in parts]
-        gaps = {k: [i for i, p in enumerate(found[k]) if p is None] for k in open_texts}
-        self.learn({group[k][i] for k in open_texts for i in gaps[k]})
+        found = [list(map(get, chunks, repeat(b""))) for chunks in group]
+        # the places of empty ids: what is not known yet
+        gaps = {k: list(compress(range(len(parts)), map(operator.not_, parts))) for k, parts in enumerate(found) if not all(parts)}
+        self.learn({group[k][i] for k, places in gaps.items() for i in places})
         for k, parts in enumerate(found):
             chunks = group[k]
             for i in gaps.get(k, ()):

@@ -1,5 +1,6 @@
 """Row-wise and placing operators: quality, sharding, mixing, tokens, packing."""
 
+from array import array
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -239,3 +240,17 @@ def test_token_ids_are_kept_in_two_generations(monkeypatch):
     assert got == found.encode(texts)
     assert max(map(len, (found.of_chunk, found.old_chunk, found.of_piece, found.old_piece))) < 80
     assert b"the" in found.of_chunk.keys() | found.old_chunk.keys() and b"w0x" not in found.of_chunk.keys() | found.old_chunk.keys()
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    encoder = tokens.TokenIds(tokens.default_vocabulary())
+    alone = lambda text: array("I", encoder.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    marks = ["", ",", "'", "('", "12", "<|", "=", "...\"", "_a'"]
+    words = ["über", "Straße", "Οδός", "ΟΔΟΣ", "İstanbul", "été's", "sé", "мир", "été", "한국", "日本語", "ﬁn", "ª", "x²", "ab", "it's", "a̸b", "\U000323b0é"]
+    chunks = [a + w + b for w in words for a in marks for b in marks] + [f"wort{i // 26}ö{chr(97 + i % 26)}".translate({ord(str(d)): 98 + d for d in range(10)}) for i in range(3000)]
+    texts = [" ".join(chunks[at : at + 7]) for at in range(0, len(chunks), 7)]
+    sent = []
+    monkeypatch.setattr(encoder, "encode", lambda some, encode=encoder.encode: sent.append(len(some)) or encode(some))
+    assert list(encoder.ids(texts)) == [alone(t) for t in texts]
+    # 3,000 new words are not as many texts to encode
+    assert sum(sent) < 2_000
