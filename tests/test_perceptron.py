@@ -83,3 +83,22 @@ def test_voting_has_the_three_members(spark):
     both = model.transform(rows).orderBy("key").select("prediction").toPandas()["prediction"]
     assert np.allclose(both, sum(alone) / 3)
     rows.unpersist()
+
+
+def test_a_step_is_one_pass_over_all_weights():
+    weights = perceptron.first_weights([3, 5, 4, 1], 1)
+    at_once, start = perceptron.Adam(weights), [w.copy() for w in weights]
+    rng = np.random.default_rng(2)
+    mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    plain = [w.copy() for w in weights]
+    for done in range(1, 6):
+        grads = [rng.normal(size=w.shape) for w in weights]
+        at_once.follow([g.copy() for g in grads])
+        rate = perceptron.STEP * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
+        for w, g, m, v in zip(plain, grads, mean, square):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            w -= rate * m / (np.sqrt(v) + 1e-8)
+    # views of one vector; the weights that were given stay as they are
+    assert all(np.shares_memory(w, at_once.all) for w in at_once.weights) and all((a == b).all() for a, b in zip(weights, start))
+    assert all((a == b).all() for a, b in zip(at_once.weights, plain))
