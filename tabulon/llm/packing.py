@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -14,6 +15,8 @@ from tabulon.llm.common import bits_for, row_hash, running, top_bits, written
 from tabulon.llm.tokens import default_vocabulary, token_ids
 
 CAPACITY = 2048
+#: Texts that are Python objects at a time, besides those of a group of words.
+TEXTS_AT_ONCE = 200
 
 
 class RoomTree:
@@ -124,23 +127,24 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = vocabulary or default_vocabulary()
     tail = int(end_id).to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = token_ids(path)
         for batch in batches:
-            rows = []
-            for key, ids in zip(batch["id"], encoder.ids([t or b"" for t in batch["text"]])):
+            column, rows = batch["text"], []
+            texts = (t or b"" for at in range(0, len(batch), TEXTS_AT_ONCE) for t in column.slice(at, TEXTS_AT_ONCE).to_pylist())
+            for row, ids in enumerate(encoder.ids(texts)):
                 ids += tail
-                key = None if pd.isna(key) else key
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"}) if integral else out
+                    rows.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            row, piece, *rest = np.array(rows, "int64").reshape(-1, 5).T
+            keys = batch["id"].take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(piece.astype("int32")), *map(pa.array, rest)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(df.dtypes)[id_col]
-    integral = kind in ("bigint", "int", "smallint", "tinyint")
-    narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    return narrow.mapInPandas(cut, f"doc_id {'bigint' if integral else kind}, piece int, start long, length long, ids_crc32 long")
+    kind = "bigint" if kind in ("int", "smallint", "tinyint") else kind
+    narrow = df.select(F.col(f"`{id_col}`").cast(kind).alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    return narrow.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(df: DataFrame, **options) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import heapq
 import json
 import operator
+import os
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 from itertools import compress, repeat
 
@@ -33,6 +34,7 @@ MOST_YOUNG = 300_000
 PIECES_AT_ONCE = 200
 #: ASCII characters other than letters, which a chunk is stripped of.
 MARKS = "".join(c for c in map(chr, range(0x21, 0x80)) if not c.isalpha())
+MARK_BYTES = MARKS.encode()
 
 
 @cache
@@ -188,14 +190,16 @@ class TokenIds:
     """Little-endian 32-bit token ids of texts, by the ``tokenizers`` library.
 
     No token crosses white space, so that each distinct chunk is encoded once and
-    kept; ASCII chunks are cut into the vocabulary's pieces first, which repeat more.
-    Of chunks and of pieces two generations are kept: once the younger one has ``MOST_YOUNG``
+    kept; chunks are cut into the vocabulary's pieces first where these are known, which repeat more.
+    Lower-case ASCII words are kept with the chunks. Of chunks and of pieces two generations are kept: once the younger one has ``MOST_YOUNG``
     it becomes the older one, and what is then still looked up comes back from there.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        # a task has one core; threads of its own would each keep memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         words = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -203,6 +207,8 @@ class TokenIds:
         self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), bool)
         if suffix and all(b + suffix in words for b in byte_letters()):
             self.ends[[i for w, i in words.items() if w.endswith(suffix)]] = True
+        #: Whether a piece of lower-case ASCII letters goes to the merges as it is: no added token may lie in it.
+        self.direct = suffix is not None and not any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.of_piece: dict[str, bytes] = {}
         self.of_chunk: dict[bytes, bytes] = {}
         self.old_piece: dict[str, bytes] = {}
@@ -212,6 +218,13 @@ class TokenIds:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of lower-case ASCII words. Their letters stand for themselves, so that they need only be merged."""
+        if not self.direct:
+            return self.encode_pieces([w.decode() for w in words])
+        merged = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in merged(w.decode())]).tobytes() for w in words]
+
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece. Many are encoded as one text with blanks between them, which
         ids that end a piece divide again; where their number is not that of the pieces, each is encoded alone."""
@@ -233,11 +246,13 @@ class TokenIds:
             self.old_piece, self.of_piece = self.of_piece, {}
         known = chunks & self.old_chunk.keys()
         self.of_chunk.update((c, self.old_chunk[c]) for c in known)
-        missing = chunks - known
-        plain = {c: c.lower().decode() for c in missing if c.isalpha()}  # of bytes: ASCII letters only
-        rest = [c for c in missing if c not in plain]
-        cut, whole = {}, {}
-        for c in rest:
+        ended, cut, whole = {}, {}, {}
+        for c in chunks - known:
+            word = c.rstrip(MARK_BYTES)
+            marks = c[len(word) :]
+            if word.isalpha() and b"<|" not in marks:  # of bytes: ASCII letters only
+                ended[c] = word.lower(), marks
+                continue
             ascii = c.isascii()
             text = c.lower().decode() if ascii else c.decode("utf-8", "surrogatepass")
             if pieces := stripped(text):
@@ -246,7 +261,13 @@ class TokenIds:
                 cut[c] = KNOWN(text)
             else:
                 whole[c] = text
-        pieces = set(plain.values()).union(*cut.values()).difference(self.of_piece)
+        words = {w for w, _ in ended.values()}.difference(self.of_chunk)
+        known = words & self.old_chunk.keys()
+        self.of_chunk.update((w, self.old_chunk[w]) for w in known)
+        new = list(words - known)
+        self.of_chunk.update(zip(new, self.encode_words(new)))
+        marks = {m: pieces_of_marks(m.decode()) for m in {m for _, m in ended.values()}}
+        pieces = set().union(*marks.values(), *cut.values()).difference(self.of_piece)
         known = pieces & self.old_piece.keys()
         self.of_piece.update((p, self.old_piece[p]) for p in known)
         for order, encode in ((list(pieces - known), self.encode_pieces), (list(set(whole.values())), self.encode)):
@@ -254,7 +275,9 @@ class TokenIds:
                 part = order[at : at + 20_000]
                 self.of_piece.update(zip(part, encode(part)))
         get = self.of_piece.__getitem__
-        self.of_chunk.update(zip(plain, map(get, plain.values())))
+        ends = {m: b"".join(map(get, ps)) for m, ps in marks.items()}
+        for c, (w, m) in ended.items():
+            self.of_chunk[c] = self.of_chunk[w] + ends[m]
         for c, ps in cut.items():
             self.of_chunk[c] = b"".join(map(get, ps))
         for c, text in whole.items():
@@ -262,7 +285,7 @@ class TokenIds:
         for text in whole.values():
             self.of_piece.pop(text, None)
 
-    def ids(self, texts: list[str] | list[bytes], words: int = 200_000) -> Iterator[bytes]:
+    def ids(self, texts: Iterable[str | bytes], words: int = 200_000) -> Iterator[bytes]:
         """The ids of each text (or its UTF-8 bytes), in order; texts are learnt in groups of about ``words`` words."""
         group: list[list[bytes]] = []
         size = 0

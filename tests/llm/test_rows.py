@@ -1,6 +1,8 @@
 """Row-wise and placing operators: quality, sharding, mixing, tokens, packing."""
 
 from array import array
+import datetime
+import decimal
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -254,3 +256,20 @@ def test_new_pieces_are_encoded_together(monkeypatch):
     assert list(encoder.ids(texts)) == [alone(t) for t in texts]
     # 3,000 new words are not as many texts to encode
     assert sum(sent) < 2_000
+
+
+def test_words_with_marks_behind_share_the_ids_of_the_word(monkeypatch):
+    encoder = tokens.TokenIds(tokens.default_vocabulary())
+    texts = [f"{w}{m} {w.upper()}{m} {w}" for w in ("rain", "zqxjkvw", "s", "don") for m in ("", ",", "'", "...", "!?<", "<|", "<|endoftext|>", "'s", "1", "\x1c", "\x7f")]
+    learnt = []
+    monkeypatch.setattr(encoder, "encode_words", lambda some, encode=encoder.encode_words: learnt.extend(some) or encode(some))
+    assert list(encoder.ids(texts, words=1)) == encoder.encode(texts)
+    assert {b"don", b"rain", b"s", b"zqxjkvw"} == set(learnt) and len(learnt) == 4
+
+
+def test_pieces_of_any_key(spark):
+    for kind, key in (("string", "b"), ("int", 7), ("date", datetime.date(2020, 1, 2)), ("decimal(10,2)", decimal.Decimal("1.50"))):
+        docs = spark.createDataFrame([(key, "rain " * 3000), (None, None)], f"doc_id {kind}, text string")
+        found = packing.token_pieces(docs)
+        assert found.schema["doc_id"].dataType.simpleString() == ("bigint" if kind == "int" else kind)
+        assert sorted((r["doc_id"] is None, r["piece"], r["start"], r["length"]) for r in found.collect()) == [(False, 0, 0, 2048), (False, 1, 2048, 953), (True, 0, 0, 1)]
