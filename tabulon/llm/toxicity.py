@@ -12,11 +12,11 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache, partial
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -36,6 +36,8 @@ GRAMS = (4, 5, 6)
 MAX_WHOLE = 64
 #: Fragments that a task counts before it sends them on.
 MAX_COUNTED = 200_000
+#: Words whose weights a task keeps, and words of some texts that are weighed together.
+MAX_WEIGHED, GROUP_WORDS = 100_000, 20_000
 
 # Signs that stand for letters.
 LOOKS = {
@@ -105,6 +107,14 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
+def with_runs(words: list[str]) -> list[int]:
+    """The numbers of the words, none of them empty, that hold a letter twice in a row."""
+    points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    twice = np.flatnonzero(points[1:] == points[:-1])
+    ends = np.cumsum([len(x) + 1 for x in words])
+    return np.unique(np.searchsorted(ends, twice, "right")).tolist()
+
+
 class ShortMemo(Memo):
     """A memo that keeps no text, or middle one of three, beyond ``MAX_WHOLE`` characters:
     with the number of entries this bounds its bytes."""
@@ -128,27 +138,27 @@ class Model:
         self.table = np.asarray(self.lm)
         self.lm = self.table.tolist()  # single items are looked up
         self.between, self.edges = ShortMemo(self.gap, 100_000), ShortMemo(lambda text: self.lattice(text)[0], 5_000)
+        self.elements = ShortMemo(lambda text: [(x, [CODES[c] for c in x], cost) for x, cost in self.readings(text)[0]], 5_000)
         self.found, self.joined = ShortMemo(self.forms, 20_000), ShortMemo(self.join, 20_000)
         # the weights as such, and as seen by a clean or toxic document that is itself in the counts
-        self.weights = {own: {g: w for g in self.counts if (w := self.weight(g, own))} for own in (None, 0, 1)}
-        # with runs put to one letter: the largest weight that any fragment of that form has
-        self.single: dict[str, dict[int | None, float]] = {}
-        for own, weights in self.weights.items():
-            for g, w in weights.items():
-                most = self.single.setdefault(RUNS.sub(r"\1", g), dict.fromkeys(self.weights, 0.0))
-                most[own] = max(most[own], w)
+        odds = cache(self.odds)
+        self.weights = {own: {g: w for g, n in self.counts.items() if (w := odds(*n, own))} for own in (None, 0, 1)}
+        found = list(dict.fromkeys(chain.from_iterable(self.weights.values())))
+        #: Fragments with a weight, with runs put to one letter.
+        self.single = {RUNS.sub(r"\1", g) for g in found}
         self.lengths = sorted({len(g) for g in self.single if len(g) <= max(GRAMS)})
         self.search = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, g in enumerate(self.single):
+        for k, g in enumerate(found):
             self.search.add_word(g, k)
         self.search.make_automaton()
-        self.most = {own: np.array([most[own] for most in self.single.values()]) for own in self.weights}
-        self.width = np.array([len(g) for g in self.single], "int64")
+        self.width, self.arrays = np.array([len(g) for g in found], "int64"), {}
+        for own, weights in self.weights.items():
+            self.arrays[own] = np.array([weights.get(g, 0.0) for g in found], "float64")
         self.cores = {own: ShortMemo(partial(self.core_weight, weights=self.weights[own]), 50_000) for own in self.weights}
-        self.memos = {own: ShortMemo(partial(self.word_weight, cores=self.cores[own]), 50_000) for own in self.weights}
+        self.memos = {own: ShortMemo(partial(self.word_weight, cores=self.cores[own]), MAX_WEIGHED) for own in self.weights}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("table", "weights", "cores", "memos", "single", "lengths", "search", "most", "width", "between", "edges", "found", "joined")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "weights", "cores", "memos", "single", "lengths", "search", "width", "arrays", "between", "edges", "elements", "found", "joined")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -157,7 +167,7 @@ class Model:
     def forget(self) -> None:
         """Drop the memos at the end of a task: they refer to the model, which else stays in the
         worker with all that it has kept until Python looks for cycles. Not to be used afterwards."""
-        for name in ("cores", "memos", "between", "edges", "found", "joined"):
+        for name in ("cores", "memos", "between", "edges", "elements", "found", "joined"):
             del self.__dict__[name]
 
     def readings(self, word: str) -> list[list[tuple[str, float]]]:
@@ -181,7 +191,7 @@ class Model:
 
     def lattice(self, text: str) -> list[list[tuple[str, list[int], float]]]:
         """The readings with the codes of their letters."""
-        return [[(x, [CODES[c] for c in x], cost) for x, cost in options] for options in self.readings(text)]
+        return [self.elements[match[0]] for match in ELEMENTS(text)]
 
     def decode(self, text: str, before: str = "", after: str = "") -> str:
         """The most probable reading of a text between given letters: Viterbi over the
@@ -262,9 +272,8 @@ class Model:
             return RUNS.search(word) is not None
         return any(map(str.isalpha, word))
 
-    def weight(self, fragment: str, own: int | None) -> float:
-        """Log odds of a fragment, less for rare ones; without the document's own count if it has a label."""
-        toxic, clean = self.counts[fragment]
+    def odds(self, toxic: int, clean: int, own: int | None) -> float:
+        """Log odds of a fragment of so many documents, less for rare ones; without the document's own count if it has a label."""
         toxic, clean = max(0, toxic - (own == 1)), max(0, clean - (own == 0))
         odds = math.log((toxic + 0.5) / (self.sizes[0] + 1)) - math.log((clean + 0.5) / (self.sizes[1] + 1))
         return max(0.0, odds) * toxic / (toxic + 1)
@@ -277,46 +286,80 @@ class Model:
             return cores[core]
         return max(map(cores.__getitem__, self.found[word]))
 
-    def bounds(self, words: Iterable[str], own: int | None) -> list[tuple[float, str]]:
-        """Words that may have a weight, each with what it cannot exceed, found by one search:
-        with runs put to one letter, the fragments of every form of a word are among those of
-        its line. A word of letters is weighed by the square of the share that is covered."""
-        words = list(words)
-        if not (words and self.single):
+    def weigh(self, words: set[str], own: int | None) -> dict[str, float]:
+        """Make the weights of all ``words`` known to the memo, and return those that it does not
+        keep. New ones are weighed together, as by ``word_weight``."""
+        known = self.memos[own]
+        new = words.difference(known)
+        if len(known) + len(new) > known.most:
+            known.clear()
+            new = words
+        weights, names, cores = dict.fromkeys(new, 0.0), list(new), self.cores[own]
+        stripped = [low.strip(EDGES) for low in "\n".join(names).lower().split("\n")] if names else []
+        plain = [core.isalpha() for core in stripped]
+        lines, words_of_lines = list(compress(stripped, plain)), list(compress(names, plain))
+        several = [word for word, alpha in zip(names, plain) if not alpha]
+        for k in with_runs(lines):
+            if self.may_weigh(lines[k]):
+                several.append(words_of_lines[k])
+        for word in several:
+            for form in self.found[word]:
+                if form.isalpha():
+                    lines.append(form)
+                    words_of_lines.append(word)
+                elif w := cores[form]:
+                    weights[word] = max(weights[word], w)
+        for k, w in self.core_weights(lines, own):
+            word = words_of_lines[k]
+            if w > weights[word]:
+                weights[word] = w
+        long = {w: weights.pop(w) for w in names if len(w) > MAX_WHOLE}
+        known.update(weights)
+        return long
+
+    def core_weights(self, lines: list[str], own: int | None) -> list[tuple[int, float]]:
+        """``core_weight`` of each line of letters that has one, with its number, by one search for all fragments."""
+        weights = self.weights[own]
+        if not (lines and weights):
             return []
-        lines = [x.strip(EDGES) for x in "\n".join(words).lower().split("\n")]
-        lines = [x if x.isalpha() else "$ ^".join(self.found[word]) for x, word in zip(lines, words)]
-        marked = RUNS.sub(r"\1", "^" + "$\n^".join(lines) + "$")
+        marked = "^" + "$\n^".join(lines) + "$"
         hits = np.fromiter(chain.from_iterable(self.search.iter(marked)), "int64").reshape(-1, 2)
-        hits = hits[self.most[own][hits[:, 1]] > 0]
-        if not len(hits):
+        end, fragment = hits[:, 0], hits[:, 1]
+        w = self.arrays[own][fragment]
+        if not w.all():
+            end, fragment, w = (x[w > 0] for x in (end, fragment, w))
+        if not len(end):
             return []
-        starts = np.cumsum([0, *[len(x) + 1 for x in marked.split("\n")]])
-        at = np.searchsorted(starts, hits[:, 0], "right") - 1
+        starts = np.cumsum([0, *[len(x) + 3 for x in lines]])
+        at = np.searchsorted(starts, end, "right") - 1
         first = np.flatnonzero(np.diff(at, prepend=-1))
-        most, covered = np.maximum.reduceat(self.most[own][hits[:, 1]], first), np.add.reduceat(self.width[hits[:, 1]], first)
-        out = []
-        for line, w, n in zip(at[first].tolist(), most.tolist(), covered.tolist()):
-            size = len(lines[line]) + 2
-            more = size - int(starts[line + 1] - starts[line] - 1)  # letters that runs may add to what is covered
-            out.append((w * min(1.0, (n + more) / size) ** 2 if lines[line].isalpha() else w, words[line]))
-        return out
+        top, line = np.maximum.reduceat(w, first), at[first]
+        strong = 2 * w >= np.repeat(top, np.diff(first, append=len(at)))
+        end = end[strong] + 1
+        depth = np.bincount(end - self.width[fragment[strong]], minlength=starts[-1]) - np.bincount(end, minlength=starts[-1])
+        covered = np.add.reduceat(np.cumsum(depth) > 0, starts[:-1], dtype="int64")[line]
+        return [(k, t * (c / (len(lines[k]) + 2)) ** 2) for k, t, c in zip(line.tolist(), top.tolist(), covered.tolist())]
 
     def largest(self, words: Iterable[str], own: int | None, k: int) -> list[float]:
-        """The largest word weights, at most ``k``: words are weighed by falling bounds until
-        no other can be among them."""
-        weights, best = self.memos[own], []
-        for bound, word in sorted(self.bounds(words, own), reverse=True):
-            if len(best) == k and best[0] >= bound:
-                break
-            (heapq.heappush if len(best) < k else heapq.heappushpop)(best, weights[word])
-        return sorted(best, reverse=True)
+        """The largest word weights, at most ``k``, without zeros."""
+        words = set(words)
+        return self.largest_known(words, own, k, self.weigh(words, own))
+
+    def largest_known(self, words: set[str], own: int | None, k: int, long: dict[str, float]) -> list[float]:
+        get = self.memos[own].get
+        found = [w for w in map(get, words) if w]
+        if long:
+            found += [w for x in long.keys() & words if (w := long[x])]
+        return heapq.nlargest(k, found)
 
     def may_weigh(self, word: str) -> bool:
         """Whether any reading of letters has a fragment with a weight: with runs put to one
         letter, a reading's fragments are among those of the word."""
         marked = RUNS.sub(r"\1", f"^{word}$")
-        return not self.single.keys().isdisjoint([marked, *[marked[i : i + n] for n in self.lengths for i in range(len(marked) - n + 1)]])
+        for n in self.lengths:
+            if not self.single.isdisjoint([marked[i : i + n] for i in range(len(marked) - n + 1)]):
+                return True
+        return marked in self.single
 
     def core_weight(self, form: str, weights: dict[str, float]) -> float:
         """The largest weight of a fragment, by the square of the share of the word that
@@ -377,13 +420,33 @@ class Model:
 
     def evidence(self, text: str | None, own: int | None = None) -> tuple[float, ...]:
         """The largest word weight, the second, the sum of the next six, and the log of the number of words."""
-        words = self.words(text) if text else ()
-        top = [*self.largest(words, own, 8), 0.0, 0.0]
-        return top[0], top[1], sum(top[2:]), math.log1p(len(words))
+        return next(self.evidences([text], [own]))
+
+    def evidences(self, texts: Iterable[str | None], owns: Iterable[int | None]) -> Iterator[tuple[float, ...]]:
+        """The evidence of each text in order; the words of some texts are weighed together."""
+        group, size = [], 0
+        for text, own in zip(texts, owns):
+            words = self.words(text) if text else set()
+            group.append((words, own))
+            size += len(words)
+            if size >= GROUP_WORDS:
+                yield from self.weighed(group)
+                group, size = [], 0
+        yield from self.weighed(group)
+
+    def weighed(self, group: list[tuple[set[str], int | None]]) -> Iterator[tuple[float, ...]]:
+        long = {own: self.weigh(set().union(*[words for words, o in group if o == own]), own) for own in {own for _, own in group}}
+        for words, own in group:
+            top = [*self.largest_known(words, own, 8, long[own]), 0.0, 0.0]
+            yield top[0], top[1], sum(top[2:]), math.log1p(len(words))
+
+    def scores(self, texts: Iterable[str | None]) -> Iterator[float]:
+        for evidence in self.evidences(texts, repeat(None)):
+            total = self.bias + sum(a * b for a, b in zip(self.slopes, evidence))
+            yield 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
     def score(self, text: str | None) -> float:
-        total = self.bias + sum(a * b for a, b in zip(self.slopes, self.evidence(text)))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
+        return next(self.scores([text]))
 
 
 def language_model(counts: np.ndarray) -> np.ndarray:
@@ -433,20 +496,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = written(train, "labelled")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, size, of_word = (Counter(), Counter()), [0, 0], ShortMemo(model.fragments, 10_000)
+        ids: defaultdict[str, int] = defaultdict()
+        ids.default_factory = ids.__len__  # a new fragment gets the next number
+        of_word = ShortMemo(lambda word: np.array(list(map(ids.__getitem__, model.fragments(word))), "int32"), 20_000)
+        tally, size = np.zeros((2, 2 * MAX_COUNTED), "int64"), [0, 0]
 
         def counted() -> pd.DataFrame:
-            names = [*(seen[0].keys() | seen[1].keys()), ""]
-            out = pd.DataFrame({"fragment": names, "toxic": [*(seen[1][x] for x in names[:-1]), size[1]], "clean": [*(seen[0][x] for x in names[:-1]), size[0]]})
-            seen[0].clear(), seen[1].clear()
-            size[:] = 0, 0
+            n = len(ids)
+            out = pd.DataFrame({"fragment": [*ids, ""], "toxic": [*tally[1, :n].tolist(), size[1]], "clean": [*tally[0, :n].tolist(), size[0]]})
+            ids.clear(), of_word.clear()
+            tally[:], size[:] = 0, [0, 0]
             return out
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 size[toxic] += 1
-                seen[toxic].update(set().union(*map(of_word.__getitem__, model.words(text or ""))))
-                if len(seen[0]) + len(seen[1]) > MAX_COUNTED:
+                parts = [of_word[word] for word in model.words(text or "")]
+                if len(ids) > tally.shape[1]:
+                    tally = np.pad(tally, ((0, 0), (0, len(ids))))
+                if parts:
+                    held = np.zeros(len(ids), bool)  # each fragment counts once a document
+                    held[np.concatenate(parts)] = True
+                    tally[toxic, : len(ids)] += held
+                if len(ids) > MAX_COUNTED:
                     yield counted()
         yield counted()
         model.forget()
@@ -469,7 +541,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     @pandas_udf("array<double>")
     def evidence(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, own in batches:
-            yield pd.Series([list(model.evidence(t, y)) for t, y in zip(texts, own)])
+            yield pd.Series(list(map(list, model.evidences(texts, own))))
         model.forget()
 
     held = train.select("toxic", evidence("text", "toxic").alias("e")).toPandas()
@@ -484,7 +556,7 @@ def toxic_score(text: Column, model: Model) -> Column:
     @pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([model.score(t) for t in texts], dtype="float64")
+            yield pd.Series(list(model.scores(texts)), dtype="float64")
         model.forget()
 
     return score(text)

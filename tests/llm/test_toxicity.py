@@ -3,6 +3,7 @@
 import gc
 import random
 import weakref
+import zlib
 
 import numpy as np
 import pytest
@@ -122,3 +123,29 @@ def test_a_model_that_forgets_is_freed_at_once():
         assert gone() is None
     finally:
         gc.enable()
+
+
+def test_words_of_many_texts_are_weighed_together(model, monkeypatch):
+    rng = random.Random(3)
+    make = lambda: "".join(rng.choices("stupidofolmrn1.-", k=rng.randrange(1, 9)))
+    texts = [None, "", *(" ".join([*(make() for _ in range(rng.randrange(1, 60))), rng.choice(["stupid", "f o o l", "x" * 70 + "idiot"])]) for _ in range(120))]
+    searches = []
+    monkeypatch.setattr(model, "core_weights", lambda lines, own, search=model.core_weights: searches.append(own) or search(lines, own))
+    owns = [None, *(rng.choice([None, 0, 1]) for _ in texts[1:])]
+    found = list(model.evidences(texts, owns))
+    # one search for each kind of document, not one a text
+    assert len(searches) <= 3
+    for text, own, evidence in zip(texts, owns, found):
+        words = model.words(text) if text else ()
+        top = sorted([max(model.core_weight(f, model.weights[own]) for f in model.forms(w)) for w in words], reverse=True)[:8] + [0.0] * 8
+        assert evidence == (top[0], top[1], sum(top[2:8]), np.log1p(len(words)))
+
+
+def test_fragments_are_counted_once_a_document(spark):
+    rows = [(k, "stupid stupid stupidly rain" if k % 2 else "green hills") for k in range(40)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    learnt = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    model = toxicity.fit(documents(spark, rows), labels)
+    toxic = sum(k % 2 for k in learnt)
+    assert model.sizes == (toxic, len(learnt) - toxic)
+    assert {model.counts[g] for g in ("^stupid$", "stupid", "^stupidly$", "^rain$")} == {(toxic, 0)}
