@@ -199,3 +199,24 @@ def test_members_of_the_vote_are_fitted_once(planted, monkeypatch):
     fitted.clear()
     models.train_all_models(planted, "y", "id", {"Random Forest": forest, **{"Ensemble (Voting)": {"n_estimators": 2, "max_depth": 4}}})
     assert len(fitted) == 3
+
+
+def test_training_queries_read_all_columns(tables, spark, monkeypatch):
+    from tabulon.plans.queries import QUERIES
+    from tabulon.plans.queries.base import ENTRY_COLUMNS
+    from tests.conftest import SMALL
+
+    seen = []
+    monkeypatch.setattr(models, "train_all_models", lambda df, target, key, *rest: seen.append((df.columns, target, key)) or [])
+    for name in ("train_all_models", "trained_models"):
+        QUERIES[name](spark, SMALL)
+    assert seen == [([c for c, _ in ENTRY_COLUMNS], "impact_score", "row_id")] * 2
+    chosen = f.select_features(tables.entries, "impact_score")
+    assert {"month", "country", "funding_usd", "open_access", "date_text", "constant_num"} <= set(chosen)
+    assert not {"entry_id", "title", "abstract_summary", "organization", "entry_ts"} & set(chosen)
+
+
+def test_times_are_categories_up_to_the_same_number(spark):
+    df = spark.range(200).selectExpr("id", "id * 2e0 AS y", "timestamp_millis(id * 1000) AS at", "date_add(DATE'2024-01-01', CAST(id % 50 AS INT)) AS day", "id % 2 = 0 AS even")
+    assert f.select_features(df, "y") == ["id", "day", "even"]
+    assert f.select_features(df, "y", 49) == ["id", "even"]
