@@ -220,3 +220,22 @@ def test_times_are_categories_up_to_the_same_number(spark):
     df = spark.range(200).selectExpr("id", "id * 2e0 AS y", "timestamp_millis(id * 1000) AS at", "date_add(DATE'2024-01-01', CAST(id % 50 AS INT)) AS day", "id % 2 = 0 AS even")
     assert f.select_features(df, "y") == ["id", "day", "even"]
     assert f.select_features(df, "y", 49) == ["id", "even"]
+
+
+def test_features_are_learnt_from_a_copy(planted, monkeypatch):
+    runs = planted.sparkSession.sparkContext.accumulator(0)
+    touched = F.udf(lambda v: runs.add(1) or v, "double")
+    got = models.prepare(planted.withColumn("a", touched("a").cast("double")), "y", ["a", "b", "kind"], "id")
+    assert got.train.count() + got.test.count() == 600 and runs.value == 600
+    got.unpersist()
+
+
+def test_fits_run_side_by_side(planted, monkeypatch):
+    import threading
+
+    both = threading.Barrier(2, timeout=60)
+    for kind in (models.RandomForestRegressor, models.GBTRegressor):
+        monkeypatch.setattr(kind, "fit", lambda self, train, fit=kind.fit: both.wait() >= 0 and fit(self, train))
+    monkeypatch.setattr(models, "fit_perceptron", lambda train, seed, fit=models.fit_perceptron: fit(train, epochs=1, seed=seed))
+    records = models.train_all_models(planted, "y", "id", {"Ensemble (Voting)": {"n_estimators": 2, "max_depth": 3}})
+    assert not any("error" in r for r in records)
