@@ -120,3 +120,41 @@ def test_vocabulary_counts_all(spark):
     assert counts.sum() == 5
     empty = lm.fit(docs.limit(0))
     assert empty.score("some words") == (2, pytest.approx(2 * -np.log(lm.ENTRIES), rel=1e-2)) or empty.score("some words")[0] == 2
+
+
+def test_every_word_counts(spark, monkeypatch):
+    rng = random.Random(7)
+    common = [f"common{k}" for k in range(lm.ENTRIES - lm.BUCKETS - 1)]
+    rare = [f"rare{k}" for k in range(2_000)]
+    rows = [(k, " ".join(rng.choices(common, k=40) + rng.choices(rare, k=10) + ["twice"] * (k % 5 == 0))) for k in range(300)]
+    # a word of the same class as another, but much rarer
+    same = next(w for w in map("only{}".format, range(1000)) if zlib.crc32(w.encode()) % lm.BUCKETS == zlib.crc32(b"twice") % lm.BUCKETS)
+    rows += [(1000, f"Common1 twice common2 {rare[0]}"), (1001, f"common1 {same} common2 {rare[0]}"), (1002, None)]
+    docs = documents(spark, rows)
+    monkeypatch.setattr(lm, "HELD_TOKENS", 500)
+    scorer = lm.fit(docs)
+    got = {r["doc_id"]: r for r in lm.score_documents(docs, scorer).collect()}
+    counts = {}
+    for _, text in rows:
+        for w in (text or "").lower().split():
+            counts[w] = counts.get(w, 0) + 1
+    # the two differ in one word of one class, so that only its frequency parts them
+    assert got[1000]["pll"] - got[1001]["pll"] == pytest.approx(np.log((counts["twice"] + 1) / 2))
+    frequent = set(scorer.vocabulary.entry)
+    sizes = [1.0] * lm.BUCKETS
+    for w, n in counts.items():
+        if w not in frequent:
+            sizes[zlib.crc32(w.encode()) % lm.BUCKETS] += n + 1
+    for doc_id, text in rows:
+        low = (text or "").lower().split()
+        at = [0, *(int(scorer.vocabulary.find(w)) for w in low), 0]
+        classes = sum(float(scorer.table.classes[at[k - 1], at[k + 1], at[k]]) for k in range(1, len(at) - 1))
+        inside = sum(np.log((counts[w] + 1) / sizes[zlib.crc32(w.encode()) % lm.BUCKETS]) for w in low if w not in frequent)
+        assert got[doc_id]["n_tokens"] == len(low) and got[doc_id]["pll"] == pytest.approx(classes + inside, rel=1e-6, abs=1e-6)
+    # texts scored on the driver, with and without the words there, and words never seen
+    plain = scorer.score(rows[0][1])
+    assert plain[1] == pytest.approx(got[0]["pll"])
+    monkeypatch.setattr(lm, "DRIVER_WORDS", 0)
+    scorer.table.words.memo.clear()
+    assert scorer.score("common1 never-seen " + rare[0])[1] < scorer.score("common1 twice " + rare[0])[1]
+    assert lm.score_documents(documents(spark, [(1, "never-seen words")]), scorer).first()["pll"] == pytest.approx(scorer.score("never-seen words")[1])
