@@ -212,3 +212,30 @@ def test_clusters_of_few_or_equal_rows(spark):
     assert model.cost == 0 and {r["prediction"] for r in model.transform(same).collect()} == {0}
     with pytest.raises(ValueError):
         kmeans.fit_kmeans(same.limit(0), 2, [1])
+
+
+def test_parts_of_the_batch_run_side_by_side(spark, monkeypatch):
+    import threading
+
+    from tabulon.operators import text
+    from tabulon.plans import batch
+    from tabulon.session import scratch_dir
+    from tabulon.sources.results import ResultStore
+
+    df, both = spark.range(20), threading.Barrier(2, timeout=60)
+    meet = lambda result: lambda *a, **k: both.wait() >= 0 and result
+    for name in ("corpus", "tfidf", "assign_clusters", "topic_terms", "topic_distribution", "cluster_profile"):
+        monkeypatch.setattr(text, name, lambda *a, **k: df)
+    for name in ("fit_topics", "fit_clusters"):
+        monkeypatch.setattr(text, name, meet(df))
+    assert set(batch.topics(df, "id", ["id"])) == {"topics", "topic_distribution", "cluster_geo_profile"}
+    monkeypatch.setattr(batch, "topics", meet({"topics": df, "shares": df.limit(3)}))
+    monkeypatch.setattr(batch, "prepare", meet(df))
+    for name in ("time_series", "insights", "tag_analysis"):
+        monkeypatch.setattr(batch, name, lambda scored: {"all": scored, "few": scored.limit(2)})
+    done = batch.run_all(df, "id")
+    assert done["prepared"]["table"].count() == 20 and set(done) == {"prepared", *batch.RUN_TYPES}
+    store = ResultStore(spark, scratch_dir(spark, "results"))
+    assert len(batch.store_all(store, done, scratch_dir(spark, "reports"))) == 4
+    kept = {r["run_type"]: {k: v["rows"] for k, v in r["tables"].items()} for r in store.payload("tables map<string, struct<path: string, rows: bigint>>").collect()}
+    assert kept == {"nlp": {"topics": 20, "shares": 3}, **{t: {"all": 20, "few": 2} for t in batch.RUN_TYPES if t != "nlp"}}
